@@ -1,7 +1,7 @@
 """The queries of this subpackage and their SQL."""
 
-from . import bpe, media, sharding
+from . import bpe, jaccard, media, secrets, sharding, substrings
 
-MODULES = (bpe, media, sharding)
+MODULES = (substrings, jaccard, secrets, bpe, sharding, media)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 SQL = {name: sql for module in MODULES for name, sql in module.SQL.items()}
