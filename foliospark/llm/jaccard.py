@@ -5,11 +5,14 @@ whole sequence as one). Two sets link when 100 * intersection >= 80 * union. Suc
 share a token among the first n - ceil(0.8 n) + 1 of each under any one total order of
 all tokens, so a pair must pass that filter under every order used:
 
-* Orders 1 and 2 put heavy tokens last (those that several batches report often, a fixed
-  set once found) and are hash orders otherwise, so that a passage in many unrelated
-  documents stays out of prefixes. Which tokens are heavy only moves cost, never results.
-* A document is dropped unless under both orders its prefix has a token that another
-  document's prefix has. The rest are posted under order 1.
+* Order 1 (a hash order) drops documents. Not only one but the first l common tokens of a
+  linked pair stand among the first n - ceil(0.8 n) + l of each. Each document reports so
+  many with l(n) = ceil(n / 5), tokens are counted over all documents, and a document
+  goes on if as many of its own are reported twice as its smallest partner could share.
+* Order 2 makes candidates: documents are posted under their prefix tokens. It puts heavy
+  tokens last (those that several sets of a batch hold, a fixed set once found), so that a
+  passage in many unrelated documents stays out of prefixes. Which tokens are heavy only
+  moves cost, never results.
 * Candidates also must share a prefix token under order 3, by which the verified sets
   are sorted; then the sets themselves are intersected.
 
@@ -41,6 +44,11 @@ FILTER_BITS = 27
 U64 = np.uint64
 
 
+def more_common(n):
+    """l(n): how many common tokens order 1 looks for."""
+    return (n + 4) // 5
+
+
 def prefix_length(n, percent: int = PERCENT):
     """Of a set of n tokens: the tokens of which a linked set must share one, under any order."""
     return n - (percent * n + 99) // 100 + 1
@@ -78,14 +86,14 @@ class Sets:
             out.append(mix(sums[self.first + self.n] - sums[self.first] + self.n.astype(U64)))
         return out[0], out[1]
 
-    def prefixes(self, seed: int, heavy: np.ndarray | None, bits: int, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
-        """(token, row) of all prefixes under the order of seed, heavy tokens last."""
+    def prefixes(self, seed: int, length: np.ndarray, heavy: np.ndarray | None = None, bits: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """(token, row): of each row the first length[row] tokens under the order of seed, heavy tokens last."""
         key = mix(self.token ^ U64(seed)) >> U64(1)
         if heavy is not None:
             key |= has_bit(heavy, self.token, bits).astype(U64) << U64(63)
         order = np.lexsort((key, self.row))
         rank = np.arange(len(order)) - self.first[self.row[order]]
-        order = order[rank < prefix_length(self.n, percent)[self.row[order]]]
+        order = order[rank < length[self.row[order]]]
         return self.token[order], self.row[order]
 
 
@@ -113,57 +121,51 @@ def profile(df: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
     return docs.mapInArrow(run, widened(docs.drop("_text").schema, {"n": "bigint", "c1": "bigint", "c2": "bigint", "heavy": "boolean"}))
 
 
-def _prefix_counts(docs: DataFrame, heavy, bits: int, size: int, percent: int) -> DataFrame:
-    """(k, token, n): in how many documents' prefixes a token stands, under orders 1 and 2."""
+def _reported(sets: Sets, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order 1's (token, row): the prefix in which the first l(n) common tokens stand."""
+    return sets.prefixes(SEEDS[0], prefix_length(sets.n, percent) + more_common(sets.n) - 1)
+
+
+def _reported_twice(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """(token): what at least two documents report."""
 
     def run(batches):
-        last = np.frombuffer(heavy.value, np.uint8)
         for b in text_batches(batches):
-            found = [[], []]
-            for _, _, data, offsets in text_slices(b.column(0)):
-                sets = Sets(data, offsets, size)
-                for k in (0, 1):
-                    found[k].append(sets.prefixes(SEEDS[k], last, bits, percent)[0])
-            for k in (0, 1):
-                token, n = np.unique(np.concatenate(found[k]), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), k, np.int8)), as_long(token), pa.array(n.astype(np.int32))], names=["k", "token", "n"])
+            found = [_reported(Sets(data, offsets, size), percent)[0] for _, _, data, offsets in text_slices(b.column(0))]
+            token, n = np.unique(np.concatenate(found), return_counts=True)
+            yield pa.RecordBatch.from_arrays([as_long(token), pa.array(n.astype(np.int32))], names=["token", "n"])
 
-    rows = docs.select("_text").mapInArrow(run, "k tinyint, token bigint, n int")
-    return rows.groupBy("k", "token").agg(F.least(F.sum("n"), F.lit(2)).alias("n")).filter("n > 1")
+    rows = docs.select("_text").mapInArrow(run, "token bigint, n int")
+    return rows.groupBy("token").agg(F.sum("n").alias("n")).filter("n > 1").select("token")
 
 
-def _waiting(sets: Sets, last: np.ndarray, shared: list[np.ndarray], bits: int, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Order 1's shared prefix tokens with their rows, and which rows pass both orders."""
-    passes, posted = np.ones(len(sets.n), bool), None
-    for k in (0, 1):
-        token, row = sets.prefixes(SEEDS[k], last, bits, percent)
-        met = has_bit(shared[k], token, bits)
-        here = np.zeros(len(sets.n), bool)
-        here[row[met]] = True
-        passes &= here
-        posted = (token[met], row[met]) if k == 0 else posted
-    return *posted, passes
+def _passing(sets: Sets, twice: np.ndarray, bits: int, percent: int) -> np.ndarray:
+    """By row: whether enough of what it reports is reported twice."""
+    token, row = _reported(sets, percent)
+    met = np.bincount(row[has_bit(twice, token, bits)], minlength=len(sets.n))
+    least = more_common((percent * sets.n + 99) // 100)
+    return (sets.n > 0) & (met >= least)
 
 
-def _postings(docs: DataFrame, heavy, shared, bits: int, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(token, c1, c2, n) and (c1, c2, n, set) of the documents that pass; set: bytes, sorted by order 3."""
+def _postings(docs: DataFrame, heavy, twice, bits: int, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(token, c1, c2, n) under order 2 and (c1, c2, n, set) of the documents that pass; set: bytes, sorted by order 3."""
 
     def post(batches):
-        last, met = np.frombuffer(heavy.value, np.uint8), [np.frombuffer(x, np.uint8) for x in shared.value]
+        last, seen = np.frombuffer(heavy.value, np.uint8), np.frombuffer(twice.value, np.uint8)
         for b in text_batches(batches):
             for _, _, data, offsets in text_slices(b.column(0)):
                 sets = Sets(data, offsets, size)
-                token, row, passes = _waiting(sets, last, met, bits, percent)
-                token, row = token[passes[row]], row[passes[row]]
+                length = np.where(_passing(sets, seen, bits, percent), prefix_length(sets.n, percent), 0)
+                token, row = sets.prefixes(SEEDS[1], length, last, bits)
                 c1, c2 = sets.digests()
                 yield pa.RecordBatch.from_arrays([as_long(token), as_long(c1[row]), as_long(c2[row]), pa.array(sets.n[row])], names=["token", "c1", "c2", "n"])
 
     def whole(batches):
-        last, met = np.frombuffer(heavy.value, np.uint8), [np.frombuffer(x, np.uint8) for x in shared.value]
+        seen = np.frombuffer(twice.value, np.uint8)
         for b in text_batches(batches):
             for _, _, data, offsets in text_slices(b.column(0)):
                 sets = Sets(data, offsets, size)
-                rows = np.flatnonzero(_waiting(sets, last, met, bits, percent)[2])
+                rows = np.flatnonzero(_passing(sets, seen, bits, percent))
                 c1, c2 = sets.digests()
                 stored = [np.sort(mix(sets.token[sets.first[r] : sets.first[r] + sets.n[r]] ^ U64(SEEDS[2]))).tobytes() for r in rows]
                 yield pa.RecordBatch.from_arrays([as_long(c1[rows]), as_long(c2[rows]), pa.array(sets.n[rows]), pa.array(stored, pa.binary())], names=["c1", "c2", "n", "set"])
@@ -202,9 +204,8 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     digests = rows.filter("NOT heavy").drop("heavy")
     often = rows.filter("heavy").groupBy("c1").agg(F.sum("n").alias("n")).filter(F.col("n") >= HEAVY)
     heavy = spark.sparkContext.broadcast(bit_filter(often, "c1", bits))
-    counts = stage(_prefix_counts(docs, heavy, bits, size, percent), "prefixes")
-    shared = spark.sparkContext.broadcast([bit_filter(counts.filter(F.col("k") == k), "token", bits) for k in (0, 1)])
-    posted, stored = _postings(docs, heavy, shared, bits, size, percent)
+    twice = spark.sparkContext.broadcast(bit_filter(_reported_twice(docs, size, percent), "token", bits))
+    posted, stored = _postings(docs, heavy, twice, bits, size, percent)
 
     classes = stage(digests.filter("n > 0").groupBy("c1", "c2", "n").agg(F.min("_id").alias("node")), "classes")
     named = classes.filter("node IS NOT NULL")
