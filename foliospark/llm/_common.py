@@ -199,16 +199,17 @@ def text_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def bit_filter(df: DataFrame, column: str, bits: int) -> bytes:
-    """2**bits bits, of which the low bits of each value of column set one.
+    """2**bits bits, of which each value of column sets two: by its lowest bits and by its highest.
 
     Its size is fixed by the parameter, whatever the data; a value may look present
     that isn't, never the reverse, so callers use it only before an exact step.
     """
     from pyspark.sql import functions as F
 
-    at = F.col(column).bitwiseAND(F.lit((1 << bits) - 1))
+    low = F.col(column).bitwiseAND(F.lit((1 << bits) - 1))
+    high = F.shiftrightunsigned(column, 64 - bits)
     rows = (
-        df.select(at.alias("at"))
+        df.select(F.explode(F.array(low, high)).alias("at"))
         .groupBy(F.shiftright("at", 15).alias("block"))
         .agg(F.expr("bitmap_construct_agg(at & 32767)").alias("bitmap"))
         .collect()
@@ -219,6 +220,10 @@ def bit_filter(df: DataFrame, column: str, bits: int) -> bytes:
     return bytes(out)
 
 
-def has_bit(bitmap: np.ndarray, values: np.ndarray, bits: int) -> np.ndarray:
-    at = values & U64((1 << bits) - 1)
+def _bit(bitmap: np.ndarray, at: np.ndarray) -> np.ndarray:
     return (bitmap[(at >> U64(3)).astype(np.int64)] >> (at & U64(7)).astype(np.uint8)) & 1 == 1
+
+
+def has_bit(bitmap: np.ndarray, values: np.ndarray, bits: int) -> np.ndarray:
+    """For each value, whether the filter has both its bits."""
+    return _bit(bitmap, values & U64((1 << bits) - 1)) & _bit(bitmap, values >> U64(64 - bits))
