@@ -9,17 +9,18 @@ all tokens, so a pair must pass that filter under every order used:
   linked pair stand among the first n - ceil(0.8 n) + l of each. Each document reports so
   many with l(n) = ceil(n / 5), tokens are counted over all documents, and a document
   goes on if as many of its own are reported twice as its smallest partner could share.
-* Order 2 makes candidates: documents are posted under their prefix tokens. It puts heavy
-  tokens last (those that several sets of a batch hold, a fixed set once found), so that a
-  passage in many unrelated documents stays out of prefixes. Which tokens are heavy only
-  moves cost, never results.
+* Order 2 makes candidates: documents are posted under their prefix tokens. It puts tokens
+  by how many sets hold them, in LEVELS (as far as scan tasks see a token more than once; a
+  fixed order once found), so that a passage in many unrelated documents stays out of
+  prefixes. Which level a token has only moves cost, never results.
 * Candidates also must share a prefix token under order 3, by which the verified sets
   are sorted; then the sets themselves are intersected.
 
-Equal sets are one class. No pairs of a whole group are made: each posting list first
-meets its leader only, links are contracted to components, and only lists that still hold
-several components are joined, between different components. Links inside a component
-can't change it, so the components are exact.
+Equal sets are one class. No pairs of a whole group are made: in each of ROUNDS rounds a
+posting list meets one leader only, another each round; links are contracted to
+components, and lists within one component are done. Lists that still hold several are
+joined, between different components. Links inside a component can't change it, so the
+components are exact.
 
 Null and empty texts have no shingles and link with nothing. Rows that share an id are one
 document; a row without an id (null) links through an equal set only, and its component
@@ -39,8 +40,11 @@ from .components import components
 SIZE = 5
 PERCENT = 80
 SEEDS = (0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179, 0x510E527FADE682D1)
-HEAVY = 8
-FILTER_BITS = 27
+LEVELS = (6, 24, 96, 384, 1536, 6144)
+LEVEL_BITS = 24
+FILTER_BITS = 26
+ROUNDS = 4
+FLUSH = 1 << 20
 U64 = np.uint64
 
 
@@ -86,11 +90,11 @@ class Sets:
             out.append(mix(sums[self.first + self.n] - sums[self.first] + self.n.astype(U64)))
         return out[0], out[1]
 
-    def prefixes(self, seed: int, length: np.ndarray, heavy: np.ndarray | None = None, bits: int = 0) -> tuple[np.ndarray, np.ndarray]:
-        """(token, row): of each row the first length[row] tokens under the order of seed, heavy tokens last."""
-        key = mix(self.token ^ U64(seed)) >> U64(1)
-        if heavy is not None:
-            key |= has_bit(heavy, self.token, bits).astype(U64) << U64(63)
+    def prefixes(self, seed: int, length: np.ndarray, levels: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(token, row): of each row the first length[row] tokens under the order of seed, after that of levels."""
+        key = mix(self.token ^ U64(seed)) >> U64(3)
+        for level in levels or ():
+            key += has_bit(level, self.token, LEVEL_BITS).astype(U64) << U64(61)
         order = np.lexsort((key, self.row))
         rank = np.arange(len(order)) - self.first[self.row[order]]
         order = order[rank < length[self.row[order]]]
@@ -106,17 +110,25 @@ def profile(df: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
     of tokens that several sets of a batch hold (c1 the token, n in how many)."""
     docs = _docs(df, id_col, text_col)
 
+    def often(tokens: list[np.ndarray], kind: pa.DataType) -> pa.RecordBatch:
+        token, n = np.unique(np.concatenate(tokens), return_counts=True)
+        token, n = token[n > 1], n[n > 1]
+        return pa.RecordBatch.from_arrays([pa.nulls(len(n), kind), pa.array(n), as_long(token), as_long(token), pa.array(np.ones(len(n), bool))], names=["_id", "n", "c1", "c2", "heavy"])
+
     def run(batches):
         for b in text_batches(batches):
-            every = []
+            every, held = [], 0
             for low, high, data, offsets in text_slices(b.column(1)):
                 sets = Sets(data, offsets, size)
                 c1, c2 = sets.digests()
                 every.append(sets.token)
+                held += len(sets.token)
+                if held > 2 * FLUSH:
+                    yield often(every, b.column(0).type)
+                    every, held = [], 0
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(low, high - low), pa.array(sets.n), as_long(c1), as_long(c2), pa.array(np.zeros(high - low, bool))], names=["_id", "n", "c1", "c2", "heavy"])
-            token, n = np.unique(np.concatenate(every), return_counts=True)
-            token, n = token[n > 1], n[n > 1]
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(n), b.column(0).type), pa.array(n), as_long(token), as_long(token), pa.array(np.ones(len(n), bool))], names=["_id", "n", "c1", "c2", "heavy"])
+            if every:
+                yield often(every, b.column(0).type)
 
     return docs.mapInArrow(run, widened(docs.drop("_text").schema, {"n": "bigint", "c1": "bigint", "c2": "bigint", "heavy": "boolean"}))
 
@@ -131,9 +143,14 @@ def _reported_twice(docs: DataFrame, size: int, percent: int) -> DataFrame:
 
     def run(batches):
         for b in text_batches(batches):
-            found = [_reported(Sets(data, offsets, size), percent)[0] for _, _, data, offsets in text_slices(b.column(0))]
-            token, n = np.unique(np.concatenate(found), return_counts=True)
-            yield pa.RecordBatch.from_arrays([as_long(token), pa.array(n.astype(np.int32))], names=["token", "n"])
+            found, held = [], 0
+            for _, high, data, offsets in text_slices(b.column(0)):
+                found.append(_reported(Sets(data, offsets, size), percent)[0])
+                held += len(found[-1])
+                if held > FLUSH or high == b.num_rows:
+                    token, n = np.unique(np.concatenate(found), return_counts=True)
+                    yield pa.RecordBatch.from_arrays([as_long(token), pa.array(n.astype(np.int32))], names=["token", "n"])
+                    found, held = [], 0
 
     rows = docs.select("_text").mapInArrow(run, "token bigint, n int")
     return rows.groupBy("token").agg(F.sum("n").alias("n")).filter("n > 1").select("token")
@@ -147,16 +164,16 @@ def _passing(sets: Sets, twice: np.ndarray, bits: int, percent: int) -> np.ndarr
     return (sets.n > 0) & (met >= least)
 
 
-def _postings(docs: DataFrame, heavy, twice, bits: int, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
+def _postings(docs: DataFrame, ranked, twice, bits: int, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """(token, c1, c2, n) under order 2 and (c1, c2, n, set) of the documents that pass; set: bytes, sorted by order 3."""
 
     def post(batches):
-        last, seen = np.frombuffer(heavy.value, np.uint8), np.frombuffer(twice.value, np.uint8)
+        levels, seen = [np.frombuffer(x, np.uint8) for x in ranked.value], np.frombuffer(twice.value, np.uint8)
         for b in text_batches(batches):
             for _, _, data, offsets in text_slices(b.column(0)):
                 sets = Sets(data, offsets, size)
                 length = np.where(_passing(sets, seen, bits, percent), prefix_length(sets.n, percent), 0)
-                token, row = sets.prefixes(SEEDS[1], length, last, bits)
+                token, row = sets.prefixes(SEEDS[1], length, levels)
                 c1, c2 = sets.digests()
                 yield pa.RecordBatch.from_arrays([as_long(token), as_long(c1[row]), as_long(c2[row]), pa.array(sets.n[row])], names=["token", "c1", "c2", "n"])
 
@@ -202,10 +219,10 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     spark, docs = df.sparkSession, _docs(df, id_col, text_col)
     rows = stage(profile(df, id_col, text_col, size), "profile")
     digests = rows.filter("NOT heavy").drop("heavy")
-    often = rows.filter("heavy").groupBy("c1").agg(F.sum("n").alias("n")).filter(F.col("n") >= HEAVY)
-    heavy = spark.sparkContext.broadcast(bit_filter(often, "c1", bits))
+    often = stage(rows.filter("heavy").groupBy("c1").agg(F.sum("n").alias("n")).filter(F.col("n") >= LEVELS[0]), "often")
+    ranked = spark.sparkContext.broadcast([bit_filter(often.filter(F.col("n") >= least), "c1", LEVEL_BITS) for least in LEVELS])
     twice = spark.sparkContext.broadcast(bit_filter(_reported_twice(docs, size, percent), "token", bits))
-    posted, stored = _postings(docs, heavy, twice, bits, size, percent)
+    posted, stored = _postings(docs, ranked, twice, bits, size, percent)
 
     classes = stage(digests.filter("n > 0").groupBy("c1", "c2", "n").agg(F.min("_id").alias("node")), "classes")
     named = classes.filter("node IS NOT NULL")
@@ -213,20 +230,28 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     sets = stage(stored.groupBy("c1", "c2", "n").agg(F.first("set").alias("set")).join(named, ["c1", "c2", "n"]).select("node", "set"), "sets")
 
     near = lambda a, b: F.least(a, b) * 100 >= F.greatest(a, b) * percent
-    leaders = lists.groupBy("token").agg(F.min(F.struct(F.xxhash64("node").alias("h"), "node", "n")).alias("l"), F.count("*").alias("members")).filter("members > 1")
-    led = lists.join(leaders, "token").filter((F.col("node") != F.col("l.node")) & near(F.col("n"), F.col("l.n")))
-    star = stage(led.select(F.least("node", "l.node").alias("a"), F.greatest("node", "l.node").alias("b")).distinct(), "star")
-    links = stage(_verified(star, sets, percent), "links")
-    labels = components(links)
-
-    # Lists that still hold several components: their members meet across components.
-    known = lists.join(labels, "node", "left").select("token", "node", "n", F.coalesce("component", "node").alias("c"))
-    mixed = known.groupBy("token").agg((F.min("c") != F.max("c")).alias("mixed")).filter("mixed").select("token")
-    known = stage(known.join(mixed, "token"), "mixed")
+    known = lists.withColumn("c", F.col("node"))
+    tested = links = None
+    for k in range(ROUNDS):
+        # Lists that hold several components; each has a leader, another in each round.
+        leader = F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("h"), "node", "n", "c")).alias("l")
+        leaders = known.groupBy("token").agg(leader, (F.min("c") != F.max("c")).alias("mixed")).filter("mixed").drop("mixed")
+        led = known.join(leaders, "token").filter((F.col("c") != F.col("l.c")) & near(F.col("n"), F.col("l.n")))
+        pairs = led.select(F.least("node", "l.node").alias("a"), F.greatest("node", "l.node").alias("b")).distinct()
+        pairs = stage(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+        new = stage(_verified(pairs, sets, percent), "links")
+        tested, links = (pairs, new) if tested is None else (tested.unionByName(pairs), links.unionByName(new))
+        labels = components(links)
+        known = lists.join(labels, "node", "left").select("token", "node", "n", F.coalesce("component", "node").alias("c"))
+        mixed = known.groupBy("token").agg((F.min("c") != F.max("c")).alias("mixed")).filter("mixed").select("token")
+        known = stage(known.join(mixed, "token"), "mixed")
+
+    # What is still mixed meets across components.
     x, y = known.alias("x"), known.alias("y")
     cross = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.c") != F.col("y.c")) & (F.col("x.node") < F.col("y.node")) & near(F.col("x.n"), F.col("y.n")))
-    cross = cross.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
-    labels = components(links.unionByName(_verified(stage(cross, "cross"), sets, percent)))
+    cross = cross.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
+    last = stage(_verified(stage(cross, "cross"), sets, percent), "links")
+    labels = components(links.unionByName(last))
 
     found = digests.filter("n > 0").join(classes, ["c1", "c2", "n"]).join(labels, "node", "left")
     found = found.select("_id", "n", F.coalesce("component", "node").alias("component_id"))
