@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,6 +12,11 @@ BLANK = r"[\s\x1c-\x1f]"
 LINE_END = r"\R|[\x1c-\x1e]"
 
 
+def let(c: Column, body: Callable[[Column], Column]) -> Column:
+    """body of c, with c computed once: what a lambda holds besides its arguments is computed for each element."""
+    return F.get(F.transform(F.array(c), body), 0)
+
+
 def rx(pattern: str, fold: bool = True) -> str:
     """pattern with Unicode classes, and with Unicode case folding unless fold is False."""
     return ("(?iU)" if fold else "(?U)") + pattern
@@ -30,8 +37,7 @@ def squeeze(c: Column) -> Column:
 
 def lines(c: Column) -> Column:
     """array<string>: as str.splitlines()."""
-    parts = F.split(c, LINE_END, -1)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
+    return let(F.split(c, LINE_END, -1), lambda parts: F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts))
 
 
 def tokens(c: Column) -> Column:
@@ -41,7 +47,8 @@ def tokens(c: Column) -> Column:
 
 def ngrams(words: Column, n: int) -> Column:
     """array<string>: runs of n words, joined by a space (words hold none)."""
-    return F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)), lambda i: F.array_join(F.slice(words, i, n), " "))).otherwise(F.array().cast("array<string>"))
+    runs = lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.array_join(F.slice(w, i, n), " "))
+    return let(words, lambda w: F.when(F.size(w) >= n, runs(w)).otherwise(F.array().cast("array<string>")))
 
 
 def or_else(c: Column, other: Column) -> Column:

@@ -6,9 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vocab as v
-from ..functions.text import BLANK, either, lines, rstrip, rx, squeeze, strip
+from ..functions.text import BLANK, either, let, lines, rstrip, rx, squeeze, strip
 
 REPEAT_LENGTH = 25
+#: Every heading begins with one of these, so one test spares most lines the four patterns.
+HEADING_START = r"^(CONS|R\s*E\s*S|ACUE|DECR|DISP|ORDE|CERT|HACE|EN\s|CAP|T[IÍ]T|ART|PAR)"
 
 
 def is_table(line: Column) -> Column:
@@ -21,7 +23,8 @@ def strip_decoration(line: Column) -> Column:
     s = F.regexp_replace(s, rf"(?U)^#{{1,6}}{BLANK}*", "")
     s = F.regexp_replace(s, "</?[a-zA-Z][^>]*>", "")
     s = F.regexp_replace(s, "[*`]+", "")
-    return squeeze(F.regexp_replace(s, r"_+|\\", " "))
+    # Most lines hold no mark at all; one test spares them the rest.
+    return squeeze(F.when(line.rlike(r"[<#*`_\\]"), F.regexp_replace(s, r"_+|\\", " ")).otherwise(line))
 
 
 def is_noise(s: Column) -> Column:
@@ -48,8 +51,8 @@ def classify(md: Column) -> Column:
 
 def first_of_repeats(kept: Column) -> Column:
     """Lines with a key only at its first place: after a sort by key and place, the first of each run."""
-    keyed = F.array_sort(F.transform(F.filter(kept, lambda x: x["key"].isNotNull()), lambda x: F.struct(x["key"].alias("key"), x["pos"].alias("pos"), x["out"].alias("out"), x["s"].alias("s"))))
-    firsts = F.filter(keyed, lambda x, i: (i == 0) | (x["key"] != F.get(keyed, i - 1)["key"]))
+    sorted_ = F.array_sort(F.transform(F.filter(kept, lambda x: x["key"].isNotNull()), lambda x: F.struct(x["key"].alias("key"), x["pos"].alias("pos"), x["out"].alias("out"), x["s"].alias("s"))))
+    firsts = let(sorted_, lambda keyed: F.filter(keyed, lambda x, i: (i == 0) | (x["key"] != F.get(keyed, i - 1)["key"])))
     by_pos = lambda a: F.transform(a, lambda x: F.struct(x["pos"].alias("pos"), x["out"].alias("out"), x["s"].alias("s")))
     return F.array_sort(F.concat(by_pos(F.filter(kept, lambda x: x["key"].isNull())), by_pos(firsts)))
 
@@ -65,7 +68,8 @@ def promote(s: Column) -> Column:
     article = headed(F.concat(F.lit("### ARTÍCULO "), F.upper(group(v.ARTICLE, 2))), v.ARTICLE)
     ordinal = F.upper(strip(group(v.PARAGRAPH, 2)))
     paragraph = headed(F.concat(F.lit("#### PARÁGRAFO"), F.when(ordinal != "", F.concat(F.lit(" "), ordinal)).otherwise("")), v.PARAGRAPH)
-    return F.when(s.rlike(rx(v.SECTION)), section).when(s.rlike(rx(v.CHAPTER)), chapter).when(s.rlike(rx(v.ARTICLE)), article).when(s.rlike(rx(v.PARAGRAPH)), paragraph).otherwise(F.array(s))
+    plain = ~s.rlike(rx(HEADING_START))
+    return F.when(plain, F.array(s)).when(s.rlike(rx(v.SECTION)), section).when(s.rlike(rx(v.CHAPTER)), chapter).when(s.rlike(rx(v.ARTICLE)), article).when(s.rlike(rx(v.PARAGRAPH)), paragraph).otherwise(F.array(s))
 
 
 def assemble(kept: Column) -> Column:

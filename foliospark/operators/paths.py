@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import let
 from ..functions.vocab import FLAT_PARTS, TYPE_LABELS
 
 
@@ -21,10 +22,9 @@ def parts_of(path: Column) -> Column:
 
 def title_case(c: Column) -> Column:
     """As str.title(): a letter after anything but a letter is a capital, the others are small."""
-    chars = F.split(F.lower(c), "")
     letter = lambda x: x.rlike(r"\p{L}")
-    up = F.transform(chars, lambda x, i: F.when((i == 0) | ~letter(F.get(chars, i - 1)), F.upper(x)).otherwise(x))
-    return F.array_join(up, "")
+    up = lambda chars: F.transform(chars, lambda x, i: F.when((i == 0) | ~letter(F.get(chars, i - 1)), F.upper(x)).otherwise(x))
+    return F.array_join(let(F.split(F.lower(c), ""), up), "")
 
 
 def label_of(doc_type: Column) -> Column:

@@ -16,14 +16,16 @@ ARTICLE = "array<struct<num:string,content:string>>"
 
 
 def references(df: DataFrame) -> DataFrame:
-    """df (with meta) with tipo, cita, source, el, al, del_ (article, capital article, contraction), suffix and entity; skipped types are dropped (Q1-Q6)."""
+    """df (with meta) with tipo, cita, source, el, al, del_ (article, capital article, contraction), suffix, entity and skipped: whether the type yields no pairs (Q1-Q6).
+
+    A flag, not a filter: the optimizer would push a filter on parsed text below the parsing and so do that twice."""
     tipo, year, number = meta_field("tipo"), meta_field("anio"), meta_field("numero")
     name = or_else(meta_field("tipo_legible"), or_else(tipo, F.lit("documento normativo")))
     cite = F.when((number != "") & (year != ""), F.concat(name, F.lit(" No. "), number, F.lit(" de "), year)).when(year != "", F.concat(name, F.lit(" ("), year, F.lit(")"))).otherwise(name)
     masculine = F.lower(name).rlike("^(" + "|".join(v.MASCULINE) + ")")
     national = F.upper(tipo).rlike("|".join(v.NATIONAL_HINTS))
     forms = {"el": ("el", "la"), "al": ("El", "La"), "del_": ("del", "de la")}
-    out = df.withColumns({"tipo": tipo, "cita": cite}).filter(~F.col("tipo").isin(v.SKIP_TYPES))
+    out = df.withColumns({"tipo": tipo, "cita": cite}).withColumn("skipped", F.col("tipo").isin(v.SKIP_TYPES))
     out = out.withColumns({k: F.when(masculine, a).otherwise(b) for k, (a, b) in forms.items()})
     return out.withColumns({"source": or_else(meta_field("fuente"), F.col("cita")), "suffix": F.when(national, "").otherwise(v.SHORT_SUFFIX), "entity": F.when(national, "").otherwise(v.LONG_SUFFIX)})
 
@@ -80,7 +82,8 @@ def heuristic_pairs(df: DataFrame, max_pairs: int = MAX_PAIRS) -> DataFrame:
     force = strip(F.regexp_extract("body", rx(v.IN_FORCE), 1))
     in_force = F.when(F.col("body").rlike(rx(v.IN_FORCE)), F.array(pair(cat("¿Desde cuándo rige ", "$el", " ", "$cita", "$suffix", "?"), cat("$al", " ", "$cita", "$entity", " ", force, ".")))).otherwise(none)
     # Effective dates come last, so the cut leaves them out where the pairs are full already.
-    return staged.withColumn("pairs", F.slice(F.concat(general, by_article, fallback, in_force), 1, max_pairs)).drop("_numbered")
+    every = F.slice(F.concat(general, by_article, fallback, in_force), 1, max_pairs)
+    return staged.withColumn("pairs", F.when(F.col("skipped"), none).otherwise(every)).drop("_numbered")
 
 
 def template_pairs(df: DataFrame, n: int = 5) -> DataFrame:
@@ -90,12 +93,13 @@ def template_pairs(df: DataFrame, n: int = 5) -> DataFrame:
         F.concat(F.lit("[RESPUESTA "), i.cast("string"), F.lit(" — completar con información de "), F.col("cita"), F.lit("]")).alias("answer"),
         F.col("source").alias("source"),
     )
-    return df.withColumn("pairs", F.transform(F.sequence(F.lit(1), F.lit(n)), one))
+    return df.withColumn("pairs", F.when(~F.col("skipped"), F.transform(F.sequence(F.lit(1), F.lit(n)), one)).otherwise(F.array().cast(PAIR)))
 
 
 def explode_pairs(df: DataFrame, *keys: str) -> DataFrame:
     """A row for each pair: keys, pair_idx (from 0), question, answer, source."""
-    return df.select(*keys, F.posexplode("pairs").alias("pair_idx", "p")).select(*keys, "pair_idx", "p.question", "p.answer", F.col("p.source").alias("source"))
+    # The outer form, as the plain one makes the optimizer compute pairs twice, to drop empty arrays early.
+    return df.select(*keys, F.posexplode_outer("pairs").alias("pair_idx", "p")).filter("pair_idx IS NOT NULL").select(*keys, "pair_idx", "p.question", "p.answer", F.col("p.source").alias("source"))
 
 
 def to_alpaca(qa: DataFrame) -> DataFrame:

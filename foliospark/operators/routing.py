@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import let
 from ..functions.vocab import CORRUPT
 
 ROUTES = ["digital", "ocr", "escaneado_omitido", "corrupto_omitido", "vacio_a_ocr", "filtrado", "ya_procesado", "errores"]
@@ -22,12 +23,13 @@ def looks_corrupt(text: Column, threshold: int = 6) -> Column:
     Sorted grams stand in runs, so a gram counts if the one two places before or after it
     is equal: no pass over all pairs, no shuffle.
     """
-    grams = F.array_sort(F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(CORRUPT), F.lit(0)), F.lower))
-    frequent = F.filter(
-        F.transform(grams, lambda g, i: F.coalesce((g == F.get(grams, i - 2)) | (g == F.get(grams, i + 2)) | ((g == F.get(grams, i - 1)) & (g == F.get(grams, i + 1))), F.lit(False))),
-        lambda x: x,
-    )
-    return F.size(frequent) >= threshold
+    found = F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(CORRUPT), F.lit(0)), F.lower)
+
+    def in_run(grams: Column) -> Column:
+        near = lambda g, i, k: g == F.get(grams, i + k)
+        return F.filter(grams, lambda g, i: F.coalesce(near(g, i, -2), F.lit(False)) | F.coalesce(near(g, i, 2), F.lit(False)) | F.coalesce(near(g, i, -1) & near(g, i, 1), F.lit(False)))
+
+    return F.size(let(F.array_sort(found), in_run)) >= threshold
 
 
 def is_empty(text: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vocab as v
-from ..functions.text import BLANK, lines, rstrip, rx, squeeze, strip
+from ..functions.text import BLANK, let, lines, rstrip, rx, squeeze, strip
 
 FRONT = r"(?s)^---\n(.*?)\n---\n?(.*)\z"
 FIELDS = ["tipo", "tipo_legible", "numero", "anio", "titulo", "fuente", "ruta_origen", "metodo_extraccion", "paginas", "caracteres"]
@@ -21,7 +21,7 @@ def split_frontmatter(df: DataFrame, md_col: str = "md") -> DataFrame:
     entries = F.transform(pairs, entry)
     # Sorted by key and place, the last of each run of keys is what stays; map keys must differ.
     placed = F.array_sort(F.transform(entries, lambda x, i: F.struct(x["k"].alias("k"), i.alias("i"), x["v"].alias("v"))))
-    last = F.filter(placed, lambda x, i: (i == F.size(placed) - 1) | (x["k"] != F.get(placed, i + 1)["k"]))
+    last = let(placed, lambda p: F.filter(p, lambda x, i: (i == F.size(p) - 1) | (x["k"] != F.get(p, i + 1)["k"])))
     meta = F.map_from_entries(F.transform(last, lambda x: F.struct(x["k"].alias("key"), x["v"].alias("value"))))
     return df.withColumns({"meta": F.when(has, meta).otherwise(F.create_map().cast("map<string,string>")), "body": F.when(has, F.regexp_replace(F.regexp_extract(md, FRONT, 2), "^\n+", "")).otherwise(md)})
 
@@ -54,33 +54,40 @@ def join_lines(texts: Column) -> Column:
     return squeeze(F.array_join(texts, " "))
 
 
+def _structure(x: Column) -> Column:
+    """struct<descripcion, considerando, resuelve, articles> of classified lines.
+
+    Blocks lie between boundary lines, so a block's content is a slice of the line array.
+    """
+    heads = F.filter(F.transform(x, lambda y, i: F.struct(i.alias("at"), y["kind"].alias("kind"), y["name"].alias("name"))), lambda y: y["kind"] != "content")
+    texts = F.transform(x, lambda y: y["text"])
+
+    def with_heads(h: Column, t: Column) -> Column:
+        upto = lambda i: F.coalesce(F.get(h, i)["at"], F.size(t))
+        blocks = F.transform(h, lambda y, i: F.struct(y["kind"].alias("kind"), y["name"].alias("name"), F.slice(t, y["at"] + 2, upto(i + 1) - y["at"] - 1).alias("texts")))
+        header = F.array_join(F.slice(t, F.lit(1), upto(F.lit(0))), " ")
+        return let(blocks, lambda b: with_blocks(b, header))
+
+    def with_blocks(b: Column, header: Column) -> Column:
+        section = lambda name: F.flatten(F.transform(F.filter(b, lambda y: (y["kind"] == "section") & (y["name"] == name)), lambda y: y["texts"]))
+        content = F.transform(F.filter(b, lambda y: y["kind"] == "article"), lambda y: F.struct(y["name"].alias("num"), join_lines(y["texts"]).alias("content")))
+        # A list of blank lines counts: what matters is whether there's any line.
+        resolves = let(section("RESUELVE"), lambda r: F.when(F.size(r) > 0, join_lines(r)).otherwise(join_lines(section("ACUERDA"))))
+        return F.struct(
+            squeeze(F.regexp_extract(header, rx(v.DESCRIPTION), 1)).alias("descripcion"),
+            join_lines(section("CONSIDERANDO")).alias("considerando"),
+            resolves.alias("resuelve"),
+            F.filter(content, lambda y: y["content"] != "").alias("articles"),
+        )
+
+    return let(heads, lambda h: let(texts, lambda t: with_heads(h, t)))
+
+
 def parse_structure(df: DataFrame, body_col: str = "body") -> DataFrame:
     """df with descripcion, considerando, resuelve and articles array<struct<num, content>>.
 
-    Blocks lie between boundary lines, so a block's content is a slice of the line array.
+    It is one expression that binds what it uses twice, so a filter that the optimizer
+    pushes below it repeats it once and not for each line.
     """
-    staged = df.withColumn("_lines", classify_lines(F.coalesce(body_col, F.lit(""))))
-    numbered = F.transform("_lines", lambda x, i: F.struct(i.alias("at"), x["kind"].alias("kind"), x["name"].alias("name")))
-    staged = staged.withColumn("_heads", F.filter(numbered, lambda x: x["kind"] != "content"))
-    size, heads = F.size("_lines"), F.col("_heads")
-    texts = lambda low, high: F.transform(F.slice("_lines", low + 1, high - low), lambda x: x["text"])
-    upto = lambda i: F.coalesce(F.get(heads, i + 1)["at"], size)
-    blocks = F.transform(heads, lambda x, i: F.struct(x["kind"].alias("kind"), x["name"].alias("name"), texts(x["at"] + 1, upto(i)).alias("texts")))
-    header = texts(F.lit(0), F.coalesce(F.get(heads, 0)["at"], size))
-    staged = staged.withColumns({"_blocks": blocks, "_header": F.array_join(header, " ")})
-    section = lambda name: F.flatten(F.transform(F.filter("_blocks", lambda b: (b["kind"] == "section") & (b["name"] == name)), lambda b: b["texts"]))
-    articles = F.filter(
-        F.transform(F.filter("_blocks", lambda b: b["kind"] == "article"), lambda b: F.struct(b["name"].alias("num"), join_lines(b["texts"]).alias("content"))),
-        lambda a: a["content"] != "",
-    )
-    resolves = section("RESUELVE")
-    out = staged.withColumns(
-        {
-            "descripcion": squeeze(F.regexp_extract("_header", rx(v.DESCRIPTION), 1)),
-            "considerando": join_lines(section("CONSIDERANDO")),
-            # A list of blank lines counts: what matters is whether there's any line.
-            "resuelve": F.when(F.size(resolves) > 0, join_lines(resolves)).otherwise(join_lines(section("ACUERDA"))),
-            "articles": articles,
-        }
-    )
-    return out.drop("_lines", "_heads", "_blocks", "_header")
+    staged = df.withColumn("_st", let(classify_lines(F.coalesce(body_col, F.lit(""))), _structure))
+    return staged.select("*", "_st.*").drop("_st")

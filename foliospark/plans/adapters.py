@@ -14,7 +14,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def legal_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, path, raw_md): each document's lines under the headings of a regulation."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.split(F.coalesce("text", F.lit("")), "\n").alias("l"))
+    # The test tables are single row groups; this deals them to all cores.
+    d = table(spark, sf_dir, "documents").repartition(spark.sparkContext.defaultParallelism).select("doc_id", F.split(F.coalesce("text", F.lit("")), "\n").alias("l"))
     i = F.col("doc_id")
     kind = F.element_at(F.array(*map(F.lit, DOC_TYPES)), (i % 8 + 1).cast("int"))
     number, year = (i % 20).cast("string"), (2000 + i % 10).cast("string")

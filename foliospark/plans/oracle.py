@@ -69,9 +69,9 @@ CHAIN = {
   ELSE s END AS o FROM keep""",
     "norm": f"SELECT doc_id, {_strip('regexp_replace(string_agg(o, chr(10) ORDER BY pos), chr(10) || chr(123) || chr(51) || chr(44) || chr(125), chr(10) || chr(10), chr(103))')} AS body0 FROM emit GROUP BY doc_id",
     "doc": "SELECT m.*, '# ' || titulo || chr(10) || chr(10) || body0 || chr(10) AS body FROM meta m JOIN norm USING (doc_id)",
-    "cl0": "SELECT doc_id, unnest(string_split(rtrim(body, chr(10)), chr(10))) AS raw, unnest(range(len(string_split(rtrim(body, chr(10)), chr(10))))) AS at FROM doc",
-    "cl1": f"""SELECT doc_id, at, rtrim(raw) AS s, CASE WHEN raw LIKE '# %' THEN 'title' WHEN {_has("raw", v.HEAD_ARTICLE)} THEN 'article' WHEN {_has("raw", v.HEAD_PARAGRAPH)} THEN 'content' WHEN {_has("raw", v.HEAD_SECTION, False)} THEN 'section' ELSE 'content' END AS kind FROM cl0""",
-    "cl": f"""SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY at) - 1 AS pos, kind,
+    "cl0": "SELECT doc_id, unnest(string_split(rtrim(body, chr(10)), chr(10))) AS raw, unnest(range(len(string_split(rtrim(body, chr(10)), chr(10))))) AS ix FROM doc",
+    "cl1": f"""SELECT doc_id, ix, rtrim(raw) AS s, CASE WHEN raw LIKE '# %' THEN 'title' WHEN {_has("raw", v.HEAD_ARTICLE)} THEN 'article' WHEN {_has("raw", v.HEAD_PARAGRAPH)} THEN 'content' WHEN {_has("raw", v.HEAD_SECTION, False)} THEN 'section' ELSE 'content' END AS kind FROM cl0""",
+    "cl": f"""SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY ix) - 1 AS pos, kind,
   CASE kind WHEN 'article' THEN trim(regexp_replace(trim({_group("s", v.HEAD_ARTICLE, 1)}), '^[.:°º\\-–) ]+|[.:°º\\-–) ]+$', '', 'g')) WHEN 'section' THEN upper(trim({_group("s", v.HEAD_SECTION, 1, False)})) END AS name,
   CASE WHEN {_has("s", v.HEAD_PARAGRAPH)} THEN 'Parágrafo' || CASE WHEN trim({_group("s", v.HEAD_PARAGRAPH, 1)}) <> '' THEN ' ' || trim({_group("s", v.HEAD_PARAGRAPH, 1)}) ELSE '' END || ':' ELSE s END AS text FROM cl1 WHERE kind <> 'title'""",
     "blk": "SELECT *, sum(CASE WHEN kind <> 'content' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS b FROM cl",
@@ -82,10 +82,11 @@ CHAIN = {
     "st": """SELECT d.doc_id, coalesce(h.descripcion, '') AS descripcion, coalesce(c.t, '') AS considerando,
   CASE WHEN coalesce(r.n, 0) > 0 THEN r.t ELSE coalesce(a.t, '') END AS resuelve, (SELECT count(*) FROM art WHERE art.doc_id = d.doc_id) AS n_articles
   FROM doc d LEFT JOIN head h USING (doc_id) LEFT JOIN sec c ON c.doc_id = d.doc_id AND c.sec = 'CONSIDERANDO' LEFT JOIN sec r ON r.doc_id = d.doc_id AND r.sec = 'RESUELVE' LEFT JOIN sec a ON a.doc_id = d.doc_id AND a.sec = 'ACUERDA'""",
-    "ref": f"""SELECT doc_id, path, body, doc_type AS tipo, titulo AS cita, source_filename AS source,
+    "ref0": f"""SELECT doc_id, path, body, doc_type AS tipo, list_contains({_list(v.SKIP_TYPES)}, doc_type) AS skipped, titulo AS cita, source_filename AS source,
   CASE WHEN m THEN 'el' ELSE 'la' END AS el, CASE WHEN m THEN 'El' ELSE 'La' END AS al, CASE WHEN m THEN 'del' ELSE 'de la' END AS del_,
   CASE WHEN n THEN '' ELSE {_q(v.SHORT_SUFFIX)} END AS suffix, CASE WHEN n THEN '' ELSE {_q(v.LONG_SUFFIX)} END AS entity
-  FROM (SELECT *, regexp_matches(lower(type_label), '^({"|".join(v.MASCULINE)})') AS m, regexp_matches(upper(doc_type), '{"|".join(v.NATIONAL_HINTS)}') AS n FROM doc WHERE NOT list_contains({_list(v.SKIP_TYPES)}, doc_type))""",
+  FROM (SELECT *, regexp_matches(lower(type_label), '^({"|".join(v.MASCULINE)})') AS m, regexp_matches(upper(doc_type), '{"|".join(v.NATIONAL_HINTS)}') AS n FROM doc)""",
+    "ref": "SELECT * FROM ref0 WHERE NOT skipped",
     "num0": f"""SELECT doc_id, pos, content, CASE WHEN regexp_matches(num, '^\\d{{1,3}}$') THEN num WHEN regexp_matches(num, '(?i)^[IVXLCDM]+$') AND length(num) <= 5 THEN upper(num) WHEN list_contains({_list(v.ORDINAL_WORDS)}, lower(num)) THEN lower(num) ELSE '' END AS own,
   regexp_extract(content, '^\\s*(\\d{{1,3}})[.\\)]', 1) AS lead FROM art""",
 }
@@ -181,7 +182,7 @@ SQL = {
     "classify_lines": _with("cl", "SELECT doc_id, CAST(pos AS INTEGER) AS pos, kind, name, text FROM cl"),
     "articles": _with("art", "SELECT doc_id, CAST(pos AS INTEGER) AS pos, num, content FROM art"),
     "doc_structure": _with("st", "SELECT doc_id, descripcion, considerando, resuelve, CAST(n_articles AS INTEGER) AS n_articles FROM st"),
-    "citation_ref": _with("ref", "SELECT doc_id, tipo, cita, source, el, al, del_, suffix, entity FROM ref"),
+    "citation_ref": _with("ref0", "SELECT doc_id, tipo, cita, source, el, al, del_, suffix, entity, skipped FROM ref0"),
     "article_numbers": _numbered("SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS INTEGER) AS pos, num FROM walk WHERE num IS NOT NULL"),
     "qa_pairs": _qa("SELECT * FROM qa"),
     "qa_template": _with("ref", "SELECT doc_id, CAST(i - 1 AS INTEGER) AS pair_idx, '[PREGUNTA ' || i || ' sobre ' || cita || ']' AS question, '[RESPUESTA ' || i || ' — completar con información de ' || cita || ']' AS answer, source FROM ref, (SELECT unnest([1, 2, 3, 4, 5]) AS i)"),
@@ -189,7 +190,7 @@ SQL = {
     "sharegpt": _qa("SELECT CAST(to_json([{'from': 'human', 'value': question}, {'from': 'gpt', 'value': answer}]) AS VARCHAR) AS conversations FROM qa"),
     "dedupe_first": _qa("SELECT doc_id, pair_idx, question, answer FROM one", FIRST),
     "duplicate_count": _qa("SELECT count(*) - count(DISTINCT question) AS duplicates FROM qa"),
-    "pairs_by_type": _qa("SELECT r.tipo, (SELECT count(*) FROM qa WHERE qa.tipo = r.tipo) AS n_pairs, (SELECT count(*) FROM one WHERE one.tipo = r.tipo) AS n_kept FROM (SELECT DISTINCT tipo FROM ref) r", FIRST),
+    "pairs_by_type": _qa("SELECT r.tipo, (SELECT count(*) FROM qa WHERE qa.tipo = r.tipo) AS n_pairs, (SELECT count(*) FROM one WHERE one.tipo = r.tipo) AS n_kept FROM (SELECT DISTINCT tipo FROM ref0) r", FIRST),
     "split_hash": _qa("SELECT question, CASE WHEN row_number() OVER (ORDER BY md5('42:' || question), question) <= floor(count(*) OVER () * 0.30) THEN 'test' ELSE 'train' END AS split FROM one", FIRST),
     "training_text": _qa(f"SELECT '<|im_start|>system' || chr(10) || {_q(v.TRAINING_PROMPT)} || '<|im_end|>' || chr(10) || '<|im_start|>user' || chr(10) || question || '<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10) || answer || '<|im_end|>' || chr(10) AS text FROM qa"),
     "chat_history": f"WITH {TURNS} SELECT conv_id, turn, coalesce(array_to_string(h[-2:], '||'), '') AS history FROM past",

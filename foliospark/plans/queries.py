@@ -76,7 +76,7 @@ def route_stats(s, d):
 
 
 def strip_decoration(s, d):
-    each = table(s, d, "pages").select("page_id", F.posexplode(lines(F.col("html"))).alias("pos", "raw"))
+    each = table(s, d, "pages").select("page_id", F.posexplode_outer(lines(F.col("html"))).alias("pos", "raw"))
     return each.select("page_id", "pos", normalize.is_table(F.col("raw")).alias("is_table"), normalize.strip_decoration(F.col("raw")).alias("s"))
 
 
@@ -85,7 +85,7 @@ def line_frequency(s, d):
 
 
 def noise_drop(s, d):
-    each = legal_docs(s, d).select("doc_id", F.posexplode(lines(F.col("raw_md"))).alias("pos", "raw")).select("doc_id", "pos", normalize.strip_decoration(F.col("raw")).alias("s"))
+    each = legal_docs(s, d).select("doc_id", F.posexplode_outer(lines(F.col("raw_md"))).alias("pos", "raw")).select("doc_id", "pos", normalize.strip_decoration(F.col("raw")).alias("s"))
     return each.filter(normalize.is_noise(F.col("s")))
 
 
@@ -103,11 +103,11 @@ def frontmatter(s, d):
 
 def classify_lines(s, d):
     body = structure.split_frontmatter(_markdown(s, d).select("doc_id", "md"))
-    return body.select("doc_id", F.posexplode(structure.classify_lines(F.col("body"))).alias("pos", "x")).select("doc_id", "pos", "x.kind", "x.name", "x.text")
+    return body.select("doc_id", F.posexplode_outer(structure.classify_lines(F.col("body"))).alias("pos", "x")).filter("pos IS NOT NULL").select("doc_id", "pos", "x.kind", "x.name", "x.text")
 
 
 def articles(s, d):
-    return _parsed(s, d).select("doc_id", F.posexplode("articles").alias("pos", "a")).select("doc_id", "pos", "a.num", "a.content")
+    return _parsed(s, d).select("doc_id", F.posexplode_outer("articles").alias("pos", "a")).filter("pos IS NOT NULL").select("doc_id", "pos", "a.num", "a.content")
 
 
 def doc_structure(s, d):
@@ -115,12 +115,12 @@ def doc_structure(s, d):
 
 
 def citation_ref(s, d):
-    return qa.references(structure.split_frontmatter(_markdown(s, d).select("doc_id", "md"))).select("doc_id", "tipo", "cita", "source", "el", "al", "del_", "suffix", "entity")
+    return qa.references(structure.split_frontmatter(_markdown(s, d).select("doc_id", "md"))).select("doc_id", "tipo", "cita", "source", "el", "al", "del_", "suffix", "entity", "skipped")
 
 
 def article_numbers(s, d):
     numbered = _parsed(s, d).select("doc_id", qa.number_articles(F.col("articles"), F.lit(9)).alias("n"))
-    return numbered.select("doc_id", F.posexplode("n").alias("pos", "a")).select("doc_id", "pos", "a.num")
+    return numbered.select("doc_id", F.posexplode_outer("n").alias("pos", "a")).filter("pos IS NOT NULL").select("doc_id", "pos", "a.num")
 
 
 def qa_pairs(s, d):
@@ -189,7 +189,7 @@ def no_answer_rate(s, d):
 
 
 def ngram_counts(s, d):
-    t = eval_pairs(s, d).select("example_id", F.explode(ngrams(tokens(F.col("prediction")), 2)).alias("gram"))
+    t = eval_pairs(s, d).select("example_id", F.explode_outer(ngrams(tokens(F.col("prediction")), 2)).alias("gram")).filter("gram IS NOT NULL")
     return t.groupBy("example_id", "gram").agg(F.count("*").alias("n"))
 
 
