@@ -13,6 +13,8 @@ all tokens, so a pair must pass that filter under every order used:
   by how many sets hold them, in LEVELS (as far as scan tasks see a token more than once; a
   fixed order once found), so that a passage in many unrelated documents stays out of
   prefixes. Which level a token has only moves cost, never results.
+* Where a token stands in the two sets bounds what they can share from there on; a pair
+  meets at a token only if that is enough.
 * Candidates also must share a prefix token under order 3, by which the verified sets
   are sorted; then the sets themselves are intersected.
 
@@ -90,15 +92,16 @@ class Sets:
             out.append(mix(sums[self.first + self.n] - sums[self.first] + self.n.astype(U64)))
         return out[0], out[1]
 
-    def prefixes(self, seed: int, length: np.ndarray, levels: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """(token, row): of each row the first length[row] tokens under the order of seed, after that of levels."""
+    def prefixes(self, seed: int, length: np.ndarray, levels: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(token, row, rank): of each row the first length[row] tokens under the order of seed, after that of levels."""
         key = mix(self.token ^ U64(seed)) >> U64(3)
         for level in levels or ():
             key += has_bit(level, self.token, LEVEL_BITS).astype(U64) << U64(61)
         order = np.lexsort((key, self.row))
         rank = np.arange(len(order)) - self.first[self.row[order]]
-        order = order[rank < length[self.row[order]]]
-        return self.token[order], self.row[order]
+        use = rank < length[self.row[order]]
+        order = order[use]
+        return self.token[order], self.row[order], rank[use]
 
 
 def _docs(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -135,7 +138,7 @@ def profile(df: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
 
 def _reported(sets: Sets, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Order 1's (token, row): the prefix in which the first l(n) common tokens stand."""
-    return sets.prefixes(SEEDS[0], prefix_length(sets.n, percent) + more_common(sets.n) - 1)
+    return sets.prefixes(SEEDS[0], prefix_length(sets.n, percent) + more_common(sets.n) - 1)[:2]
 
 
 def _reported_twice(docs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -165,7 +168,7 @@ def _passing(sets: Sets, twice: np.ndarray, bits: int, percent: int) -> np.ndarr
 
 
 def _postings(docs: DataFrame, ranked, twice, bits: int, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(token, c1, c2, n) under order 2 and (c1, c2, n, set) of the documents that pass; set: bytes, sorted by order 3."""
+    """(token, c1, c2, n, rank) under order 2 and (c1, c2, n, set) of the documents that pass; set: bytes, sorted by order 3."""
 
     def post(batches):
         levels, seen = [np.frombuffer(x, np.uint8) for x in ranked.value], np.frombuffer(twice.value, np.uint8)
@@ -173,9 +176,9 @@ def _postings(docs: DataFrame, ranked, twice, bits: int, size: int, percent: int
             for _, _, data, offsets in text_slices(b.column(0)):
                 sets = Sets(data, offsets, size)
                 length = np.where(_passing(sets, seen, bits, percent), prefix_length(sets.n, percent), 0)
-                token, row = sets.prefixes(SEEDS[1], length, levels)
+                token, row, rank = sets.prefixes(SEEDS[1], length, levels)
                 c1, c2 = sets.digests()
-                yield pa.RecordBatch.from_arrays([as_long(token), as_long(c1[row]), as_long(c2[row]), pa.array(sets.n[row])], names=["token", "c1", "c2", "n"])
+                yield pa.RecordBatch.from_arrays([as_long(token), as_long(c1[row]), as_long(c2[row]), pa.array(sets.n[row]), pa.array(rank)], names=["token", "c1", "c2", "n", "rank"])
 
     def whole(batches):
         seen = np.frombuffer(twice.value, np.uint8)
@@ -188,7 +191,7 @@ def _postings(docs: DataFrame, ranked, twice, bits: int, size: int, percent: int
                 yield pa.RecordBatch.from_arrays([as_long(c1[rows]), as_long(c2[rows]), pa.array(sets.n[rows]), pa.array(stored, pa.binary())], names=["c1", "c2", "n", "set"])
 
     texts = docs.select("_text")
-    return texts.mapInArrow(post, "token bigint, c1 bigint, c2 bigint, n bigint"), texts.mapInArrow(whole, "c1 bigint, c2 bigint, n bigint, set binary")
+    return texts.mapInArrow(post, "token bigint, c1 bigint, c2 bigint, n bigint, rank bigint"), texts.mapInArrow(whole, "c1 bigint, c2 bigint, n bigint, set binary")
 
 
 def linked(x: np.ndarray, y: np.ndarray, percent: int = PERCENT) -> bool:
@@ -226,29 +229,37 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     classes = stage(digests.filter("n > 0").groupBy("c1", "c2", "n").agg(F.min("_id").alias("node")), "classes")
     named = classes.filter("node IS NOT NULL")
-    lists = stage(posted.distinct().join(named, ["c1", "c2", "n"]).select("token", "node", "n").distinct(), "postings")
+    lists = stage(posted.distinct().join(named, ["c1", "c2", "n"]).select("token", "node", "n", "rank").distinct(), "postings")
     sets = stage(stored.groupBy("c1", "c2", "n").agg(F.first("set").alias("set")).join(named, ["c1", "c2", "n"]).select("node", "set"), "sets")
 
-    near = lambda a, b: F.least(a, b) * 100 >= F.greatest(a, b) * percent
+    def near(a: str, b: str):
+        """Whether the sizes allow a link, and the ranks of the token: if it is the first that the two share, all that
+        they share stands from there on, and 100 * shared >= percent * (sizes - shared) must be in reach."""
+        n, m = F.col(f"{a}n"), F.col(f"{b}n")
+        reach = F.least(n - F.col(f"{a}rank"), m - F.col(f"{b}rank"))
+        return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (reach * (100 + percent) >= (n + m) * percent)
+
     known = lists.withColumn("c", F.col("node"))
     tested = links = None
     for k in range(ROUNDS):
         # Lists that hold several components; each has a leader, another in each round.
-        leader = F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("h"), "node", "n", "c")).alias("l")
+        leader = F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("h"), "node", "n", "c", "rank")).alias("l")
         leaders = known.groupBy("token").agg(leader, (F.min("c") != F.max("c")).alias("mixed")).filter("mixed").drop("mixed")
-        led = known.join(leaders, "token").filter((F.col("c") != F.col("l.c")) & near(F.col("n"), F.col("l.n")))
+        led = known.join(leaders, "token").filter((F.col("c") != F.col("l.c")) & near("", "l."))
         pairs = led.select(F.least("node", "l.node").alias("a"), F.greatest("node", "l.node").alias("b")).distinct()
         pairs = stage(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
         new = stage(_verified(pairs, sets, percent), "links")
         tested, links = (pairs, new) if tested is None else (tested.unionByName(pairs), links.unionByName(new))
         labels = components(links)
-        known = lists.join(labels, "node", "left").select("token", "node", "n", F.coalesce("component", "node").alias("c"))
+        known = lists.join(labels, "node", "left").select("token", "node", "n", "rank", F.coalesce("component", "node").alias("c"))
         mixed = known.groupBy("token").agg((F.min("c") != F.max("c")).alias("mixed")).filter("mixed").select("token")
         known = stage(known.join(mixed, "token"), "mixed")
+        if known.isEmpty():
+            break
 
     # What is still mixed meets across components.
     x, y = known.alias("x"), known.alias("y")
-    cross = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.c") != F.col("y.c")) & (F.col("x.node") < F.col("y.node")) & near(F.col("x.n"), F.col("y.n")))
+    cross = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.c") != F.col("y.c")) & (F.col("x.node") < F.col("y.node")) & near("x.", "y."))
     cross = cross.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
     last = stage(_verified(stage(cross, "cross"), sets, percent), "links")
     labels = components(links.unionByName(last))
