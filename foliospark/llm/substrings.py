@@ -16,8 +16,8 @@ A bit filter of fixed size (FILTER_BITS, whatever the data) tells the scans whic
 fingerprints were seen twice; values that it lets through wrongly fail verification.
 
 Null and empty texts, and texts of fewer words than a window, keep all their words. Equal
-rows are two documents, each the other's copy. Rows are told apart by (id, text), so ids
-may repeat or be null; other columns aren't touched.
+rows are two documents, each the other's copy. Rows are told apart by (id, 32-bit hash of
+the text), so ids may repeat or be null; other columns aren't touched.
 """
 
 from __future__ import annotations
@@ -160,7 +160,7 @@ def repeated_windows(df: DataFrame, id_col: str, text_col: str, seen_twice: byte
                     names=["_id", "_th", "start", "d1", "d2"],
                 )
 
-    docs = df.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_th"), F.col(text_col).alias("_text"))
+    docs = df.select(F.col(id_col).alias("_id"), F.hash(text_col).alias("_th"), F.col(text_col).alias("_text"))
     found = docs.mapInArrow(run, widened(docs.drop("_text").schema, {"start": "int", "d1": "bigint", "d2": "bigint"}))
     twice = found.groupBy("d1", "d2").agg(F.count("*").alias("n")).filter("n > 1").select("d1", "d2")
     return found.join(twice, ["d1", "d2"]).groupBy("_id", "_th").agg(F.collect_list("start").alias("starts"))
@@ -203,7 +203,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     got["kept"][i] = kept.decode()
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(removed, pa.int64()), pa.array(got["kept"], pa.string())], names=[id_col, "n_words", "n_removed", "kept"])
 
-    docs = df.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_th"), F.col(text_col).alias("_text"))
+    docs = df.select(F.col(id_col).alias("_id"), F.hash(text_col).alias("_th"), F.col(text_col).alias("_text"))
     done = docs.mapInArrow(split, widened(docs.drop("_text").schema, {"n_words": "bigint", "kept": "string", "_text": "string"}))
     settled = done.filter("_text IS NULL").select(F.col("_id").alias(id_col), "n_words", F.lit(0).cast("bigint").alias("n_removed"), "kept")
     waiting = done.filter("_text IS NOT NULL").alias("w").join(starts.alias("s"), F.expr("w._id <=> s._id AND w._th = s._th"), "left")
