@@ -205,6 +205,55 @@ def test_language_model(spark):
     assert [(r.n_known, r.train_tokens) for r in nothing] == [(0, 0), (0, 0)]
 
 
+def brute_bits(text, tree):
+    """(symbol's place in the text, gate, keys of the three predictors, value) of each bit."""
+    words = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or "")) or [""]
+    done, out = b"", []
+    for i, w in enumerate(w.encode() for w in words):
+        for k, sym in enumerate(w + (b" " if i < len(words) - 1 else b"\n")):
+            for depth in range(tree.length[sym]):
+                gate = min(depth, lm.DEPTHS - 1) * lm.PLACES + min(k, lm.PLACES - 1)
+                out.append((len(done), gate, [(j, c, tree.node[sym, depth]) for j, c in enumerate((w[:k], done[-6:], done[-4:]))], int(tree.bit[sym, depth])))
+            done += bytes([sym])
+    return out
+
+
+def brute_model(texts, folds):
+    """Symbol counts, tree, predictor of the whole corpus, weights and map: every text counts, and is fitted by the other fold's counts."""
+    symbols = collections.Counter(b for t in texts for b in (" ".join(WORD.findall((t or "").lower())) + "\n").encode())
+    counts = [symbols[b] for b in range(256)]
+    tree = lm.Tree(counts)
+    bits = [brute_bits(t, tree) for t in texts]
+    seen = collections.Counter((fold, key, value) for b, fold in zip(bits, folds, strict=True) for _, _, keys, value in b for key in keys)
+
+    def stretch(key, use):
+        zero, one = (sum(seen[f, key, v] for f in use) for v in (0, 1))
+        return int(np.clip(round(math.log((one + 0.4) / (zero + 0.4)) * 127 / lm.LIMIT), -127, 127)) * lm.LIMIT / 127
+
+    step = 2 * lm.LIMIT / (lm.LEVELS - 1)
+    rows = [([round(stretch(k, [1 - fold]) / step) * step for k in keys], gate, value) for b, fold in zip(bits, folds, strict=True) for _, gate, keys, value in b]
+    x, gate, value = np.array([r[0] for r in rows]).T, np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
+    return counts, tree, lambda key: stretch(key, [0, 1]), *lm.fit_mixer(x, gate, 1 - value, value)
+
+
+def test_language_model_learns_every_text(spark):
+    texts = ["Uno dos", None, *(prose(s, 60, 8) for s in range(12))]
+    df = docs(spark, texts)
+    folds = [r[0] for r in df.orderBy("doc_id").select(F.expr("pmod(xxhash64(coalesce(text, '')), 2)")).collect()]
+    counts, tree, stretch, weights, chart = brute_model(texts, folds)
+    model = lm.train(df, "text")
+    assert model.counts == counts and set(folds) == {0, 1}
+    assert model.weights == pytest.approx(weights, abs=1e-3) and model.chart == pytest.approx(chart, abs=1e-3)
+    got = {r.doc_id: r.score for r in lm.score(df, F.lit(True)).collect()}
+    for i, text in enumerate(texts):
+        want = 0.0
+        for _, gate, keys, value in brute_bits(text, tree):
+            mixed = float(weights[gate] @ [stretch(k) for k in keys])
+            p = 0.5 * (float(lm._squash(mixed)) + chart[gate, int(lm._step(np.float64(mixed)))])
+            want += math.log10(p if value else 1 - p)
+        assert got[i] == pytest.approx(want, rel=1e-2)
+
+
 # ------------------------------------------------------------- op 7
 
 
