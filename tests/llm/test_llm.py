@@ -246,12 +246,40 @@ def test_language_model_learns_every_text(spark):
     assert model.weights == pytest.approx(weights, abs=1e-3) and model.chart == pytest.approx(chart, abs=1e-3)
     got = {r.doc_id: r.score for r in lm.score(df, F.lit(True)).collect()}
     for i, text in enumerate(texts):
-        want = 0.0
-        for _, gate, keys, value in brute_bits(text, tree):
-            mixed = float(weights[gate] @ [stretch(k) for k in keys])
-            p = 0.5 * (float(lm._squash(mixed)) + chart[gate, int(lm._step(np.float64(mixed)))])
-            want += math.log10(p if value else 1 - p)
-        assert got[i] == pytest.approx(want, rel=1e-2)
+        assert got[i] == pytest.approx(brute_score(text, tree, stretch, weights, chart), rel=1e-2)
+
+
+def brute_score(text, tree, stretch, weights, chart, block=lm.BLOCK):
+    """Each block of symbols is scored by what the text's blocks before it have taught its weights and map."""
+    weights, chart, total = weights.copy(), chart.copy(), 0.0
+    bits = brute_bits(text, tree)
+    for first in range(0, bits[-1][0] + 1, block):
+        errors, hits = collections.defaultdict(list), collections.defaultdict(list)
+        for _, gate, keys, value in (b for b in bits if first <= b[0] < first + block):
+            x = np.array([stretch(k) for k in keys])
+            mixed = weights[gate] @ x
+            p, at = float(lm._squash(mixed)), (gate, int(lm._step(mixed)))
+            refined = 0.5 * (p + chart[at])
+            total += math.log10(refined if value else 1 - refined)
+            errors[gate].append((value - p) * x)
+            hits[at].append(value)
+        for gate, e in errors.items():
+            weights[gate] += lm.RATE * sum(e) / math.sqrt(len(e))
+        for at, v in hits.items():
+            chart[at] += (1 - (1 - lm.MAP_RATE) ** len(v)) * (sum(v) / len(v) - chart[at])
+    return total
+
+
+def test_language_model_adapts_within_a_text(spark):
+    texts = [prose(s, 60, 8) for s in range(12)]
+    _, tree, stretch, weights, chart = brute_model(texts, [r[0] for r in docs(spark, texts).orderBy("doc_id").select(F.expr("pmod(xxhash64(text), 2)")).collect()])
+    held = ["zz zy " * 40, prose(99, 60, 8), "w1"]
+    df = docs(spark, [*texts, *held])
+    got = {r.doc_id: r.score for r in lm.score(df, F.col("doc_id") < 12).collect()}
+    for i, text in enumerate(held, 12):
+        assert got[i] == pytest.approx(brute_score(text, tree, stretch, weights, chart), rel=1e-2)
+    # Under 2,048 symbols, the text that differs from the corpus gains by what it teaches.
+    assert got[12] > 0.97 * brute_score(held[0], tree, stretch, weights, chart, block=2048)
 
 
 # ------------------------------------------------------------- op 7
