@@ -76,3 +76,21 @@ def until_written(df: DataFrame, limit: int, success_col: str, path_col: str = "
     inner = Window.partitionBy("_range").orderBy("_key").rowsBetween(Window.unboundedPreceding, -1)
     counted = ranged.withColumn("_before", F.coalesce(F.sum(F.col(success_col).cast("bigint")).over(inner), F.lit(0)))
     return counted.join(F.broadcast(earlier), "_range").filter(F.col("_before") + F.col("_earlier") < limit).drop("_key", "_range", "_before", "_earlier")
+
+
+def ranked(df: DataFrame, path_col: str = "path", rank_col: str = "rank") -> DataFrame:
+    """All rows with their rank in path order, from 1; the rank of a range's first row is what the earlier ranges hold.
+
+    The ranges' bounds are values (of a sample by hash, a fixed number for each partition): repartitionByRange
+    draws its own each time it runs, and the count of a range must be of the same rows as the places in it.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sample = df.select(path_col).filter(F.col(path_col).isNotNull()).orderBy(F.xxhash64(path_col), path_col).limit(32 * n).collect()
+    some = sorted((r[0] for r in sample), key=lambda p: [x.encode() for x in p.split("/")])
+    bounds = F.array(*(parts_of(F.lit(some[i])) for i in range(32, len(some), 32)))
+    of = F.size(F.filter(bounds, lambda b: b <= F.col("_key"))) if len(some) > 32 else F.lit(0)
+    ranged = df.withColumn("_key", parts_of(F.col(path_col))).withColumn("_range", of)
+    per_range = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
+    earlier = per_range.select("_range", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_earlier"))
+    counted = ranged.withColumn("_place", F.row_number().over(Window.partitionBy("_range").orderBy("_key")))
+    return counted.join(F.broadcast(earlier), "_range").withColumn(rank_col, F.col("_place") + F.col("_earlier")).drop("_key", "_range", "_place", "_earlier")

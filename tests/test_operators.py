@@ -38,6 +38,12 @@ def test_limit_counts_successes(spark):
     assert sorted(r.path for r in kept) == [f"p/{i:02}.pdf" for i in range(4)]
 
 
+def test_every_path_has_its_rank(spark):
+    every = [f"{i * 37 % 500 // 20}/{'a' if i % 3 else 'a b'}/{i:03}.pdf" for i in range(500)]
+    got = paths.ranked(spark.createDataFrame([(p,) for p in every], "path string").repartition(7)).collect()
+    assert sorted((r.rank, r.path) for r in got) == list(enumerate(sorted(every, key=lambda p: p.split("/")), 1))
+
+
 @pytest.mark.parametrize(("text", "corrupt"), [("a1b " * 6, True), ("a1b a1b a2b a2b a3b a3b", False), ("", False), ("a1b A1B a1b c22d c22d c22d", True), (None, False)])
 def test_looks_corrupt(spark, text, corrupt):
     assert one(spark, text, routing.looks_corrupt) is corrupt
