@@ -55,6 +55,17 @@ def test_repeats_with_shared_ids_and_empty(spark):
     assert substrings.remove_repeats(docs(spark, ["x"]).filter("false")).count() == 0
 
 
+def test_repeats_of_null_ids_with_equal_short_hashes(spark):
+    one, two, filler = prose(1, 40, 10**6), prose(2, 40, 10**6), prose(3, 60, 10**6)
+    n = spark.range(200000)
+    long = n.select(F.concat_ws(" ", F.concat(F.lit("a"), "id"), F.lit(filler), F.lit(one)).alias("x")).withColumn("h", F.hash("x"))
+    short = n.select(F.concat_ws(" ", F.lit(two), F.concat(F.lit("b"), "id")).alias("y")).withColumn("h", F.hash("y"))
+    x, y = long.join(short, "h").select("x", "y").orderBy("x").first()
+    df = spark.createDataFrame([(None, x), (None, y), (3, one), (4, two)], "doc_id long, text string")
+    got = sorted((r.n_words, r.n_removed, r.kept) for r in substrings.remove_repeats(df).collect())
+    assert got == sorted([(101, 40, " ".join(x.split()[:61])), (41, 40, y.split()[-1]), (40, 40, ""), (40, 40, "")])
+
+
 # ------------------------------------------------------------- op 2
 
 
