@@ -8,6 +8,7 @@ over words or documents.
 from __future__ import annotations
 
 import atexit
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -27,18 +28,26 @@ SLICE_BYTES = 1 << 20
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share (spark.checkpoint.dir).
 
-    Only where the setting is missing (tests, local mode) a temporary folder is set.
+    Only a local master may go without the setting (tests): there a temporary folder is set.
     """
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not found:
-        sc = spark.sparkContext
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="foliospark-"))
         found = sc.getCheckpointDir()
-        if not found:
-            sc.setCheckpointDir(tempfile.mkdtemp(prefix="foliospark-"))
-            found = sc.getCheckpointDir()
     return found.rstrip("/")
 
 
+def free_name(df: DataFrame, stem: str) -> str:
+    """A column name that df doesn't have."""
+    taken, name = {c.lower() for c in df.columns}, f"_{stem}"
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def _drop_folder(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm
@@ -79,34 +88,12 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    up, down = np.empty(n, U64), np.empty(n, U64)
-    up[0] = down[0] = 1
-    inverse = pow(base, -1, 1 << 64)
-    done = 1
-    while done < n:
-        step = min(done, n - done)
-        up[done : done + step] = up[:step] * U64(pow(base, done, 1 << 64))
-        down[done : done + step] = down[:step] * U64(pow(inverse, done, 1 << 64))
-        done += step
-    return up, down
-
-
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i < n; grown by doubling and kept by the worker."""
-    if base not in _POWERS or len(_POWERS[base][0]) < n:
-        _POWERS[base] = _powers(base, 1 << max(12, (n - 1).bit_length()))
-    up, down = _POWERS[base]
-    return up[:n], down[:n]
-
-
-BYTE_BASE, WORD_BASE, CHECK_BASE = 0x9E3779B97F4A7C13, 0xD1B54A32D192ED03, 0xAEF17502108EF2DB
-_BYTE = mix(np.arange(1, 257, dtype=U64) * U64(0x9E3779B97F4A7C15))
-_FOLDED = _BYTE.copy()
-_FOLDED[65:91] = _BYTE[97:123]
+WORD_BASE, CHECK_BASE = 0xD1B54A32D192ED03, 0xAEF17502108EF2DB
+WORD_SEED, CHECK_SEED = 0x9E3779B97F4A7C15, 0x3C6EF372FE94F82B
+LANES = 8
+_FOLDED = np.arange(256, dtype=np.uint8)
+_FOLDED[65:91] += 32
+_MASK = np.array([(1 << (8 * k)) - 1 for k in range(9)], U64)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
@@ -151,25 +138,59 @@ class Words:
     def __len__(self) -> int:
         return len(self.starts)
 
-    def hashes(self, fold: bool = False) -> np.ndarray:
-        """64 bits for each word: a polynomial in its bytes; fold: A-Z count as a-z."""
-        up, down = powers(BYTE_BASE, len(self.data) + 1)
-        sums = np.empty(len(self.data) + 1, U64)
-        sums[0] = 0
-        np.cumsum((_FOLDED if fold else _BYTE)[self.data] * up[:-1], out=sums[1:])
-        return mix((sums[self.ends] - sums[self.starts]) * down[self.starts])
+    def hashes(self, fold: bool = False, seed: int = WORD_SEED, some: np.ndarray | None = None) -> np.ndarray:
+        """64 bits for each word (or for some words, by number); fold: A-Z count as a-z.
+
+        A word of up to LANES * 8 bytes goes through a bijective mixer eight bytes at a time, from a
+        start that depends on seed and length, so words of one length up to eight bytes never
+        collide; a longer word is digested by BLAKE2b, keyed by the seed.
+        """
+        starts, ends = (self.starts, self.ends) if some is None else (self.starts[some], self.ends[some])
+        left = ends - starts
+        padded = np.zeros(len(self.data) + 8, np.uint8)
+        np.take(_FOLDED, self.data, out=padded[: len(self.data)]) if fold else padded.__setitem__(slice(len(self.data)), self.data)
+        eight = np.ndarray(len(self.data) + 1, "<u8", padded, strides=(1,))
+        out = mix(left.astype(U64) * U64(0x9FB21C651E98DF25) ^ U64(seed))
+        out = mix(out ^ (eight[starts] & _MASK[np.minimum(left, 8)])) if len(starts) else out
+        at = np.flatnonzero(left > 8)
+        for lane in range(1, LANES):
+            if not len(at):
+                break
+            rest = left[at] - 8 * lane
+            out[at] = mix(out[at] ^ (eight[starts[at] + 8 * lane] & _MASK[np.minimum(rest, 8)]))
+            at = at[rest > 8]
+        key = seed.to_bytes(8, "little")
+        for i in np.flatnonzero(left > 8 * LANES).tolist():
+            out[i] = int.from_bytes(hashlib.blake2b(padded[starts[i] : ends[i]], digest_size=8, key=key).digest(), "little")
+        return out
 
 
 def windows(hashes: np.ndarray, size: int, base: int = WORD_BASE) -> np.ndarray:
-    """64 bits for each run of size hashes (over the slice; runs across documents are the caller's to drop)."""
+    """64 bits for each run of size hashes: a polynomial in them, built by doubling (runs across documents are the caller's to drop)."""
     n = len(hashes) - size + 1
     if n <= 0:
         return np.zeros(0, U64)
-    up, down = powers(base, len(hashes) + 1)
-    sums = np.empty(len(hashes) + 1, U64)
-    sums[0] = 0
-    np.cumsum(hashes * up[:-1], out=sums[1:])
-    return mix((sums[size:] - sums[:n]) * down[:n])
+    out, done, block, width = None, 0, hashes, 1
+    while True:
+        step = U64(pow(base, width, 1 << 64))
+        if size & width:
+            out = block[:n].copy() if out is None else out * step + block[done : done + n]
+            done += width
+        if done == size:
+            return mix(out)
+        block = block[:-width] * step + block[width:]
+        width *= 2
+
+
+def by_row(row: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """The order by (row, key) for fewer than 2**20 rows: one sort of both's high bits; by both in full where these tie."""
+    short = (row.astype(U64) << U64(44)) | (key >> U64(20))
+    order = np.argsort(short)
+    short = short[order]
+    tied = short[1:] == short[:-1]
+    if tied.any() and (key[order][1:] != key[order][:-1])[tied].any():
+        return np.lexsort((key, row))
+    return order
 
 
 def inside(doc: np.ndarray, size: int) -> np.ndarray:
@@ -195,35 +216,48 @@ def text_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     return (b for b in batches if b.num_rows)
 
 
-# ----------------------------------------------------- fixed-size membership filters
+# ----------------------------------------------------------- membership filters
 
+MOST_BITS = 30
 
-def bit_filter(df: DataFrame, column: str, bits: int) -> bytes:
-    """2**bits bits, of which each value of column sets two: by its lowest bits and by its highest.
 
-    Its size is fixed by the parameter, whatever the data; a value may look present
-    that isn't, never the reverse, so callers use it only before an exact step.
-    """
-    from pyspark.sql import functions as F
+def filter_bits(values: int) -> int:
+    """The filter's size for so many values: 16 bits for each at least, in all 2**MOST_BITS at most.
 
-    low = F.col(column).bitwiseAND(F.lit((1 << bits) - 1))
-    high = F.shiftrightunsigned(column, 64 - bits)
-    rows = (
-        df.select(F.explode(F.array(low, high)).alias("at"))
-        .groupBy(F.shiftright("at", 15).alias("block"))
-        .agg(F.expr("bitmap_construct_agg(at & 32767)").alias("bitmap"))
-        .collect()
-    )
-    out = bytearray(1 << (bits - 3))
-    for block, bitmap in rows:
-        out[block * 4096 : block * 4096 + len(bitmap)] = bitmap
-    return bytes(out)
+    Beyond that bound more absent values look present; the exact step that follows every
+    filter then sees more rows, at worst all of them, and results stay the same.
+    """
+    return min(MOST_BITS, max(15, (16 * max(1, values) - 1).bit_length()))
 
 
-def _bit(bitmap: np.ndarray, at: np.ndarray) -> np.ndarray:
-    return (bitmap[(at >> U64(3)).astype(np.int64)] >> (at & U64(7)).astype(np.uint8)) & 1 == 1
+class Filter:
+    """A set of 64-bit values by two bits for each: the lowest bits of the value and the highest.
 
+    A value may look present that isn't, never the reverse, so it only precedes an exact step.
+    """
 
-def has_bit(bitmap: np.ndarray, values: np.ndarray, bits: int) -> np.ndarray:
-    """For each value, whether the filter has both its bits."""
-    return _bit(bitmap, values & U64((1 << bits) - 1)) & _bit(bitmap, values >> U64(64 - bits))
+    def __init__(self, df: DataFrame, column: str):
+        from pyspark.sql import functions as F
+
+        self.bits = filter_bits(df.count())
+        low = F.col(column).bitwiseAND(F.lit((1 << self.bits) - 1))
+        high = F.shiftrightunsigned(column, 64 - self.bits)
+        rows = (
+            df.select(F.explode(F.array(low, high)).alias("at"))
+            .groupBy(F.shiftright("at", 15).alias("block"))
+            .agg(F.expr("bitmap_construct_agg(at & 32767)").alias("bitmap"))
+            .collect()
+        )
+        out = bytearray(1 << (self.bits - 3))
+        for block, bitmap in rows:
+            out[block * 4096 : block * 4096 + len(bitmap)] = bitmap
+        self.bitmap = np.frombuffer(bytes(out), np.uint8)
+
+    def _bit(self, at: np.ndarray) -> np.ndarray:
+        return (self.bitmap[(at >> U64(3)).astype(np.int64)] >> (at & U64(7)).astype(np.uint8)) & 1 == 1
+
+    def has(self, values: np.ndarray) -> np.ndarray:
+        """For each value, whether both its bits are set."""
+        found = self._bit(values & U64((1 << self.bits) - 1))
+        found[found] = self._bit(values[found] >> U64(64 - self.bits))
+        return found
