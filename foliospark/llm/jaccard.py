@@ -3,30 +3,37 @@
 A document's set holds its distinct shingles of SIZE words (A-Z folded; fewer words: the
 whole sequence as one). Two sets link when 100 * intersection >= 80 * union. Such sets
 share a token among the first n - ceil(0.8 n) + 1 of each under any one total order of
-all tokens, so a pair must pass that filter under every order used:
-
-* Order 1 (a hash order) drops documents. Not only one but the first l common tokens of a
-  linked pair stand among the first n - ceil(0.8 n) + l of each. Each document reports so
-  many with l(n) = ceil(n / 5), tokens are counted over all documents, and a document
-  goes on if as many of its own are reported twice as its smallest partner could share.
-* Order 2 makes candidates: documents are posted under their prefix tokens. It puts tokens
-  by how many sets hold them, in LEVELS (as far as scan tasks see a token more than once; a
-  fixed order once found), so that a passage in many unrelated documents stays out of
-  prefixes. Which level a token has only moves cost, never results.
+all tokens, so a candidate pair must pass that filter under every one of three orders:
+
+* Order A puts tokens by how many sets hold them (in steps of four times, as far as scan
+  tasks see a token more than once; fixed once found), then by a hash. Documents are
+  posted under their prefix tokens of order A, so passages of many unrelated documents
+  stay out of most postings. Which step a token has only moves cost, never results.
+* Orders B and C are hash orders. Each set's prefixes under both travel in short form
+  (32 bits a token); a pair of order A goes on only if it shares a token under B and one
+  under C. Only pairs in the intersection of the three filters meet their sets and are verified.
+* Where a posting list would make more pairs than its members have prefix tokens, no pair
+  is made from it: its key grows by the tokens of order B, and then of order C, so that the
+  filters are intersected while there are still only lists.
+* Before all that, a document goes on only if enough of its tokens stand in a second set:
+  the first l common tokens of a linked pair stand among the first n - ceil(0.8 n) + l of
+  each under order C; with l(n) = ceil(n / 5), each document reports so many and needs as
+  many reported twice as its smallest partner could share.
 * Where a token stands in the two sets bounds what they can share from there on; a pair
   meets at a token only if that is enough.
-* Candidates also must share a prefix token under order 3, by which the verified sets
-  are sorted; then the sets themselves are intersected.
-
-Equal sets are one class. No pairs of a whole group are made: in each of ROUNDS rounds a
-posting list meets one leader only, another each round; links are contracted to
-components, and lists within one component are done. Lists that still hold several are
-joined, between different components. Links inside a component can't change it, so the
-components are exact.
-
-Null and empty texts have no shingles and link with nothing. Rows that share an id are one
-document; a row without an id (null) links through an equal set only, and its component
-is that of its equals, else null. Tokens are 64-bit hashes, compared within pairs only.
+
+Equal sets are one class, and a class is one node. No pairs of a whole group are made: in
+each of ROUNDS rounds a posting list meets one leader only (first the member that has the
+fewest rare tokens, as the original of a group of copies has; then others); links are
+contracted to components, and lists within one component are done. Lists that still hold
+several make pairs between different components. Links inside a component can't change
+it, so the components are exact.
+
+Null and empty texts have no shingles and link with nothing; their component is their own
+id. Rows are classes by their sets alone, so ids may repeat or be null: a component's id is
+the least that one of its rows has, null if none has any. Equal rows get equal results.
+Other columns aren't read, whatever their names. A text of any length is one set, held
+whole by one task. Tokens are 64-bit hashes, classes are told apart by 128 bits and n.
 """
 
 from __future__ import annotations
@@ -36,22 +43,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import Words, as_long, bit_filter, has_bit, inside, mix, stage, text_batches, text_slices, widened, windows
+from ._common import Filter, Words, as_long, by_row, inside, mix, stage, text_batches, text_slices, widened, windows
 from .components import components
 
 SIZE = 5
 PERCENT = 80
 SEEDS = (0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179, 0x510E527FADE682D1)
-LEVELS = (6, 24, 96, 384, 1536, 6144)
-LEVEL_BITS = 24
-FILTER_BITS = 26
-ROUNDS = 4
+FIRST_STEP, STEP, STEPS = 6, 4, 15
+ROUNDS = 3
 FLUSH = 1 << 20
 U64 = np.uint64
 
 
 def more_common(n):
-    """l(n): how many common tokens order 1 looks for."""
+    """l(n): how many common tokens the report of order C looks for."""
     return (n + 4) // 5
 
 
@@ -61,7 +66,7 @@ def prefix_length(n, percent: int = PERCENT):
 
 
 class Sets:
-    """The shingle sets of a slice: token and row, sorted by both, and the set sizes n by row."""
+    """The shingle sets of a slice: token and row, sorted by row and then token, and the set sizes n by row."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, size: int = SIZE):
         words = Words(data, offsets)
@@ -75,14 +80,22 @@ class Sets:
                 token.append(mix(windows(hashes, k)[words.doc[short]] ^ U64(k)))
                 row.append(short)
         token, row = np.concatenate(token), np.concatenate(row)
-        order = np.lexsort((token, row))
+        order = by_row(row, token)
         token, row = token[order], row[order]
         new = np.ones(len(token), bool)
         new[1:] = (token[1:] != token[:-1]) | (row[1:] != row[:-1])
-        self.token, self.row = token[new], row[new]
-        self.n = np.bincount(self.row, minlength=len(offsets) - 1)
+        self._hold(token[new], row[new], len(offsets) - 1)
+
+    def _hold(self, token: np.ndarray, row: np.ndarray, rows: int) -> None:
+        self.token, self.row = token, row
+        self.n = np.bincount(row, minlength=rows)
         self.first = np.cumsum(self.n) - self.n
 
+    def keep(self, rows: np.ndarray) -> None:
+        """From now on only some rows have tokens."""
+        use = rows[self.row]
+        self._hold(self.token[use], self.row[use], len(self.n))
+
     def digests(self) -> tuple[np.ndarray, np.ndarray]:
         """128 bits that equal sets share: sums of two mixed forms of their tokens."""
         out = []
@@ -92,16 +105,16 @@ class Sets:
             out.append(mix(sums[self.first + self.n] - sums[self.first] + self.n.astype(U64)))
         return out[0], out[1]
 
-    def prefixes(self, seed: int, length: np.ndarray, levels: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(token, row, rank): of each row the first length[row] tokens under the order of seed, after that of levels."""
-        key = mix(self.token ^ U64(seed)) >> U64(3)
-        for level in levels or ():
-            key += has_bit(level, self.token, LEVEL_BITS).astype(U64) << U64(61)
-        order = np.lexsort((key, self.row))
+    def prefixes(self, seed: int, length: np.ndarray, steps: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(order, row, rank): of each row the first length[row] tokens under the order of seed, after that of steps."""
+        key = mix(self.token ^ U64(seed))
+        if steps is not None:
+            key = (key >> U64(4)) + (steps.astype(U64) << U64(60))
+        order = by_row(self.row, key)
         rank = np.arange(len(order)) - self.first[self.row[order]]
         use = rank < length[self.row[order]]
         order = order[use]
-        return self.token[order], self.row[order], rank[use]
+        return order, self.row[order], rank[use]
 
 
 def _docs(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -137,8 +150,9 @@ def profile(df: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
 
 
 def _reported(sets: Sets, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Order 1's (token, row): the prefix in which the first l(n) common tokens stand."""
-    return sets.prefixes(SEEDS[0], prefix_length(sets.n, percent) + more_common(sets.n) - 1)[:2]
+    """The report of order C (token, row): the prefix in which the first l(n) common tokens stand."""
+    order, row, _ = sets.prefixes(SEEDS[0], prefix_length(sets.n, percent) + more_common(sets.n) - 1)
+    return sets.token[order], row
 
 
 def _reported_twice(docs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -152,120 +166,191 @@ def _reported_twice(docs: DataFrame, size: int, percent: int) -> DataFrame:
                 held += len(found[-1])
                 if held > FLUSH or high == b.num_rows:
                     token, n = np.unique(np.concatenate(found), return_counts=True)
-                    yield pa.RecordBatch.from_arrays([as_long(token), pa.array(n.astype(np.int32))], names=["token", "n"])
+                    yield pa.RecordBatch.from_arrays([as_long(token), pa.array(np.minimum(n, 2).astype(np.int32))], names=["token", "n"])
                     found, held = [], 0
 
     rows = docs.select("_text").mapInArrow(run, "token bigint, n int")
     return rows.groupBy("token").agg(F.sum("n").alias("n")).filter("n > 1").select("token")
 
 
-def _passing(sets: Sets, twice: np.ndarray, bits: int, percent: int) -> np.ndarray:
+def _passing(sets: Sets, twice: Filter, percent: int) -> np.ndarray:
     """By row: whether enough of what it reports is reported twice."""
     token, row = _reported(sets, percent)
-    met = np.bincount(row[has_bit(twice, token, bits)], minlength=len(sets.n))
+    met = np.bincount(row[twice.has(token)], minlength=len(sets.n))
     least = more_common((percent * sets.n + 99) // 100)
     return (sets.n > 0) & (met >= least)
 
 
-def _postings(docs: DataFrame, ranked, twice, bits: int, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(token, c1, c2, n, rank) under order 2 and (c1, c2, n, set) of the documents that pass; set: bytes, sorted by order 3."""
+def _steps(token: np.ndarray, ranked: list[Filter]) -> np.ndarray:
+    """Of each token: in how many of the nested filters it is."""
+    out, at = np.zeros(len(token), np.uint8), np.arange(len(token))
+    for level in ranked:
+        at = at[level.has(token[at])]
+        out[at] += 1
+    return out
 
-    def post(batches):
-        levels, seen = [np.frombuffer(x, np.uint8) for x in ranked.value], np.frombuffer(twice.value, np.uint8)
-        for b in text_batches(batches):
-            for _, _, data, offsets in text_slices(b.column(0)):
-                sets = Sets(data, offsets, size)
-                length = np.where(_passing(sets, seen, bits, percent), prefix_length(sets.n, percent), 0)
-                token, row, rank = sets.prefixes(SEEDS[1], length, levels)
-                c1, c2 = sets.digests()
-                yield pa.RecordBatch.from_arrays([as_long(token), as_long(c1[row]), as_long(c2[row]), pa.array(sets.n[row]), pa.array(rank)], names=["token", "c1", "c2", "n", "rank"])
 
-    def whole(batches):
-        seen = np.frombuffer(twice.value, np.uint8)
+def _lists(values: np.ndarray, count: np.ndarray) -> pa.Array:
+    """Consecutive runs of values, count[i] long, as lists of ints."""
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(count)).astype(np.int32)), pa.array(values.view(np.int32)))
+
+
+POSTED = {"token": "bigint", "c1": "bigint", "c2": "bigint", "n": "bigint", "rank": "bigint", "rare": "bigint", "whole": "binary", "pb": "array<int>", "pc": "array<int>"}
+
+
+def _postings(docs: DataFrame, ranked, twice, size: int, percent: int) -> DataFrame:
+    """Of the documents that pass: rows (token, c1, c2, n, rank, rare) under order A; and rows with
+    whole (the sorted set as bytes), pb and pc (its prefixes under B and C, 32 bits a token)."""
+
+    def post(batches):
         for b in text_batches(batches):
             for _, _, data, offsets in text_slices(b.column(0)):
                 sets = Sets(data, offsets, size)
-                rows = np.flatnonzero(_passing(sets, seen, bits, percent))
+                rows = _passing(sets, twice.value, percent)
+                if not rows.any():
+                    continue
                 c1, c2 = sets.digests()
-                stored = [np.sort(mix(sets.token[sets.first[r] : sets.first[r] + sets.n[r]] ^ U64(SEEDS[2]))).tobytes() for r in rows]
-                yield pa.RecordBatch.from_arrays([as_long(c1[rows]), as_long(c2[rows]), pa.array(sets.n[rows]), pa.array(stored, pa.binary())], names=["c1", "c2", "n", "set"])
-
-    texts = docs.select("_text")
-    return texts.mapInArrow(post, "token bigint, c1 bigint, c2 bigint, n bigint, rank bigint"), texts.mapInArrow(whole, "c1 bigint, c2 bigint, n bigint, set binary")
+                sets.keep(rows)
+                length = np.where(rows, prefix_length(sets.n, percent), 0)
+                steps = _steps(sets.token, ranked.value)
+                rare = np.bincount(sets.row[steps == 0], minlength=len(rows))
+                order, row, rank = sets.prefixes(SEEDS[1], length, steps)
+                nothing = [pa.nulls(len(order), pa.binary()), *(pa.nulls(len(order), pa.list_(pa.int32())) for _ in range(2))]
+                yield pa.RecordBatch.from_arrays([as_long(sets.token[order]), as_long(c1[row]), as_long(c2[row]), pa.array(sets.n[row]), pa.array(rank), pa.array(rare[row]), *nothing], names=[*POSTED])
+                kept = np.flatnonzero(rows)
+                bounds = np.append(sets.first, len(sets.token))
+                raw = sets.token.tobytes()
+                whole = pa.array([raw[8 * bounds[r] : 8 * (bounds[r] + sets.n[r])] for r in kept.tolist()], pa.binary())
+                short = [_lists((mix(sets.token[sets.prefixes(seed, length)[0]] ^ U64(seed)) >> U64(32)).astype(np.uint32), length[kept]) for seed in (SEEDS[2], SEEDS[0])]
+                none = pa.nulls(len(kept), pa.int64())
+                yield pa.RecordBatch.from_arrays([none, as_long(c1[kept]), as_long(c2[kept]), pa.array(sets.n[kept]), none, none, whole, *short], names=[*POSTED])
+
+    return docs.select("_text").mapInArrow(post, ", ".join(f"{k} {v}" for k, v in POSTED.items()))
 
 
 def linked(x: np.ndarray, y: np.ndarray, percent: int = PERCENT) -> bool:
-    """Whether two sets, sorted by order 3, link: the prefix filter, then the intersection."""
-    if not len(np.intersect1d(x[: prefix_length(len(x), percent)], y[: prefix_length(len(y), percent)], assume_unique=True)):
-        return False
+    """Whether two sets, sorted, link."""
     both = len(np.intersect1d(x, y, assume_unique=True))
     return 100 * both >= percent * (len(x) + len(y) - both)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that link."""
+def _met(pairs: DataFrame, by_node: DataFrame, columns: list[str]) -> DataFrame:
+    """pairs (a, b) with the columns of both nodes, in turn."""
+    for side in ("a", "b"):
+        pairs = pairs.join(by_node.select(F.col("node").alias(side), *(F.col(c).alias(f"{side}_{c}") for c in columns)), side)
+    return pairs.select("a", "b", *(f"{s}_{c}" for c in columns for s in "ab"))
+
+
+def _in_every_filter(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs (a, b) that share a prefix token under orders B and C, too."""
+    return _met(pairs, nodes, ["pb", "pc"]).filter(F.arrays_overlap("a_pb", "b_pb") & F.arrays_overlap("a_pc", "b_pc")).select("a", "b")
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets link."""
 
     def run(batches):
         for b in text_batches(batches):
             x, y = b.column(2), b.column(3)
             keep = [linked(np.frombuffer(x[i].as_buffer(), U64), np.frombuffer(y[i].as_buffer(), U64), percent) for i in range(b.num_rows)]
-            yield b.select([0, 1]).filter(pa.array(keep))
+            yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    return _met(pairs, nodes, ["whole"]).mapInArrow(run, "a bigint, b bigint")
+
+
+def _near(a: str, b: str, percent: int):
+    """Whether the sizes allow a link, and the ranks of the token: if it is the first that the two share, all that
+    they share stands from there on, and 100 * shared >= percent * (sizes - shared) must be in reach."""
+    n, m = F.col(f"{a}n"), F.col(f"{b}n")
+    reach = F.least(n - F.col(f"{a}rank"), m - F.col(f"{b}rank"))
+    return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (reach * (100 + percent) >= (n + m) * percent)
+
+
+def _across(known: DataFrame, nodes: DataFrame, percent: int) -> list[DataFrame]:
+    """Pairs (a, b) between different components of each list: known has token, node, n, rank and c.
 
-    one = sets.select(F.col("node").alias("a"), F.col("set").alias("x"))
-    two = sets.select(F.col("node").alias("b"), F.col("set").alias("y"))
-    met = pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y")
-    return met.mapInArrow(run, met.select("a", "b").schema)
+    A list makes its pairs if they are no more than its members' prefix tokens; else its key
+    grows by the prefix tokens of order B, then C, and lists of the longer keys are asked again.
+    """
+    keys, out = ["token"], []
+    for more in ("pb", "pc", None):
+        by_c = known.groupBy(*keys, "c").agg(F.count("*").alias("s"), F.sum(percent_share("n", percent)).alias("p"))
+        sizes = by_c.groupBy(*keys).agg(F.sum("s").alias("all"), F.sum(F.col("s") * F.col("s")).alias("own"), F.sum("p").alias("p")).filter((F.col("all") * F.col("all")) > F.col("own"))
+        sizes = stage(sizes.select(*keys, ((F.col("all") * F.col("all") - F.col("own")) / 2 <= (F.col("p") if more else F.lit(float("inf")))).alias("direct")), "lists")
+        few = known.join(sizes.filter("direct").drop("direct"), keys)
+        x, y = few.alias("x"), few.alias("y")
+        same = [F.col(f"x.{k}") == F.col(f"y.{k}") for k in keys]
+        met = x.join(y, [*same, F.col("x.c") != F.col("y.c"), F.col("x.node") < F.col("y.node"), _near("x.", "y.", percent)])
+        out.append(met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")))
+        many = sizes.filter("NOT direct").drop("direct")
+        if more is None or many.isEmpty():
+            return out
+        known = stage(known.join(many, keys).join(nodes.select("node", more), "node").select(*known.columns, F.explode(more).alias(f"t{more}")), "longer")
+        keys = [*keys, f"t{more}"]
+    return out
 
 
-def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, percent: int = PERCENT, bits: int = FILTER_BITS) -> DataFrame:
+def percent_share(n: str, percent: int):
+    """prefix_length of a column."""
+    return F.col(n) - F.ceil(F.col(n) * percent / 100) + 1
+
+
+def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, percent: int = PERCENT, rounds: int = ROUNDS) -> DataFrame:
     """(id_col, n_shingles, component_id) for each row."""
     spark, docs = df.sparkSession, _docs(df, id_col, text_col)
     rows = stage(profile(df, id_col, text_col, size), "profile")
     digests = rows.filter("NOT heavy").drop("heavy")
-    often = stage(rows.filter("heavy").groupBy("c1").agg(F.sum("n").alias("n")).filter(F.col("n") >= LEVELS[0]), "often")
-    ranked = spark.sparkContext.broadcast([bit_filter(often.filter(F.col("n") >= least), "c1", LEVEL_BITS) for least in LEVELS])
-    twice = spark.sparkContext.broadcast(bit_filter(_reported_twice(docs, size, percent), "token", bits))
-    posted, stored = _postings(docs, ranked, twice, bits, size, percent)
-
-    classes = stage(digests.filter("n > 0").groupBy("c1", "c2", "n").agg(F.min("_id").alias("node")), "classes")
-    named = classes.filter("node IS NOT NULL")
-    lists = stage(posted.distinct().join(named, ["c1", "c2", "n"]).select("token", "node", "n", "rank").distinct(), "postings")
-    sets = stage(stored.groupBy("c1", "c2", "n").agg(F.first("set").alias("set")).join(named, ["c1", "c2", "n"]).select("node", "set"), "sets")
-
-    def near(a: str, b: str):
-        """Whether the sizes allow a link, and the ranks of the token: if it is the first that the two share, all that
-        they share stands from there on, and 100 * shared >= percent * (sizes - shared) must be in reach."""
-        n, m = F.col(f"{a}n"), F.col(f"{b}n")
-        reach = F.least(n - F.col(f"{a}rank"), m - F.col(f"{b}rank"))
-        return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (reach * (100 + percent) >= (n + m) * percent)
+    often = stage(rows.filter("heavy").groupBy("c1").agg(F.sum("n").alias("n")).filter(F.col("n") >= FIRST_STEP), "often")
+    most = often.agg(F.max("n")).first()[0] or 0
+    floors = [FIRST_STEP * STEP**k for k in range(STEPS) if FIRST_STEP * STEP**k <= most]
+    ranked = spark.sparkContext.broadcast([Filter(often.filter(F.col("n") >= least), "c1") for least in floors])
+    twice = spark.sparkContext.broadcast(Filter(stage(_reported_twice(docs, size, percent), "twice"), "token"))
+    posted = stage(_postings(docs, ranked, twice, size, percent), "posted")
+
+    # One node for each class of equal sets; the number is fixed by being written.
+    classes = digests.filter("n > 0").groupBy("c1", "c2", "n").agg(F.min("_id").alias("least"))
+    classes = stage(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    name = ["c1", "c2", "n"]
+    lists = stage(posted.filter("token IS NOT NULL").drop("whole", "pb", "pc").distinct().join(classes, name).select("token", "node", "n", "rank", "rare"), "postings")
+    held = posted.filter("token IS NULL").groupBy(*name).agg(*(F.first(c).alias(c) for c in ("whole", "pb", "pc")))
+    nodes = stage(held.join(classes, name).select("node", "whole", "pb", "pc"), "sets")
 
     known = lists.withColumn("c", F.col("node"))
     tested = links = None
-    for k in range(ROUNDS):
+
+    def verify(pairs: DataFrame) -> None:
+        nonlocal tested, links
+        pairs = stage(pairs.distinct() if tested is None else pairs.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
+        new = stage(_verified(_in_every_filter(pairs, nodes), nodes, percent), "links")
+        tested, links = (pairs, new) if tested is None else (tested.unionByName(pairs), links.unionByName(new))
+
+    labels = None
+    for k in range(rounds):
         # Lists that hold several components; each has a leader, another in each round.
-        leader = F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("h"), "node", "n", "c", "rank")).alias("l")
+        first = [] if k else ["rare"]
+        leader = F.min(F.struct(*first, F.xxhash64("node", F.lit(k)).alias("h"), "node", "n", "c", "rank")).alias("l")
         leaders = known.groupBy("token").agg(leader, (F.min("c") != F.max("c")).alias("mixed")).filter("mixed").drop("mixed")
-        led = known.join(leaders, "token").filter((F.col("c") != F.col("l.c")) & near("", "l."))
-        pairs = led.select(F.least("node", "l.node").alias("a"), F.greatest("node", "l.node").alias("b")).distinct()
-        pairs = stage(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        new = stage(_verified(pairs, sets, percent), "links")
-        tested, links = (pairs, new) if tested is None else (tested.unionByName(pairs), links.unionByName(new))
+        led = known.join(leaders, "token").filter((F.col("c") != F.col("l.c")) & _near("", "l.", percent))
+        verify(led.select(F.least("node", "l.node").alias("a"), F.greatest("node", "l.node").alias("b")))
         labels = components(links)
         known = lists.join(labels, "node", "left").select("token", "node", "n", "rank", F.coalesce("component", "node").alias("c"))
         mixed = known.groupBy("token").agg((F.min("c") != F.max("c")).alias("mixed")).filter("mixed").select("token")
         known = stage(known.join(mixed, "token"), "mixed")
         if known.isEmpty():
             break
+    else:
+        pairs = _across(known, nodes, percent)
+        every = pairs[0]
+        for more in pairs[1:]:
+            every = every.unionByName(more)
+        verify(every)
+        labels = components(links)
 
-    # What is still mixed meets across components.
-    x, y = known.alias("x"), known.alias("y")
-    cross = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.c") != F.col("y.c")) & (F.col("x.node") < F.col("y.node")) & near("x.", "y."))
-    cross = cross.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-    last = stage(_verified(stage(cross, "cross"), sets, percent), "links")
-    labels = components(links.unionByName(last))
-
-    found = digests.filter("n > 0").join(classes, ["c1", "c2", "n"]).join(labels, "node", "left")
-    found = found.select("_id", "n", F.coalesce("component", "node").alias("component_id"))
+    # A component's id is the least of its classes' least ids.
+    named = stage(classes.join(labels, "node", "left").withColumn("c", F.coalesce("component", "node")), "named")
+    ids = named.groupBy("c").agg(F.min("least").alias("component_id"))
+    by_class = named.join(ids, "c").select(*name, "component_id")
+    found = digests.filter("n > 0").join(by_class, name).select("_id", "n", "component_id")
     alone = digests.filter("n = 0").select("_id", "n", F.col("_id").alias("component_id"))
     return found.unionByName(alone).select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
 
