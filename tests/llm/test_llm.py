@@ -26,6 +26,12 @@ def prose(seed, n, words=400):
     return " ".join(f"w{r.randrange(words)}" for _ in range(n))
 
 
+def thue_morse(n):
+    """Two words of n letters, each the other's complement."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return ["".join("ab"[b ^ k] for b in bits) for k in (0, 1)]
+
+
 EDGE = [None, "", "   ", "uno", "\t dos \n", "ñandú " * 3, "x" * 5000, "a b " * 400]
 
 
@@ -99,11 +105,30 @@ def test_jaccard(spark):
 
 
 def test_jaccard_nulls_and_empty(spark):
-    rows = spark.createDataFrame([(None, "a b c d e"), (3, "a b c d e"), (None, "z z z z z z")], "doc_id long, text string")
-    assert sorted(((r.doc_id, r.component_id) for r in jaccard.jaccard_components(rows).collect()), key=str) == [(3, 3), (None, 3), (None, None)]
+    long = prose(3, 80)
+    rows = spark.createDataFrame([(None, "a b c d e"), (3, "a b c d e"), (None, "z z z z z z"), (None, long), (7, long + " more"), (7, "other words are here now")], "doc_id long, text string").withColumn("n", F.lit("x")).withColumn("token", F.lit(1))
+    got = sorted(((r.doc_id, r.component_id) for r in jaccard.jaccard_components(rows).collect()), key=str)
+    assert got == sorted([(3, 3), (None, 3), (None, None), (None, 7), (7, 7), (7, 7)], key=str)
     assert jaccard.jaccard_components(rows.filter("false")).count() == 0
 
 
+def test_jaccard_words_that_collide_in_polynomials(spark):
+    from string import ascii_lowercase
+
+    tail = " ".join(ascii_lowercase)
+    texts = [f"{w} {tail[:7]}" for w in thue_morse(1024)] + [f"{w} {tail[:7]}" for w in thue_morse(4096)]
+    got = {r.doc_id: r.component_id for r in jaccard.jaccard_components(docs(spark, texts)).collect()}
+    assert got == {i: i for i in range(4)}
+
+
+def test_jaccard_across_lists(spark):
+    """Without leader rounds, keys of one, two and three orders make the pairs."""
+    base, passage = prose(1, 60), prose(9, 40)
+    texts = [*(edited(base, s, 0.015) for s in range(60)), *(f"{passage} {prose(s, 9)}" for s in range(60, 130)), *(prose(s, 12) + " " + passage for s in range(130, 160))]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(docs(spark, texts), rounds=0).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_classes(texts)
+
+
 def test_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(30)] + [(50, 40), (60, 60)], "a long, b long")
     got = {r.node: r.component for r in components.components(links).collect()}
@@ -216,58 +241,100 @@ def test_language_model(spark):
     assert [(r.n_known, r.train_tokens) for r in nothing] == [(0, 0), (0, 0)]
 
 
-def brute_bits(text, tree):
-    """(symbol's place in the text, gate, keys of the three predictors, value) of each bit."""
-    words = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or "")) or [""]
-    done, out = b"", []
-    for i, w in enumerate(w.encode() for w in words):
-        for k, sym in enumerate(w + (b" " if i < len(words) - 1 else b"\n")):
-            for depth in range(tree.length[sym]):
-                gate = min(depth, lm.DEPTHS - 1) * lm.PLACES + min(k, lm.PLACES - 1)
-                out.append((len(done), gate, [(j, c, tree.node[sym, depth]) for j, c in enumerate((w[:k], done[-6:], done[-4:]))], int(tree.bit[sym, depth])))
-            done += bytes([sym])
+def test_huffman_tree():
+    counts = [50, 1, 0, 7, 7, 20]
+    tree = lm.Tree(counts)
+    codes = ["".join(map(str, tree.bit[i, : tree.length[i]])) for i in range(6)]
+    assert not any(x != y and y.startswith(x) for x in codes for y in codes) and sum(2.0 ** -len(c) for c in codes) == 1
+    best, heap = 0, sorted(c + 1 for c in counts)
+    while len(heap) > 1:
+        heap = sorted([heap[0] + heap[1], *heap[2:]])
+        best += heap[0] if len(heap) == 1 else 0
+    assert len(codes[0]) == min(map(len, codes))
+    root = tree.node[0, 0]
+    ones = sum(c + 1 for c, code in zip(counts, codes, strict=True) if code[0] == "1")
+    assert tree.share[root] == pytest.approx(math.log((ones + 0.4) / (sum(counts) + 6 - ones + 0.4)))
+
+
+def lm_tokens(text):
+    return [*(w.encode() for w in WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))), None]
+
+
+def lm_decisions(text, code):
+    """What score() has to decide for a text, in plain Python: for each token its id, its code's and its bytes' (depth, node, cells, value), what followed the same two tokens, and the run table's key."""
+    from foliospark.llm._common import Words
+
+    raw = (text or "").encode()
+    words = Words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+    hashes = [*words.hashes(fold=True).tolist(), int(lm.END_WORD)]
+    rank = {int(h): int(r) for h, r in zip(code.known, code.rank, strict=True)}
+    ids = [rank.get(h, code.escape) for h in hashes[:-1]] + [code.end]
+    toks, seen, out = lm_tokens(text), {}, []
+    one = lambda x, kind=np.uint64: np.array([x], kind)
+    for i, (tok, num) in enumerate(zip(toks, ids, strict=True)):
+        past = [ids[i - k] if i >= k else code.none for k in range(1, 7)]
+        bits = []
+        for d in range(code.words.length[num]):
+            node, value = int(code.words.node[num, d]), int(code.words.bit[num, d])
+            cells = [int(code.cells("word", one(past[0]), one(node))[0]), int(code.cells("anchor", one(min(past)), one(node))[0])]
+            bits.append((d, node, cells, value))
+        spelt = []
+        if num == code.escape:
+            for k, sym in enumerate(tok + b" "):
+                for d in range(code.bytes.length[sym]):
+                    node, cells = int(code.bytes.node[sym, d]), []
+                    for w in (2, 4, 6):
+                        have = min(k, w)
+                        x = int.from_bytes(tok[k - have : k], "little")
+                        cells.append(int(code.cells("bytes", lm.mix(one((x * 8 + have + (w << 56)) % (1 << 64))), one(node))[0]))
+                    spelt.append((k, d, node, cells, int(code.bytes.bit[sym, d])))
+        two = tuple(toks[i - k] if i >= k else 0 for k in (1, 2))
+        before = [*seen.get(two, [])]
+        seen.setdefault(two, []).append(i)
+        context = lm.mix(one(3))
+        x = one(3)
+        for k in (1, 2, 3):
+            x = lm.mix(x * np.uint64(0x9E3779B97F4A7C15) + one(hashes[i - k] if i >= k else 0))
+        out.append({"tok": tok, "hash": hashes[i], "id": num, "last": past[0], "bits": bits, "spelt": spelt, "before": before, "run": int(x[0])})
     return out
 
 
-def brute_model(texts, folds):
-    """Symbol counts, tree, predictor of the whole corpus, weights and map: every text counts, and is fitted by the other fold's counts."""
-    symbols = collections.Counter(b for t in texts for b in (" ".join(WORD.findall((t or "").lower())) + "\n").encode())
-    counts = [symbols[b] for b in range(256)]
-    tree = lm.Tree(counts)
-    bits = [brute_bits(t, tree) for t in texts]
-    seen = collections.Counter((fold, key, value) for b, fold in zip(bits, folds, strict=True) for _, _, keys, value in b for key in keys)
-
-    def stretch(key, use):
-        zero, one = (sum(seen[f, key, v] for f in use) for v in (0, 1))
-        return int(np.clip(round(math.log((one + 0.4) / (zero + 0.4)) * 127 / lm.LIMIT), -127, 127)) * lm.LIMIT / 127
-
-    step = 2 * lm.LIMIT / (lm.LEVELS - 1)
-    rows = [([round(stretch(k, [1 - fold]) / step) * step for k in keys], gate, value) for b, fold in zip(bits, folds, strict=True) for _, gate, keys, value in b]
-    x, gate, value = np.array([r[0] for r in rows]).T, np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
-    return counts, tree, lambda key: stretch(key, [0, 1]), *lm.fit_mixer(x, gate, 1 - value, value)
-
-
-def test_language_model_learns_every_text(spark):
-    texts = ["Uno dos", None, *(prose(s, 60, 8) for s in range(12))]
-    df = docs(spark, texts)
-    folds = [r[0] for r in df.orderBy("doc_id").select(F.expr("pmod(xxhash64(coalesce(text, '')), 2)")).collect()]
-    counts, tree, stretch, weights, chart = brute_model(texts, folds)
-    model = lm.train(df, "text")
-    assert model.counts == counts and set(folds) == {0, 1}
-    assert model.weights == pytest.approx(weights, abs=1e-3) and model.chart == pytest.approx(chart, abs=1e-3)
-    got = {r.doc_id: r.score for r in lm.score(df, F.lit(True)).collect()}
-    for i, text in enumerate(texts):
-        assert got[i] == pytest.approx(brute_score(text, tree, stretch, weights, chart), rel=1e-2)
-
-
-def brute_score(text, tree, stretch, weights, chart, block=lm.BLOCK):
-    """Each block of symbols is scored by what the text's blocks before it have taught its weights and map."""
-    weights, chart, total = weights.copy(), chart.copy(), 0.0
-    bits = brute_bits(text, tree)
-    for first in range(0, bits[-1][0] + 1, block):
+def lm_reference(text, model):
+    """score() of a text, one decision at a time."""
+    code, tokens = model.code, lm_decisions(text, model.code)
+    st = lambda zero, one: max(-lm.LIMIT, min(lm.LIMIT, math.log((one + 0.4) / (zero + 0.4))))
+    cell = lambda c: float(model.table[c]) * lm.LIMIT / 127
+    units = []
+    for i, t in enumerate(tokens):
+        at = t["run"] >> (64 - code.bits["run"])
+        check = (t["run"] >> (56 - code.bits["run"])) & 255
+        part, whole, token = int(model.conf[at]) >> 4, int(model.conf[at]) & 15, int(model.token[at])
+        known, word = whole > 0 and token >> 24 == check, t["hash"] >> 40
+        b = t["before"]
+        say = tokens[b[-1]] if b else None
+        right = [tokens[x]["tok"] == tokens[tokens[x]["before"][-1]]["tok"] if tokens[x]["before"] else False for x in b]
+        state = 0 if not b else 1 + 2 * (len(b) > 1) + (len(b) > 1 and right[-1]) + 2 * (len(b) > 2 and right[-1] and right[-2])
+        agree = known and bool(b) and say["hash"] >> 40 == token & 0xFFFFFF
+        now, done = [], False
+        if known:
+            says = 0 if not b else 1 if agree else 2
+            now.append((lm.MATCH + 2 * says + (part == whole), [st(whole - part, part), (0, 0.5, -0.5)[says] * state, 0], int(word == token & 0xFFFFFF)))
+            done = word == token & 0xFFFFFF
+        if b and not done and not agree:
+            now.append((lm.REPEAT + 2 * min(state - 1, 5) + known, [0, 0.5 * state, 0], int(say["tok"] == t["tok"])))
+            done = say["tok"] == t["tok"]
+        if not done:
+            for d, node, cells, value in t["bits"]:
+                now.append((lm.WORD + 2 * min(d, lm.DEPTHS - 1) + (t["last"] >= code.escape), [float(code.words.share[node]), *map(cell, cells)], value))
+        units.append(now)
+        if not done and t["spelt"]:
+            for k in range(len(t["tok"]) + 1):
+                units.append([(lm.BYTE + 4 * min(d, 3) + min(k, lm.PLACES - 1), [*map(cell, cells)], value) for j, d, _, cells, value in t["spelt"] if j == k])
+    weights, chart, total = model.weights.copy(), model.chart.copy(), 0.0
+    for low in range(0, len(units), lm.BLOCK):
         errors, hits = collections.defaultdict(list), collections.defaultdict(list)
-        for _, gate, keys, value in (b for b in bits if first <= b[0] < first + block):
-            x = np.array([stretch(k) for k in keys])
+        for gate, x, value in (d for u in units[low : low + lm.BLOCK] for d in u):
+            x = np.array([*x, 1.0])
             mixed = weights[gate] @ x
             p, at = float(lm._squash(mixed)), (gate, int(lm._step(mixed)))
             refined = 0.5 * (p + chart[at])
@@ -281,16 +348,57 @@ def brute_score(text, tree, stretch, weights, chart, block=lm.BLOCK):
     return total
 
 
-def test_language_model_adapts_within_a_text(spark):
-    texts = [prose(s, 60, 8) for s in range(12)]
-    _, tree, stretch, weights, chart = brute_model(texts, [r[0] for r in docs(spark, texts).orderBy("doc_id").select(F.expr("pmod(xxhash64(text), 2)")).collect()])
-    held = ["zz zy " * 40, prose(99, 60, 8), "w1"]
-    df = docs(spark, [*texts, *held])
-    got = {r.doc_id: r.score for r in lm.score(df, F.col("doc_id") < 12).collect()}
-    for i, text in enumerate(held, 12):
-        assert got[i] == pytest.approx(brute_score(text, tree, stretch, weights, chart), rel=1e-2)
-    # Under 2,048 symbols, the text that differs from the corpus gains by what it teaches.
-    assert got[12] > 0.97 * brute_score(held[0], tree, stretch, weights, chart, block=2048)
+def lm_model(df):
+    counts = lm.stage(lm.word_counts(df.select("text")), "words")
+    return lm.train(df, "text", counts, counts.agg(F.sum("n")).first()[0])
+
+
+def test_language_model_counts_every_text(spark, monkeypatch):
+    monkeypatch.setattr(lm, "TOP", 40)
+    texts = ["Uno dos", None, *(prose(s, 60, 90) for s in range(12)), prose(3, 60, 90), "uno " * 30]
+    model = lm_model(docs(spark, texts))
+    counts, runs = collections.Counter(), collections.defaultdict(collections.Counter)
+    for text in texts:
+        for t in lm_decisions(text, model.code):
+            for _, _, cells, value in t["bits"]:
+                counts.update((c, value) for c in cells)
+            for _, _, _, cells, value in t["spelt"]:
+                counts.update((c, value) for c in cells)
+            runs[t["run"]][t["hash"] >> 40] += 1
+    cells = {c for c, _ in counts}
+    want = {c: round(float(lm.stretch(np.float32(counts[c, 0]), np.float32(counts[c, 1]))) * 127 / lm.LIMIT) for c in cells}
+    assert len(cells) > 1000 and want == {c: int(model.table[c]) for c in cells} and not model.table[[c for c in range(len(model.table)) if c not in cells][:1000]].any()
+    bits, held = model.code.bits["run"], 0
+    for context, after in runs.items():
+        at = context >> (64 - bits)
+        if (context >> (56 - bits)) & 255 == int(model.token[at]) >> 24:
+            part, whole = int(model.conf[at]) >> 4, int(model.conf[at]) & 15
+            held += after[int(model.token[at]) & 0xFFFFFF] == max(after.values()) and (part, whole) == (max(after.values()), sum(after.values())) or sum(after.values()) > 15
+    assert held > 0.9 * len(runs)
+
+
+def test_language_model_scores_like_the_reference(spark, monkeypatch):
+    monkeypatch.setattr(lm, "TOP", 40)
+    texts = ["Uno dos", None, *(prose(s, 60, 90) for s in range(12)), prose(3, 60, 90)]
+    held = ["", "zz zy " * 40, prose(99, 200, 90), prose(3, 40, 90) + " ñandú", "w1", prose(5, 60, 90)[20:200], "a b c d " * 30]
+    model = lm_model(docs(spark, texts))
+    got = {r.doc_id: r.score for r in lm.score(docs(spark, [*texts, *held]), F.col("doc_id") < len(texts)).collect()}
+    for i, text in enumerate([*texts, *held]):
+        assert got[i] == pytest.approx(lm_reference(text, model), rel=2e-4), text
+    assert got[len(texts) + 1] > 0.8 * lm_reference(" ".join(f"q{i}" for i in range(80)), model)
+
+
+def test_language_model_pieces_of_a_long_text(spark, monkeypatch):
+    """A text in pieces scores as in one, and a text of one long word ends."""
+    texts = [*(prose(s, 300, 90) for s in range(5)), prose(7, 4000, 300), "x" * 3000]
+    train = F.col("doc_id") < 5
+    whole = {r.doc_id: r.score for r in lm.score(docs(spark, texts), train).collect()}
+    model = lm_model(docs(spark, texts[:5]))
+    monkeypatch.setattr(lm, "CHUNK", 1024)
+    for i in (5, 6):
+        raw = texts[i].encode()
+        tokens = lm.Tokens(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), model.code)
+        assert lm.score_slice(tokens, model)[0] == pytest.approx(whole[i], rel=1e-5)
 
 
 # ------------------------------------------------------------- op 7
