@@ -12,7 +12,7 @@ all tokens, so a candidate pair must pass that filter under every one of three o
 * Orders B and C are hash orders. Each set's prefixes under both travel in short form
   (32 bits a token); a pair of order A goes on only if it shares a token under B and one
   under C. Only pairs in the intersection of the three filters meet their sets and are verified.
-* Where a posting list would make more pairs than its members have prefix tokens, no pair
+* Where a posting list would make many more pairs than its members have prefix tokens, no pair
   is made from it: its key grows by the tokens of order B, and then of order C, so that the
   filters are intersected while there are still only lists.
 * Before all that, a document goes on only if enough of its tokens stand in a second set:
@@ -50,7 +50,8 @@ SIZE = 5
 PERCENT = 80
 SEEDS = (0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179, 0x510E527FADE682D1)
 FIRST_STEP, STEP, STEPS = 6, 4, 15
-ROUNDS = 3
+ROUNDS = 2
+PAIRS = 8
 FLUSH = 1 << 20
 U64 = np.uint64
 
@@ -266,17 +267,28 @@ def _near(a: str, b: str, percent: int):
     return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (reach * (100 + percent) >= (n + m) * percent)
 
 
+def _alive(known: DataFrame, percent: int) -> DataFrame:
+    """The postings of lists that hold several components, without those that no size in the list leaves in reach.
+
+    _near() at a token asks of a member of size n and rank r: (n - r) * (100 + percent) >= (n + m) * percent for
+    a partner of size m; the list's least size, or the least that may link, is the easiest partner there can be.
+    """
+    by_token = known.groupBy("token").agg((F.min("c") != F.max("c")).alias("mixed"), F.min("n").alias("m")).filter("mixed").drop("mixed")
+    easiest = F.greatest(F.col("m") * 100, F.col("n") * percent)
+    return known.join(by_token, "token").filter((F.col("n") - F.col("rank")) * (100 + percent) * 100 >= (F.col("n") * 100 + easiest) * percent).drop("m")
+
+
 def _across(known: DataFrame, nodes: DataFrame, percent: int) -> list[DataFrame]:
     """Pairs (a, b) between different components of each list: known has token, node, n, rank and c.
 
-    A list makes its pairs if they are no more than its members' prefix tokens; else its key
-    grows by the prefix tokens of order B, then C, and lists of the longer keys are asked again.
+    A list makes its pairs if they are no more than PAIRS for each of its members' prefix tokens;
+    else its key grows by the prefix tokens of order B, then C, and lists of the longer keys are asked again.
     """
     keys, out = ["token"], []
     for more in ("pb", "pc", None):
         by_c = known.groupBy(*keys, "c").agg(F.count("*").alias("s"), F.sum(percent_share("n", percent)).alias("p"))
         sizes = by_c.groupBy(*keys).agg(F.sum("s").alias("all"), F.sum(F.col("s") * F.col("s")).alias("own"), F.sum("p").alias("p")).filter((F.col("all") * F.col("all")) > F.col("own"))
-        sizes = stage(sizes.select(*keys, ((F.col("all") * F.col("all") - F.col("own")) / 2 <= (F.col("p") if more else F.lit(float("inf")))).alias("direct")), "lists")
+        sizes = stage(sizes.select(*keys, ((F.col("all") * F.col("all") - F.col("own")) / 2 <= (F.col("p") * PAIRS if more else F.lit(float("inf")))).alias("direct")), "lists")
         few = known.join(sizes.filter("direct").drop("direct"), keys)
         x, y = few.alias("x"), few.alias("y")
         same = [F.col(f"x.{k}") == F.col(f"y.{k}") for k in keys]
@@ -334,8 +346,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
         verify(led.select(F.least("node", "l.node").alias("a"), F.greatest("node", "l.node").alias("b")))
         labels = components(links)
         known = lists.join(labels, "node", "left").select("token", "node", "n", "rank", F.coalesce("component", "node").alias("c"))
-        mixed = known.groupBy("token").agg((F.min("c") != F.max("c")).alias("mixed")).filter("mixed").select("token")
-        known = stage(known.join(mixed, "token"), "mixed")
+        known = stage(_alive(_alive(known, percent), percent), "mixed")
         if known.isEmpty():
             break
     else:

@@ -121,8 +121,10 @@ def test_jaccard_words_that_collide_in_polynomials(spark):
     assert got == {i: i for i in range(4)}
 
 
-def test_jaccard_across_lists(spark):
+@pytest.mark.parametrize("pairs", [0, jaccard.PAIRS])
+def test_jaccard_across_lists(spark, monkeypatch, pairs):
     """Without leader rounds, keys of one, two and three orders make the pairs."""
+    monkeypatch.setattr(jaccard, "PAIRS", pairs)
     base, passage = prose(1, 60), prose(9, 40)
     texts = [*(edited(base, s, 0.015) for s in range(60)), *(f"{passage} {prose(s, 9)}" for s in range(60, 130)), *(prose(s, 12) + " " + passage for s in range(130, 160))]
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(docs(spark, texts), rounds=0).collect()}
