@@ -192,20 +192,15 @@ def _window_rows(d1: np.ndarray, d2: np.ndarray, t1: np.ndarray, t2: np.ndarray,
 
 
 def _met_windows(batches) -> Iterator[pa.RecordBatch]:
-    """(t1, t2, starts) from rows of WINDOWS sorted by digests: of windows whose digests a neighbour has, and of settled ones."""
-    held: list[tuple[np.ndarray, ...]] = []
+    """(t1, t2, start) from rows of WINDOWS sorted by digests: of windows whose digests a neighbour has, and of settled ones."""
     last = None  # the row before this batch: digests, text, start, and whether it has met its like
-
-    def out() -> Iterator[pa.RecordBatch]:
-        if held:
-            x, y, starts = _grouped(*(np.concatenate(c) for c in zip(*held, strict=True)))
-            held.clear()
-            yield pa.RecordBatch.from_arrays([as_long(x), as_long(y), pa.array(starts, pa.binary())], names=["t1", "t2", "starts"])
-
+    names = ["t1", "t2", "start"]
     for b in text_batches(batches):
         settled = b.column(5).is_valid()
         if (some := b.filter(settled)).num_rows:
-            yield some.select([2, 3, 5])
+            starts = [np.frombuffer(x.as_buffer(), np.int32) for x in some.column(5)]
+            each = pa.array(np.repeat(np.arange(len(starts)), [len(x) for x in starts]))
+            yield pa.RecordBatch.from_arrays([some.column(2).take(each), some.column(3).take(each), pa.array(np.concatenate(starts))], names=names)
         b = b.filter(pa.compute.invert(settled))
         if not b.num_rows:
             continue
@@ -217,15 +212,12 @@ def _met_windows(batches) -> Iterator[pa.RecordBatch]:
         use = met & (start >= 0)
         if last is not None and last[5]:
             use[0] = False  # it went out with the batch before
-        held.append((t1[use], t2[use], start[use]))
+        yield pa.RecordBatch.from_arrays([pa.array(t1[use]), pa.array(t2[use]), pa.array(start[use])], names=names)
         last = (d1[-1], d2[-1], t1[-1], t2[-1], start[-1], bool(met[-1]))
-        if sum(len(h[0]) for h in held) > FLUSH:
-            yield from out()
-    yield from out()
 
 
 def repeated_windows(df: DataFrame, text_col: str, seen, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """(t1, t2, starts): by text digest, the starts of verified windows (each once, as bytes of int32; a text may have several rows)."""
+    """(t1, t2, start): by text digest, the starts of verified windows; a start may come more than once."""
 
     def run(batches):
         held, n = [], 0
@@ -256,14 +248,13 @@ def repeated_windows(df: DataFrame, text_col: str, seen, window: int = WINDOW, g
 
     found = df.select(text_col).mapInArrow(run, ", ".join(f"{k} {v}" for k, v in WINDOWS.items()))
     sorted_ = found.repartition(partitions(df.sparkSession), "d1", "d2").sortWithinPartitions("d1", "d2")
-    return sorted_.mapInArrow(_met_windows, "t1 bigint, t2 bigint, starts binary")
+    return sorted_.mapInArrow(_met_windows, "t1 bigint, t2 bigint, start int")
 
 
-def _kept(text: bytes, starts: list[bytes], window: int) -> tuple[int, bytes]:
+def _kept(text: bytes, at: np.ndarray, window: int) -> tuple[int, bytes]:
     """Words removed and what is kept."""
     found = text.split()
     gone = np.zeros(len(found) + 1, np.int64)
-    at = np.unique(np.frombuffer(b"".join(starts), np.int32))
     gone[at] += 1
     gone[at + window] -= 1
     keep = np.cumsum(gone[:-1]) == 0
@@ -273,7 +264,7 @@ def _kept(text: bytes, starts: list[bytes], window: int) -> tuple[int, bytes]:
 def remove_seen(df: DataFrame, seen_twice: Filter, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """(id_col, n_words, n_removed, kept): each text of df without the passages that repeat in df; seen_twice has at least df's fingerprints that do."""
     shared = df.sparkSession.sparkContext.broadcast(seen_twice)
-    starts = repeated_windows(df, text_col, shared, window, gram).groupBy("t1", "t2").agg(F.collect_list("starts").alias("starts"))
+    starts = repeated_windows(df, text_col, shared, window, gram).groupBy("t1", "t2").agg(F.collect_set("start").alias("starts"))
 
     def split(batches):
         """Rows without a candidate window are done here; the others' texts go on to meet their windows."""
@@ -294,7 +285,7 @@ def remove_seen(df: DataFrame, seen_twice: Filter, id_col: str = "doc_id", text_
         for b in text_batches(batches):
             removed, kept = [], []
             for text, at in zip(b.column(2), b.column(3), strict=True):
-                n, rest = _kept(text.as_buffer().to_pybytes(), at.as_py() or [], window)
+                n, rest = _kept(text.as_buffer().to_pybytes(), at.values.to_numpy() if at.is_valid else np.zeros(0, np.int32), window)
                 removed.append(n)
                 kept.append(rest)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], names=[id_col, "n_words", "n_removed", "kept"])
