@@ -282,12 +282,14 @@ def lm_decisions(text, code):
             bits.append((d, node, cells, value))
         spelt = []
         if num == code.escape:
-            for k, sym in enumerate(tok + b" "):
+            whole = tok + (b" \0" if len(tok) % 2 == 0 else b" ")
+            for k in range(len(whole) // 2):
+                sym = int.from_bytes(whole[2 * k : 2 * k + 2], "little")
                 for d in range(code.bytes.length[sym]):
                     node, cells = int(code.bytes.node[sym, d]), []
-                    for w in (2, 4, 6):
+                    for w in (1, 2, 3):
                         have = min(k, w)
-                        x = int.from_bytes(tok[k - have : k], "little")
+                        x = int.from_bytes(tok[2 * (k - have) : 2 * k], "little")
                         cells.append(int(code.cells("bytes", lm.mix(one((x * 8 + have + (w << 56)) % (1 << 64))), one(node))[0]))
                     spelt.append((k, d, node, cells, int(code.bytes.bit[sym, d])))
         two = tuple(toks[i - k] if i >= k else 0 for k in (1, 2))
@@ -330,12 +332,14 @@ def lm_reference(text, model):
                 now.append((lm.WORD + 2 * min(d, lm.DEPTHS - 1) + (t["last"] >= code.escape), [float(code.words.share[node]), *map(cell, cells)], value))
         units.append(now)
         if not done and t["spelt"]:
-            for k in range(len(t["tok"]) + 1):
+            for k in range(len(t["tok"]) // 2 + 1):
                 units.append([(lm.BYTE + 4 * min(d, 3) + min(k, lm.PLACES - 1), [*map(cell, cells)], value) for j, d, _, cells, value in t["spelt"] if j == k])
     weights, chart, total = model.weights.copy(), model.chart.copy(), 0.0
-    for low in range(0, len(units), lm.BLOCK):
+    low = 0
+    while low < len(units):
+        size = next(n for upto, n in lm.BLOCKS if low < upto or not upto)
         errors, hits = collections.defaultdict(list), collections.defaultdict(list)
-        for gate, x, value in (d for u in units[low : low + lm.BLOCK] for d in u):
+        for gate, x, value in (d for u in units[low : low + size] for d in u):
             x = np.array([*x, 1.0])
             mixed = weights[gate] @ x
             p, at = float(lm._squash(mixed)), (gate, int(lm._step(mixed)))
@@ -346,7 +350,8 @@ def lm_reference(text, model):
         for gate, e in errors.items():
             weights[gate] += lm.RATE * sum(e) / math.sqrt(len(e))
         for at, v in hits.items():
-            chart[at] += (1 - (1 - lm.MAP_RATE) ** len(v)) * (sum(v) / len(v) - chart[at])
+            chart[at] += min(lm.MAP_RATE, 1 / len(errors[at[0]])) * sum(y - chart[at] for y in v)
+        low += size
     return total
 
 
@@ -391,7 +396,7 @@ def test_language_model_scores_like_the_reference(spark, monkeypatch):
 
 
 def test_language_model_pieces_of_a_long_text(spark, monkeypatch):
-    """A text in pieces scores as in one, and a text of one long word ends."""
+    """A text in pieces scores nearly as in one (a piece ends a block), and a text of one long word ends."""
     texts = [*(prose(s, 300, 90) for s in range(5)), prose(7, 4000, 300), "x" * 3000]
     train = F.col("doc_id") < 5
     whole = {r.doc_id: r.score for r in lm.score(docs(spark, texts), train).collect()}
@@ -400,7 +405,7 @@ def test_language_model_pieces_of_a_long_text(spark, monkeypatch):
     for i in (5, 6):
         raw = texts[i].encode()
         tokens = lm.Tokens(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), model.code)
-        assert lm.score_slice(tokens, model)[0] == pytest.approx(whole[i], rel=1e-5)
+        assert lm.score_slice(tokens, model)[0] == pytest.approx(whole[i], rel=2e-3)
 
 
 # ------------------------------------------------------------- op 7
