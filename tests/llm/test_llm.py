@@ -492,27 +492,48 @@ def test_media(spark):
 # ------------------------------------------------------------- op 10
 
 
-def brute_top(rows, k=5):
-    v = {i: [math.floor(256 * float(np.float32(x))) for x in e] for i, e in rows}
+def brute_top(rows, k=5, by=5):
+    """Every usable row against every other row of its length; rows may share an id."""
+    ok = [(i, [math.floor(256 * float(np.float32(x))) for x in e]) for i, e in rows if i is not None and e and all(x is not None and math.isfinite(x) for x in e)]
     out = []
-    for q in v:
-        if q % 5 == 0:
-            best = sorted(((-sum(a * b for a, b in zip(v[q], v[i], strict=True)), i) for i in v if i != q))[:k]
+    for a, (q, v) in enumerate(ok):
+        if q % by == 0:
+            best = sorted((-sum(x * y for x, y in zip(v, w, strict=True)), i) for b, (i, w) in enumerate(ok) if b != a and len(w) == len(v))[:k]
             out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
     return sorted(out)
 
 
-@pytest.mark.parametrize("n", [3, 200])
-def test_topk(spark, n):
+@pytest.mark.parametrize(("n", "pivots", "each"), [(3, 6, 100), (200, 6, 100), (200, 40, 7), (200, 1, 3)])
+def test_topk(spark, n, pivots, each):
     r = np.random.default_rng(2)
     rows = [(i, [float(x) for x in (r.normal(size=8) if i % 3 else np.ones(8))]) for i in range(n)]
-    odd = [(1000, None), (1005, [1.0, None]), (1010, [float("nan")] * 8), (1015, [float("inf")] * 8), (None, [1.0] * 8)]
-    df = spark.createDataFrame(rows + odd, "vec_id long, embedding array<float>")
-    got = topk.search(df, lambda i: i % 5 == 0, block=16, pivots=6).collect()
-    assert sorted((x.query_id, x["rank"], x.vec_id, x.score) for x in got) == brute_top(rows)
+    odd = [(1000, None), (1005, [1.0, None]), (1010, [float("nan")] * 8), (1015, [float("inf")] * 8), (None, [1.0] * 8), (1020, []), (1025, [1.0, 2.0]), (1026, [3.0, -1.0])]
+    same = [(5, [1.0] * 8)] * 7 + [(1, [0.5] * 8)] * 2
+    df = spark.createDataFrame(rows + odd + same, "vec_id long, embedding array<float>").withColumn("cell", F.lit("x")).withColumn("v", F.lit(1))
+    got = topk.search(df, lambda i: i % 5 == 0, block=16, pivots=pivots, queries_each=each).collect()
+    assert sorted((x.query_id, x["rank"], x.vec_id, x.score) for x in got) == brute_top(rows + odd + same)
     assert topk.search(df.filter("false"), lambda i: i % 5 == 0).count() == 0
 
 
+def test_topk_prunes_clusters():
+    """Of clustered vectors a group of queries needs little more than its own cluster; every true neighbour is needed."""
+    r = np.random.default_rng(4)
+    middle = r.normal(size=(40, 16)) * 2000
+    x = np.floor(middle[np.arange(4000) % 40] + r.normal(size=(4000, 16)) * 60)
+    centers = topk.choose_pivots(x, 40)
+    cell = ((x[:, None] - centers) ** 2).sum(2).argmin(1)
+    apart = np.sqrt(((x - centers[cell]) ** 2).sum(1))
+    frame = topk.pd.DataFrame({"cell": cell, "apart": apart})
+    of = lambda f: f.groupby("cell").agg(n=("apart", "size"), r=("apart", "max")).reset_index()
+    asked = np.arange(4000) % 7 == 0
+    plan = topk.Plan(centers, of(frame), of(frame[asked]), 5, queries_each=20)
+    at, g = plan.needed(cell, apart)
+    assert len(at) < 0.2 * 4000 * len(plan.cuts)
+    needed = set(zip(at.tolist(), g.tolist(), strict=True))
+    for q in np.flatnonzero(asked)[::20]:
+        assert all((int(i), int(plan.group[cell[q]])) in needed for i in np.argsort(-(x @ x[q]))[:6])
+
+
 def test_topk_of_huge_components(spark):
     df = spark.createDataFrame([(0, [1e30, 1.0]), (1, [1e30, 2.0]), (2, [-1e30, 0.0])], "vec_id long, embedding array<double>")
     got = sorted((x["rank"], x.vec_id, x.score) for x in topk.search(df, lambda i: i == 0).collect())
