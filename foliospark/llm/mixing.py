@@ -5,18 +5,24 @@ words, at most REPEATS times its own; what a source can't take goes to the other
 weight (water filling, closed form over the sorted ratios). A source takes every document
 target div source_size times. For the rest of its budget:
 
-* documents are counted by exact size (and by slice, see below); each size first yields
-  its proportional part;
-* a bounded-knapsack dynamic programme over the sizes and the documents still free then
-  fits what remains of the budget to the word, or as near under it as any subset gets;
+* documents are counted by exact size. A budget of up to RESIDUE words goes to a bounded-
+  knapsack dynamic programme over all sizes, which gets as near under it as any subset does;
+* of a larger budget each size first yields its proportional part, and the programme fits what
+  remains with the documents still free: to the word where their sizes allow it, as they do
+  with many sizes, and as near under it as any subset of the free ones gets;
 * documents of a size are picked in the order of a seeded hash.
 
-Each (source, size) is cut into SLICES slices of the hash's range. Slices before the one
-where the wanted count is reached are taken whole, so only documents of one slice are ever
-ranked together, and a group that holds a third of all rows is spread over SLICES keys.
-
-Null and empty texts have size 0 and are taken 0 times. A null source is a source, the
-last. Rows that share an id are told apart by nothing else, so equal rows may swap.
+A plan's input is a row for each size of a source, not for each document. Each size of a
+source is cut into slices of the hash's range, so many that a slice of the largest group
+has about SLICE_ROWS documents. Slices before the one where the wanted count is reached are
+taken whole, so only documents of one slice are ever ranked together, and a group that holds
+a third of all rows is spread over its slices. Windows over all sources see a row for each.
+
+Null and empty texts have size 0 and are taken 0 times; an empty table stays empty. A null
+source is a source, the last. Documents rank by (hash of id, id, hash of text if it is
+there); equal rows may swap. Columns of the table keep their values, whatever their names,
+but for the result's own (size, source_size, target, taken), which replace any that it had.
+A text's length doesn't matter: only its number of words goes on.
 """
 
 from __future__ import annotations
@@ -26,9 +32,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ._common import stage
+
 WEIGHTS = (1, 2, 3)
 REPEATS = 3
-SLICES = 64
+SLICE_ROWS = 4096
 SEED = 17
 RESIDUE = 1 << 16
 
@@ -59,13 +67,15 @@ def targets(sizes: DataFrame) -> DataFrame:
 
 
 def fit(sizes: np.ndarray, free: np.ndarray, budget: int) -> np.ndarray:
-    """How many documents of each size to take, free[i] of sizes[i] at most, so that their words come nearest under budget."""
+    """How many documents of each size to take, free[i] of sizes[i] at most, so that their words come near budget from below."""
     take = np.zeros(len(sizes), np.int64)
     total = int((sizes * free).sum())
     if budget <= 0 or not total:
         return take
     if budget >= total:
         return free.copy()
+    if budget <= RESIDUE:
+        return knapsack(sizes, free, budget)
     take = free * budget // total if total < (1 << 31) else np.floor(free * (budget / total)).astype(np.int64)
     left = budget - int((take * sizes).sum())
     # Large sizes first, until the residue is small enough for the table; one document is kept back where there's one.
@@ -114,44 +124,48 @@ def knapsack(sizes: np.ndarray, free: np.ndarray, budget: int) -> np.ndarray:
 
 
 def _plan(frame: pd.DataFrame) -> pd.DataFrame:
-    """Of one source's counts by size and slice: how many documents of each slice are taken once more."""
+    """Of one source's counts by size: how often all documents are taken, and how many of each size once more."""
     source_size, target = int(frame.source_size.iloc[0]), float(frame.target.iloc[0])
     times = min(REPEATS, int(target // source_size)) if source_size else 0
-    frame = frame.sort_values(["size", "slice"])
-    size, n = frame["size"].to_numpy(np.int64), frame["n"].to_numpy(np.int64)
-    sizes, first = np.unique(size, return_index=True)
-    free = np.add.reduceat(n, first)
+    frame = frame.sort_values("size")
+    sizes, free = frame["size"].to_numpy(np.int64), frame["n"].to_numpy(np.int64)
     budget = int(round(target)) - times * source_size if times < REPEATS else 0
     some = sizes > 0
     want = np.zeros(len(sizes), np.int64)
     want[some] = fit(sizes[some], free[some], budget)
-    group = np.searchsorted(sizes, size)
-    before = np.cumsum(n) - n
-    before -= before[first][group]
-    return pd.DataFrame({"source": frame.source, "size": size, "slice": frame["slice"], "n": n, "times": np.int32(times), "more": np.clip(want[group] - before, 0, n), "source_size": source_size, "target": target})
+    return pd.DataFrame({"source": frame.source, "size": sizes, "times": np.int32(times), "want": want, "source_size": source_size, "target": target})
+
+
+RESULT = ("size", "source_size", "target", "taken")
 
 
 def mix(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", seed: int = SEED) -> DataFrame:
     """df with size, source_size, target and taken (words taken, repeats counted)."""
-    return mix_sized(df.withColumn("size", word_count(F.col(text_col))), id_col, source_col, seed)
+    return mix_sized(df.withColumn("size", word_count(F.col(text_col))), id_col, source_col, seed, F.xxhash64(text_col))
 
 
-def mix_sized(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", seed: int = SEED) -> DataFrame:
-    """mix() for rows that have their size."""
-    key = F.xxhash64(F.lit(seed), id_col)
-    docs = df.drop("source_size", "target", "taken").withColumns({"_key": key, "_slice": F.pmod(F.shiftrightunsigned(key, 40), F.lit(SLICES)).cast("int")})
-    counts = docs.select(F.col(source_col).alias("source"), "size", F.col("_slice").alias("slice")).groupBy("source", "size", "slice").agg(F.count("*").alias("n"))
+def mix_sized(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", seed: int = SEED, last=None) -> DataFrame:
+    """mix() for rows that have their size; last: what ranks rows of one id."""
+    kept = [c for c in df.columns if c not in RESULT]
+    docs = df.select(F.struct(*kept).alias("row"), F.col("size"), F.col(source_col).alias("source"), F.col(id_col).alias("id"), F.xxhash64(F.lit(seed), id_col).alias("key"), (F.lit(0) if last is None else last).alias("last"))
+    counts = stage(docs.groupBy("source", "size").agg(F.count("*").alias("n")), "sizes")
+    slices = max(1, -(-(counts.agg(F.max("n")).first()[0] or 0) // SLICE_ROWS))
     by_source = targets(counts.select("source", (F.col("size") * F.col("n")).alias("size")))
     # A source's distinct sizes are few: d of them need d*d/2 words at least.
-    asked = counts.alias("c").join(by_source.alias("t"), F.expr("c.source <=> t.source")).select("c.source", "size", "slice", "n", "source_size", "target")
+    asked = counts.alias("c").join(by_source.alias("t"), F.expr("c.source <=> t.source")).select("c.source", "size", "n", "source_size", "target")
     kind = df.schema[source_col].dataType.simpleString()
-    plan = asked.groupBy("source").applyInPandas(_plan, f"source {kind}, size bigint, slice int, n bigint, times int, more bigint, source_size bigint, target double")
-    inner = Window.partitionBy(F.col(f"d.{source_col}"), F.col("d.size"), "_slice").orderBy("_key", F.col(f"d.{id_col}").asc_nulls_last())
-    cond = F.expr(f"d.`{source_col}` <=> p.source AND d.size = p.size AND d._slice = p.slice")
-    ranked = docs.alias("d").join(plan.alias("p"), cond).withColumn("_rank", F.row_number().over(inner))
-    taken = F.col("d.size") * (F.col("p.times") + (F.col("_rank") <= F.col("p.more")).cast("int"))
-    names = [F.col(f"d.{c}") for c in docs.columns if c not in ("_key", "_slice")]
-    return ranked.select(*names, "p.source_size", "p.target", taken.cast("bigint").alias("taken"))
+    plan = stage(asked.groupBy("source").applyInPandas(_plan, f"source {kind}, size bigint, times int, want bigint, source_size bigint, target double"), "plan")
+    # What a slice still takes: the wanted count less what the slices before it hold.
+    docs = docs.withColumn("slice", F.pmod(F.shiftrightunsigned("key", 24), F.lit(slices)).cast("int"))
+    held = docs.groupBy("source", "size", "slice").agg(F.count("*").alias("n"))
+    by_slice = Window.partitionBy("source", "size").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    held = held.withColumn("before", F.coalesce(F.sum("n").over(by_slice), F.lit(0))).alias("h")
+    per_slice = held.join(plan.alias("p"), F.expr("h.source <=> p.source AND h.size = p.size"))
+    per_slice = per_slice.select("h.source", "h.size", "slice", "times", (F.col("want") - F.col("before")).alias("more"), "source_size", "target").alias("p")
+    inner = Window.partitionBy("d.source", "d.size", "d.slice").orderBy("key", F.col("id").asc_nulls_last(), "last")
+    ranked = docs.alias("d").join(per_slice, F.expr("d.source <=> p.source AND d.size = p.size AND d.slice = p.slice")).withColumn("rank", F.row_number().over(inner))
+    taken = F.col("d.size") * (F.col("times") + (F.col("rank") <= F.col("more")).cast("int"))
+    return ranked.select(*(F.col("row")[c].alias(c) for c in kept), F.col("d.size").alias("size"), "source_size", "target", taken.cast("bigint").alias("taken"))
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
