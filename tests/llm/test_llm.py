@@ -200,20 +200,41 @@ def test_bpe(spark):
 # ------------------------------------------------------------- op 5
 
 
-def test_mixing(spark):
-    r = random.Random(5)
-    rows = [(i, r.choice(["a", "b", "c", "á", None]) if i % 3 else "a", prose(i, r.randrange(0, 200))) for i in range(600)] + [(1, "b", None)]
-    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
-    got = mixing.mix(df).collect()
-    total = sum(x["size"] for x in got)
+def brute_targets(sizes):
+    """Weights 1, 2, 3 by name, null last; what a source can't take is shared anew until nobody is above 3 times its size."""
+    names = sorted(sizes, key=lambda x: (x is None, x or ""))
+    weight = {s: 1 + i % 3 for i, s in enumerate(names)}
+    total, full = sum(sizes.values()), set()
+    while True:
+        left = total - sum(3 * sizes[s] for s in full)
+        share = sum(weight[s] for s in names if s not in full)
+        target = {s: 3 * sizes[s] if s in full else left * weight[s] / share for s in names}
+        more = {s for s in names if s not in full and target[s] > 3 * sizes[s]}
+        if not more:
+            return target
+        full |= more
+
+
+@pytest.mark.parametrize(("seed", "slice_rows"), [(5, 4096), (6, 8)])
+def test_mixing(spark, monkeypatch, seed, slice_rows):
+    monkeypatch.setattr(mixing, "SLICE_ROWS", slice_rows)
+    r = random.Random(seed)
+    rows = [(i, r.choice(["a", "b", "c", "á", "tiny", None]) if i % 3 else "a", prose(i, r.randrange(0, 200 if seed == 5 else 12))) for i in range(600)] + [(1, "b", None), (2, "tiny", "x y")] * 2
+    rows = [(i, s, "w" if s == "tiny" else t) for i, s, t in rows]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string").withColumn("_key", F.lit("k")).withColumn("slice", F.lit("s")).withColumn("n", F.lit("n"))
+    out = mixing.mix(df)
+    got = out.collect()
+    assert out.columns == [*df.columns, "size", "source_size", "target", "taken"]
     by = collections.defaultdict(list)
     for x in got:
         by[x.source].append(x)
+        assert (x["_key"], x["slice"], x["n"]) == ("k", "s", "n")
         assert x["size"] == len(WORD.findall(x.text or "")) and x.taken <= 3 * x["size"] and (not x["size"] or x.taken % x["size"] == 0)
-    assert sum(v[0].target for v in by.values()) == pytest.approx(total)
-    for v in by.values():
-        assert v[0].target <= 3 * v[0].source_size and abs(sum(x.taken for x in v) - v[0].target) <= 1
-    assert sorted((x.doc_id, x.taken) for x in got) == sorted((x.doc_id, x.taken) for x in mixing.mix(df).collect())
+    want = brute_targets({s: sum(x["size"] for x in v) for s, v in by.items()})
+    for s, v in by.items():
+        assert v[0].source_size == sum(x["size"] for x in v) and v[0].target == pytest.approx(want[s])
+        assert abs(sum(x.taken for x in v) - v[0].target) <= 1
+    assert sorted((str(x.doc_id), x["size"], x.taken) for x in got) == sorted((str(x.doc_id), x["size"], x.taken) for x in mixing.mix(df).collect())
     assert mixing.mix(df.filter("false")).count() == 0
 
 
@@ -224,6 +245,9 @@ def test_knapsack():
         take = mixing.knapsack(sizes, free, budget)
         assert (take <= free).all() and (take * sizes).sum() == max(x for x in reach if x <= budget)
     assert (mixing.fit(np.array([4]), np.array([3]), 100) == [3]).all()
+    assert (mixing.fit(np.array([3, 50000]), np.array([40000, 1]), 50000) == [0, 1]).all()
+    take = mixing.fit(np.arange(1, 400), np.full(399, 1000), 7654321)
+    assert (take * np.arange(1, 400)).sum() == 7654321 and take.max() <= 1000
 
 
 # ------------------------------------------------------------- op 6
@@ -411,18 +435,48 @@ def test_language_model_pieces_of_a_long_text(spark, monkeypatch):
 # ------------------------------------------------------------- op 7
 
 
+def brute_permutation(spark, n, seed=sharding.SEED):
+    """The permutation of 0 to n-1 in plain Python: only the round hash is Spark's, as a table."""
+    a, b = sharding.sides(n)
+    rows = spark.range(max(a, b)).select("id", *(F.pmod(F.xxhash64("id", F.lit(seed), F.lit(k)), F.lit(b if k % 2 else a)).alias(f"h{k}") for k in range(2 * sharding.ROUNDS))).orderBy("id").collect()
+
+    def once(x):
+        left, right = divmod(x, b)
+        for i in range(sharding.ROUNDS):
+            left = (left + rows[right][f"h{2 * i}"]) % a
+            right = (right + rows[left][f"h{2 * i + 1}"]) % b
+        return left * b + right
+
+    out = []
+    for x in range(n):
+        x = once(x)
+        while x >= n:
+            x = once(x)
+        out.append(x)
+    return out
+
+
+@pytest.mark.parametrize(("n", "walk"), [(1, 4), (2, 4), (25, 1), (1000, 1), (1000, 4), (997, 1)])
+def test_permutation(spark, monkeypatch, n, walk):
+    monkeypatch.setattr(sharding, "SHORT_WALK", walk)
+    got = [r[0] for r in spark.range(n).orderBy("id").select(sharding.permute(F.col("id"), n)).collect()]
+    assert got == brute_permutation(spark, n) and sorted(got) == list(range(n))
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 25, 1000])
 def test_sharding(spark, n):
-    df = spark.range(n).select(F.when(F.col("id") % 7 > 0, F.col("id")).alias("doc_id"), F.lit(1).alias("x"))
-    rows = sharding.shard(df, ["doc_id"], ["doc_id", "x"]).collect()
+    df = spark.range(n).select(F.when(F.col("id") % 7 > 0, F.col("id")).alias("doc_id"), (F.col("id") % 3).alias("x"), F.lit("b").alias("_bucket"), F.lit("i").alias("_inside"), F.lit("r").alias("row_no"), F.lit("f").alias("first"), F.lit(-1).alias("shard"))
+    rows = sharding.shard(df, ["doc_id", "x"], bucket_rows=16).collect()
     slots = collections.defaultdict(list)
     for r in rows:
         slots[r.shard].append(r.slot)
+        assert (r["_bucket"], r["_inside"], r["row_no"], r["first"]) == ("b", "i", "r", "f")
     assert len(rows) == n and all(sorted(v) == list(range(len(v))) for v in slots.values())
     sizes = [len(slots[k]) for k in range(sharding.SHARDS)]
     assert max(sizes) - min(sizes) <= 1
-    again = sharding.shard(df.repartition(3), ["doc_id"], ["doc_id", "x"]).collect()
-    assert sorted((str(r.doc_id), r.shard, r.slot) for r in again) == sorted((str(r.doc_id), r.shard, r.slot) for r in rows)
+    again = sharding.shard(df.repartition(3), ["doc_id", "x"], bucket_rows=16).collect()
+    key = lambda rs: sorted((str(r.doc_id), r.x, r.shard, r.slot) for r in rs)
+    assert key(again) == key(rows)
 
 
 # ------------------------------------------------------------- op 8
