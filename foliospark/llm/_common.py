@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType
 
 U64 = np.uint64
 SLICE_BYTES = 1 << 20
@@ -67,8 +67,8 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 
 
 def widened(schema: StructType, added: dict[str, str]) -> StructType:
-    """schema with more columns, their types as DDL."""
-    return StructType([*schema.fields, *StructType.fromDDL(", ".join(f"`{k}` {v}" for k, v in added.items())).fields])
+    """schema, all of it nullable, with more columns, their types as DDL."""
+    return StructType([*(StructField(f.name, f.dataType, True, f.metadata) for f in schema.fields), *StructType.fromDDL(", ".join(f"`{k}` {v}" for k, v in added.items())).fields])
 
 
 def partitions(spark: SparkSession) -> int:

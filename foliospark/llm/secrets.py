@@ -8,8 +8,11 @@ with the regular expression; a rule without mandatory trigrams scans every text.
 Base rules: assign, access and hex. Rules that the method adds: github, jwt and pem.
 Spans are code points, end exclusive, leftmost and non-overlapping for each rule.
 
-Null and empty texts have no spans; rows that share an id (null included) are each
-verified on their own text; other columns aren't touched.
+Null and empty texts have no spans; an empty table stays empty. Rows that share an id (null
+included) are each verified on their own text; equal rows get equal spans. Matches of
+several rules may overlap; spans are ordered by start, then rule. Columns of the table keep
+their values, whatever their names, but for `spans`, which replaces one that it had. A text
+of any length is matched whole, by one task.
 """
 
 from __future__ import annotations
@@ -20,6 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import trigrams
+from ._common import free_name
 
 
 @dataclass(frozen=True)
@@ -90,16 +94,18 @@ def matches(text: Column, rule: Rule) -> Column:
 
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """df with spans array<struct<start, rank, end>>, by start and then rule; rank counts RULES."""
-    by_id = candidates(df, id_col, text_col, rules)
+    df = df.drop("spans")
+    text = free_name(df, "text")
+    by_id = candidates(df, id_col, text_col, rules).alias("c")
     nothing = F.array().cast("array<struct<start:int,rank:int,end:int>>")
-    known = df.drop("spans").withColumn("_text", F.coalesce(text_col, F.lit(""))).alias("d")
-    joined = known.join(by_id.alias("c"), F.col(f"d.{id_col}").eqNullSafe(F.col("c._id")), "left")
+    known = df.withColumn(text, F.coalesce(text_col, F.lit(""))).alias("d")
+    joined = known.join(by_id, F.col(f"d.`{id_col}`").eqNullSafe(F.col("c._id")), "left")
     found = []
     for rule in rules:
-        spans = matches(F.col("_text"), rule)
+        spans = matches(F.col(f"d.{text}"), rule)
         indexed = trigrams.query(rule.pattern) is not None
-        found.append(F.when(F.array_contains("_kinds", rule.kind), spans).otherwise(nothing) if indexed else spans)
-    return joined.withColumn("spans", F.array_sort(F.concat(*found))).drop("_text", "_id", "_kinds")
+        found.append(F.when(F.array_contains("c._kinds", rule.kind), spans).otherwise(nothing) if indexed else spans)
+    return joined.select(*(F.col(f"d.`{c}`") for c in df.columns), F.array_sort(F.concat(*found)).alias("spans"))
 
 
 def span_list(spans: Column, ranks: range) -> Column:

@@ -14,7 +14,11 @@ quotations, get little).
 
 Lexicon and weights are fitted on SAMPLE labelled training rows at most (least hash of the
 id first); scoring runs over all rows. Null and empty texts have no hit; without labelled
-rows of both kinds every score is 0. Rows are independent, so ids may repeat or be null.
+rows of both kinds every score is 0. Rows are independent, so ids may repeat or be null, and
+equal texts get equal scores; an empty table stays empty. Labels of one id count as toxic if
+one of them is. Ties between terms go to the longer one. Columns keep their values, whatever
+their names, but for the score's own, which replaces one of its name. A text of any length
+is scored whole; what is held is its lower-case copy and its words.
 """
 
 from __future__ import annotations
@@ -40,7 +44,7 @@ WINDOW = 6
 LONGEST_STEM = 7
 SHORTEST_STEM = 4
 MOST_TERMS = 256
-MEMO = 1 << 17
+MEMO, MEMO_LETTERS = 1 << 17, 32
 WORD = re.compile(r"[^\W\d_]+")
 QUOTE = re.compile("[\"“”„«»‹›]")
 FEATURES = 7
@@ -108,9 +112,10 @@ class Automaton:
         got = self.memo.get(word)
         if got is None:
             got, state = self._walk(word)
-            if len(self.memo) >= MEMO:
-                self.memo.clear()
-            self.memo[word] = got
+            if len(word) <= MEMO_LETTERS:
+                if len(self.memo) >= MEMO:
+                    self.memo.clear()
+                self.memo[word] = got
         return got
 
     def _walk(self, word: str) -> tuple[int, int]:

@@ -5,6 +5,34 @@ import random
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from foliospark.llm._common import stage
+
+CLASHES = ["_score", "_row", "row", "_number", "spans", "_text", "_kinds", "size", "taken", "_slice", "key", "n", "component_id", "n_tokens"]
+
+
+def test_odd_tables(spark, tmp_path):
+    """Null and repeated ids, equal rows, clashing columns, a very long text; then no rows at all."""
+    long = " ".join(f"v{random.Random(3).randrange(9)}{i}" for i in range(200_000))
+    twin = "one two three four five six seven eight nine ten"
+    rows = [(None, twin, "es", None, 1), (None, twin, "es", None, 1), (None, "", None, "a", 0), (None, None, None, None, None), (4, twin + " eleven", "es", "b", 1), (4, "token=abcdefghijkl0123 and more words", "en", "b", 1), (5, long, "en", "a", 1), (5, long, "en", "a", 1)]
+    labels = spark.createDataFrame([(1, 1, 1), (None, 0, 0)], "doc_id long, quality int, toxic int")
+    for k, some in enumerate((rows, [])):
+        d = str(tmp_path / str(k))
+        docs = spark.createDataFrame(some, "doc_id long, text string, lang string, source string, n_chars long")
+        docs.withColumns({c: F.lit(f"own {c}") for c in CLASHES}).write.parquet(f"{d}/documents.parquet")
+        labels.write.parquet(f"{d}/labels.parquet")
+        kept = spark.read.parquet(f"{d}/documents.parquet")
+        columns, counts = kept.columns, []
+        for name, step in corpus_pipeline.STAGES:
+            kept = stage(step(spark, kept, d), name.replace(" ", "_"))
+            counts.append(kept.count())
+            clashes = [c for c in CLASHES if name != "byte-level BPE" or c != "n_tokens"]
+            assert kept.filter(" OR ".join(f"`{c}` <> 'own {c}'" for c in clashes)).count() == 0
+            assert name == "byte-level BPE" or kept.columns == columns
+            if name == "jaccard join" and some:
+                assert sorted((r.text or "")[:5] for r in kept.select("text").collect()) == sorted(["one t", "", "", "token", long[:5]])
+        assert counts[:3] == ([8, 5, 5] if some else [0, 0, 0])
+    assert corpus_pipeline.run(spark, d).count() == 0
 
 
 def test_stages(spark, tmp_path):
@@ -17,8 +45,8 @@ def test_stages(spark, tmp_path):
     spark.createDataFrame([(i, 1, int(i % 5 == 0)) for i in range(200)], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
     kept = spark.read.parquet(f"{d}/documents.parquet")
     columns, seen = kept.columns, []
-    for _name, step in corpus_pipeline.STAGES:
-        kept = step(spark, kept, d).cache()
+    for name, step in corpus_pipeline.STAGES:
+        kept = stage(step(spark, kept, d), name.replace(" ", "_"))
         seen.append(kept)
     ids = [{x.doc_id for x in s.select("doc_id").collect()} for s in seen]
     assert all(s.columns == columns for s in seen[:-1])
