@@ -42,6 +42,20 @@ def pairs_by_type(docs: DataFrame) -> DataFrame:
     return seen.orderBy(F.desc("n_pairs"), "_first").select("tipo", "n_pairs")
 
 
+def kept_by_type(qa: DataFrame) -> DataFrame:
+    """(tipo, n_pairs, n_kept): pairs of each type, and those of them that are the first of their question.
+
+    qa has a row for each pair, and for a document without pairs one whose question is null.
+    Pairs are summed by question and type before anything else, so a question in very many
+    documents is no hot task.
+    """
+    order = F.struct(parts_of(F.col("path")).alias("parts"), F.col("pair_idx").alias("pair_idx"))
+    each = qa.groupBy("question", "tipo").agg(F.count("question").alias("n"), F.min(order).alias("first"))
+    best = F.min("first").over(Window.partitionBy("question"))
+    told = each.withColumn("kept", F.col("question").isNotNull() & (F.col("first") == best))
+    return told.groupBy("tipo").agg(F.sum("n").alias("n_pairs"), F.count_if("kept").alias("n_kept"))
+
+
 def split_hash(df: DataFrame, key: str, test: float = 0.30, seed: int = 42) -> DataFrame:
     """df with split: int(n * test) rows, the least by seeded hash of key, are test.
 

@@ -175,6 +175,26 @@ def with_plugin(df: DataFrame, columns: list[str], outputs: dict[str, str], call
     return df.mapInPandas(run, schema)
 
 
+def mean_similarity(pairs: DataFrame, score: Callable[[str, str], float]) -> DataFrame:
+    """(bertscore_f1): the mean of a plug-in's token similarity of prediction and reference; 0 without pairs."""
+    scored = with_plugin(pairs.select(F.coalesce("prediction", F.lit("")).alias("p"), F.coalesce("reference", F.lit("")).alias("r")), ["p", "r"], {"f1": "double"}, lambda p, r: {"f1": float(score(p, r))})
+    return scored.agg(F.coalesce(F.avg("f1"), F.lit(0.0)).alias("bertscore_f1"))
+
+
+def answer_losses(pairs: DataFrame, forward: Callable[[str, str], list[tuple[float, float]]], most: int = 1024) -> DataFrame:
+    """pairs with nll and entropy: means over the answer's tokens among the first most of prompt and answer; both 0 if none is there.
+
+    forward(question, reference) is a plug-in's single pass: for each token of prompt and
+    answer after the first, (loss, entropy), prompt positions as (nan, nan).
+    """
+
+    def one(question: str, reference: str) -> dict:
+        kept = [x for x in forward(question or "", reference or "")[: most - 1] if x[0] == x[0]]
+        return {k: float(sum(x[i] for x in kept) / len(kept)) if kept else 0.0 for i, k in enumerate(("nll", "entropy"))}
+
+    return with_plugin(pairs, ["question", "reference"], {"nll": "double", "entropy": "double"}, one)
+
+
 def first_rows(pairs: DataFrame, limit: int, index: str = "idx") -> DataFrame:
     """The first limit examples in file order; 0: all."""
     return pairs.filter(F.col(index) < limit) if limit else pairs
@@ -195,5 +215,6 @@ def result_row(pairs: DataFrame, out_of_domain: DataFrame, scores: DataFrame | N
     out = []
     for c in v.LOG_COLUMNS:
         x = F.col(c) if c in row.columns else F.lit(fixed.get(c)).cast(kinds.get(c, "double"))
-        out.append((F.round(x, digits[c]) if c in digits else x).alias(c))
+        # As Python's round(): of the binary value, halves to even.
+        out.append((F.rint(x * 10 ** digits[c]) / 10 ** digits[c] if c in digits else x).alias(c))
     return row.select(*out)

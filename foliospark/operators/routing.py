@@ -11,8 +11,22 @@ from ..functions.vocab import CORRUPT
 ROUTES = ["digital", "ocr", "escaneado_omitido", "corrupto_omitido", "vacio_a_ocr", "filtrado", "ya_procesado", "errores"]
 
 
-def likely_digital(pages: DataFrame, key: str = "path", sample: int = 3, least: int = 50) -> DataFrame:
-    """(key, is_digital): whether the first pages hold enough characters on average; pages: key, page_no, page_text."""
+def has_text_layer(pages: Column, sample: int = 3, least: int = 50) -> Column:
+    """Whether the first of an array of page texts hold enough characters on average; without pages, not."""
+    sizes = F.transform(F.slice(F.coalesce(pages, F.array().cast("array<string>")), 1, sample), lambda x: F.length(F.coalesce(x, F.lit(""))))
+    return F.coalesce(F.try_divide(F.aggregate(sizes, F.lit(0), lambda a, x: a + x), F.size(sizes)) >= least, F.lit(False))
+
+
+def likely_digital(pages: DataFrame, key: str = "path", sample: int = 3, least: int = 50, docs: DataFrame | None = None) -> DataFrame:
+    """(key, is_digital): whether the first pages hold enough characters on average; pages: key, page_no, page_text.
+
+    docs: all documents (key); those without pages aren't digital.
+    """
+    found = _likely_digital(pages, key, sample, least)
+    return found if docs is None else docs.select(key).join(found, key, "left").withColumn("is_digital", F.coalesce("is_digital", F.lit(False)))
+
+
+def _likely_digital(pages: DataFrame, key: str, sample: int, least: int) -> DataFrame:
     first = pages.filter(F.col("page_no") <= sample)
     return first.groupBy(key).agg(F.coalesce(F.avg(F.length(F.coalesce("page_text", F.lit("")))) >= least, F.lit(False)).alias("is_digital"))
 

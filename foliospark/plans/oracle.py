@@ -36,7 +36,6 @@ def _group(x: str, pattern: str, i: int, fold: bool = True) -> str:
     return f"regexp_extract({x}, {_q(('(?i)' if fold else '') + pattern)}, {i})"
 
 
-TITLED = "list_aggregate(list_transform(string_split({0}, ' '), lambda w: list_aggregate(list_transform(regexp_split_to_array(w, '_'), lambda y: upper(y[1:1]) || lower(y[2:])), 'string_agg', ' ')), 'string_agg', ' ')"
 LABELS = "CASE doc_type " + " ".join(f"WHEN {_q(k)} THEN {_q(x)}" for k, x in v.TYPE_LABELS.items()) + " ELSE 'Circular Interna 3A' END"
 NOISE = " OR ".join([_has("s", v.PAGE_NOISE), _has("s", v.DATE_LINE, False), _has("s", v.BANNER), _has("s", v.FOOTER)])
 CORRUPT = f"""SELECT doc_id, coalesce(sum(n) FILTER (n >= 3), 0) >= 6 AS corrupt FROM (SELECT d.doc_id, g, count(g) AS n FROM documents d
@@ -157,18 +156,49 @@ def _cites(c: str) -> str:
 
 ADMITS = " OR ".join(f"contains(lower(prediction), {_q(p)})" for p in v.ADMISSIONS)
 ROUTED = f"""c AS ({CORRUPT}), r AS (SELECT doc_id, text, CASE WHEN length(text) < 50 THEN 'escaneado_omitido' WHEN corrupt THEN 'corrupto_omitido' WHEN length(text) < 100 THEN 'vacio_a_ocr' ELSE 'digital' END AS route, corrupt FROM documents JOIN c USING (doc_id))"""
+RUN_FILES = f"""{ROUTED}, f AS (SELECT text, CASE WHEN doc_id % 8 = 5 THEN 'filtrado' WHEN doc_id % 20 = 4 THEN 'ya_procesado' WHEN doc_id % 7 = 3 THEN 'errores' ELSE route END AS route FROM r)"""
+ROUGE_WORDS = r"list_filter(string_split(regexp_replace(lower({0}), '[^a-z0-9]+', ' ', 'g'), ' '), lambda t: t <> '')"
 TURNS = """t0 AS (SELECT *, lead(role) OVER w AS r1, lead(text) OVER w AS t1 FROM conversations WHERE role IN ('user', 'assistant') WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
 turns AS (SELECT conv_id, turn, text AS u, CASE WHEN r1 = 'assistant' THEN t1 END AS a FROM t0 WHERE role = 'user'),
 past AS (SELECT x.conv_id, x.turn, x.u, list(y.u || '|' || y.a ORDER BY y.turn) FILTER (y.a IS NOT NULL) AS h, list('user:' || y.u || '|assistant:' || y.a ORDER BY y.turn) FILTER (y.a IS NOT NULL) AS m
   FROM turns x LEFT JOIN turns y ON x.conv_id = y.conv_id AND y.turn < x.turn GROUP BY ALL)"""
 
+# The longest common subsequence: a row of the table for each word of the reference, each entry the running maximum.
+ROUGE = f"""{EVAL}, rt AS (SELECT example_id, {ROUGE_WORDS.format('prediction')} AS p, {ROUGE_WORDS.format('reference')} AS r FROM pairs),
+walk(example_id, p, r, i, t) AS (SELECT example_id, p, r, 0, list_transform(p, lambda x: 0) FROM rt UNION ALL
+  SELECT example_id, p, r, i + 1, list_transform(range(1, len(p) + 1), lambda j: list_max(c[1:j])) FROM (
+    SELECT example_id, p, r, i, list_transform(range(1, len(p) + 1), lambda k: greatest(t[k], CASE WHEN k > 1 THEN t[k - 1] ELSE 0 END + CASE WHEN p[k] = r[i + 1] THEN 1 ELSE 0 END)) AS c FROM walk WHERE i < len(r))),
+rouge AS (SELECT example_id, CASE WHEN len(p) + len(r) = 0 THEN 0.0 ELSE 2.0 * coalesce(t[len(p)], 0) / (len(p) + len(r)) END AS rouge FROM walk WHERE i = len(r))"""
+
+
+def _bleu_words(x: str) -> str:
+    for find, by in (("<skipped>", "''"), ("-\n", "''"), ("\n", "' '"), ("&quot;", "chr(34)"), ("&amp;", "'&'"), ("&lt;", "'<'"), ("&gt;", "'>'")):
+        x = f"replace({x}, {_q(find)}, {by})"
+    x = f"' ' || {x} || ' '"
+    for pattern, by in ((r"([!-+:-@\[-`{-~/ ])", r" \1 "), (r"([^0-9])([.,])", r"\1 \2 "), (r"([.,])([^0-9])", r" \1 \2"), (r"([0-9])(-)", r"\1 \2 ")):
+        x = f"regexp_replace({x}, {_q(pattern)}, {_q(by)}, 'g')"
+    return rf"list_filter(string_split_regex({x}, '\s+'), lambda t: t <> '')"
+
+
+BLEU = f"""{EVAL}, bt AS (SELECT example_id, {_bleu_words('prediction')} AS p, {_bleu_words('reference')} AS r FROM pairs), bn AS (SELECT unnest([1, 2, 3, 4]) AS n),
+b0 AS (SELECT example_id, n, unnest(list_transform(range(1, len(p) - n + 2), lambda i: p[i:i + n - 1])) AS g, 1 AS p, 0 AS r FROM bt, bn WHERE len(p) >= n
+  UNION ALL SELECT example_id, n, unnest(list_transform(range(1, len(r) - n + 2), lambda i: r[i:i + n - 1])), 0, 1 FROM bt, bn WHERE len(r) >= n),
+b1 AS (SELECT n, sum(least(p, r)) AS m, sum(p) AS t, sum(r) AS w FROM (SELECT example_id, n, g, sum(p) AS p, sum(r) AS r FROM b0 GROUP BY ALL) GROUP BY n),
+b2 AS (SELECT n, m, t, sum(CASE WHEN m = 0 AND t > 0 THEN 1 ELSE 0 END) OVER (ORDER BY n) AS z FROM b1),
+b3 AS (SELECT sum(ln(CASE WHEN m > 0 THEN 100.0 * m / t ELSE 100.0 / (power(2, z) * greatest(t, 1)) END)) / 4 AS l FROM b2),
+bleu AS (SELECT CASE WHEN coalesce(m, 0) = 0 THEN 0.0 ELSE (CASE WHEN t >= w THEN 1.0 ELSE exp(1 - w / t) END) * exp(l) END AS bleu FROM b1, b3 WHERE n = 1)"""
+RUNS = f"""{RUN_FILES} SELECT {', '.join(f"count(*) FILTER (route = {_q(r)}) AS {r}" for r in ('digital', 'ocr', 'escaneado_omitido', 'corrupto_omitido', 'vacio_a_ocr', 'filtrado', 'ya_procesado', 'errores'))}, with_ocr FROM (
+  SELECT false AS with_ocr, route FROM f UNION ALL SELECT true, CASE WHEN route IN ('escaneado_omitido', 'corrupto_omitido', 'vacio_a_ocr') THEN CASE WHEN strlen(text) % 2 = 0 THEN 'ocr' ELSE 'vacio_a_ocr' END ELSE route END FROM f) GROUP BY with_ocr"""
+
 SQL = {
     "path_meta": _with("meta", "SELECT doc_id, doc_type, type_label, year, number, source_filename, titulo, out_path FROM meta"),
     "scope_filter": _with("meta", "SELECT doc_id, doc_type, year FROM meta WHERE doc_type IN ('LEY', 'RESOLUCION_SUPERIOR') AND year IN ('2000', '2002')"),
     "anti_skip": _with("meta", "SELECT doc_id, out_path FROM meta WHERE doc_id % 4 <> 0"),
     "limit_written": _with("legal", "SELECT doc_id, path, ok FROM (SELECT *, coalesce(sum(CASE WHEN ok THEN 1 ELSE 0 END) OVER (ORDER BY string_split(path, '/') ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM (SELECT l.doc_id, path, length(text) >= 100 AS ok FROM legal l JOIN documents USING (doc_id))) WHERE before < 50"),
-    "path_order": _with("legal", "SELECT doc_id, path FROM legal ORDER BY string_split(path, '/') LIMIT 50"),
+    "path_order": _with("legal", "SELECT doc_id, path, row_number() OVER (ORDER BY string_split(path, '/')) AS rank FROM legal"),
     "is_digital": "SELECT source, avg(length(text)) >= 50 AS is_digital FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents) WHERE n <= 3 GROUP BY source",
+    "is_digital_docs": "SELECT doc_id, doc_id % 3 <> 0 AND length(coalesce(text, '')) >= 50 AS is_digital FROM documents",
+    "run_stats": f"WITH {RUNS}",
     "looks_corrupt": CORRUPT,
     "route": f"WITH {ROUTED} SELECT doc_id, route, route <> 'digital' AS queued FROM r",
     "route_ocr": f"WITH {ROUTED} SELECT doc_id, CASE WHEN route = 'digital' THEN 'digital' WHEN doc_id % 2 = 0 THEN 'ocr' ELSE 'vacio_a_ocr' END AS route, false AS queued FROM r",
@@ -191,10 +221,19 @@ SQL = {
     "dedupe_first": _qa("SELECT doc_id, pair_idx, question, answer FROM one", FIRST),
     "duplicate_count": _qa("SELECT count(*) - count(DISTINCT question) AS duplicates FROM qa"),
     "pairs_by_type": _qa("SELECT r.tipo, (SELECT count(*) FROM qa WHERE qa.tipo = r.tipo) AS n_pairs, (SELECT count(*) FROM one WHERE one.tipo = r.tipo) AS n_kept FROM (SELECT DISTINCT tipo FROM ref0) r", FIRST),
+    "formatted": _qa("""SELECT 'alpaca' AS format, CAST(to_json({'instruction': question, 'input': '', 'output': answer}) AS VARCHAR) AS record FROM qa WHERE tipo IN ('LEY', 'Plan')
+  UNION ALL SELECT 'sharegpt', CAST(to_json({'conversations': [{'from': 'human', 'value': question}, {'from': 'gpt', 'value': answer}]}) AS VARCHAR) FROM qa WHERE tipo IN ('LEY', 'Plan')"""),
     "split_hash": _qa("SELECT question, CASE WHEN row_number() OVER (ORDER BY md5('42:' || question), question) <= floor(count(*) OVER () * 0.30) THEN 'test' ELSE 'train' END AS split FROM one", FIRST),
     "training_text": _qa(f"SELECT '<|im_start|>system' || chr(10) || {_q(v.TRAINING_PROMPT)} || '<|im_end|>' || chr(10) || '<|im_start|>user' || chr(10) || question || '<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10) || answer || '<|im_end|>' || chr(10) AS text FROM qa"),
     "chat_history": f"WITH {TURNS} SELECT conv_id, turn, coalesce(array_to_string(h[-2:], '||'), '') AS history FROM past",
     "prompt_messages": f"WITH {TURNS} SELECT conv_id, turn, CAST(2 + 2 * coalesce(len(m[-5:]), 0) AS INTEGER) AS n, 'system:' || {_q(v.SYSTEM_PROMPT)} || '|' || coalesce(array_to_string(m[-5:], '|') || '|', '') || 'user:' || u AS messages FROM past",
+    "history_since_reset": f"""WITH {TURNS}, kept AS (SELECT * FROM turns WHERE conv_id % 2 <> 0 OR turn > 2),
+  done AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM kept WHERE a IS NOT NULL),
+  upto AS (SELECT x.conv_id, x.turn, max(y.k) AS k FROM kept x LEFT JOIN done y ON x.conv_id = y.conv_id AND y.turn < x.turn GROUP BY ALL)
+  SELECT upto.conv_id, upto.turn, CASE WHEN upto.k > 3 THEN 3 ELSE coalesce(upto.k, 0) END AS n, coalesce(o.u, '') AS oldest FROM upto LEFT JOIN done o ON o.conv_id = upto.conv_id AND o.k = CASE WHEN upto.k > 2 THEN upto.k - 2 WHEN upto.k > 0 THEN 1 END""",
+    "answers": f"""WITH {TURNS} SELECT conv_id, turn, CAST(2 + 2 * least(coalesce(len(h), 0), 2) AS VARCHAR) || ' mensajes, ' || substring(u, 1, 20) || ', 0.7' AS answer, 'stub' AS model_used FROM past
+  UNION ALL SELECT conv_id, turn, {_q(v.NO_MODEL)}, 'sin modelo' FROM past""",
+    "batch_answers": "SELECT conv_id, turn, '2 mensajes, ' || substring(text, 1, 20) || ', 0.0' AS answer, '' AS model_used FROM conversations WHERE role = 'user'",
     "conv_title": "SELECT conv_id, CASE WHEN length(t) > 40 THEN substring(t, 1, 40) || '...' ELSE t END AS title FROM (SELECT conv_id, min_by(text, turn) AS t FROM conversations WHERE role = 'user' GROUP BY conv_id)",
     "citations": f"WITH {EVAL} SELECT example_id, array_to_string({_cites('reference')}, ',') AS r, array_to_string({_cites('prediction')}, ',') AS p FROM pairs",
     "citation_accuracy": f"WITH {EVAL} SELECT coalesce(avg(CASE WHEN list_has_any(r, p) THEN 1.0 ELSE 0.0 END), 0.0) AS exactitud_citas FROM (SELECT {_cites('reference')} AS r, {_cites('prediction')} AS p FROM pairs) WHERE len(r) > 0",
@@ -202,6 +241,20 @@ SQL = {
     "ngram_counts": f"WITH {GRAMS} SELECT example_id, g AS gram, CAST(p AS BIGINT) AS n FROM g WHERE n = 2 AND p > 0",
     "cider": f"WITH {CIDER} SELECT round(cider, 6) AS cider FROM cid",
     "vocab_mi": f"WITH {MI} SELECT example_id, round(coalesce(mi, 0.0), 6) AS mi FROM pairs LEFT JOIN m USING (example_id)",
+    "rouge_l": f"WITH RECURSIVE {ROUGE} SELECT example_id, round(rouge, 6) AS rouge_l FROM rouge",
+    "bleu": f"WITH {BLEU} SELECT round(bleu, 6) AS bleu FROM bleu",
+    "answer_losses": f"""WITH {EVAL}, w AS (SELECT example_id, list_transform(string_split(reference, ' ')[1:9], lambda x: length(x)) AS n FROM pairs)
+  SELECT example_id, round(list_avg(n), 6) AS nll, round(list_avg(n) / 2, 6) AS entropy FROM w""",
+    "mean_similarity": f"WITH {EVAL} SELECT round(avg(least(length(prediction), length(reference)) / greatest(length(prediction), length(reference), 1)), 6) AS bertscore_f1 FROM pairs",
+    "eval_row": f"""SELECT '2024-01-01 00:00' AS fecha, 'stub' AS checkpoint, CAST((SELECT count(*) FROM (WITH {EVAL} SELECT * FROM pairs)) AS INTEGER) AS n_prueba, CAST(NULL AS VARCHAR) AS epochs,
+  CAST(NULL AS VARCHAR) AS learning_rate, 16 AS rank, 32 AS lora_alpha, CAST(0.05 AS DOUBLE) AS lora_dropout, CAST(NULL AS DOUBLE) AS bertscore_f1,
+  (SELECT round(avg(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))), 4) FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1 AND a.vec_id % 2 = 0) AS coseno_sem,
+  (SELECT round(avg(rouge), 4) FROM (WITH RECURSIVE {ROUGE} SELECT rouge FROM rouge)) AS rouge_l, (SELECT round(bleu, 2) FROM (WITH {BLEU} SELECT bleu FROM bleu)) AS bleu,
+  (SELECT round(cider, 4) FROM (WITH {CIDER} SELECT cider FROM cid)) AS cider,
+  (SELECT round(avg((doc_id % 17 + 1) / 8.0), 4) FROM documents) AS perdida, (SELECT round(exp(avg((doc_id % 17 + 1) / 8.0)), 2) FROM documents) AS perplejidad, (SELECT round(avg((doc_id % 11 + 1) / 4.0), 4) FROM documents) AS entropia,
+  (SELECT round(avg(coalesce(mi, 0.0)), 4) FROM (WITH {MI} SELECT mi FROM pairs LEFT JOIN m USING (example_id))) AS info_mutua,
+  (SELECT round(coalesce(avg(CASE WHEN list_has_any(r, p) THEN 1.0 ELSE 0.0 END), 0.0), 4) FROM (WITH {EVAL} SELECT {_cites('reference')} AS r, {_cites('prediction')} AS p FROM pairs) WHERE len(r) > 0) AS exactitud_citas,
+  (SELECT round(avg(a), 4) FROM (WITH {EVAL} SELECT CASE WHEN {ADMITS} THEN 0.0 ELSE 1.0 END AS a FROM pairs)) AS tasa_alucinacion""",
     "embedding_cosine": "SELECT round(avg(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))), 6) AS coseno_sem FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1 AND a.vec_id % 2 = 0",
     "perplexity": "SELECT round(avg(nll), 6) AS perdida, round(exp(avg(nll)), 6) AS perplejidad, round(avg(entropy), 6) AS entropia FROM (SELECT (doc_id % 17 + 1) / 8.0 AS nll, (doc_id % 11 + 1) / 4.0 AS entropy FROM documents)",
 }

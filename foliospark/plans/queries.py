@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import lines, ngrams, tokens
 from ..operators import chat, dataset, metrics, normalize, paths, qa, routing, structure
-from .adapters import embedding_pairs, eval_pairs, legal_docs, scores, table
+from ..sources import extraction
+from .adapters import DOC_TYPES, embedding_pairs, eval_pairs, legal_docs, scores, table
 
 
 def _meta(s: SparkSession, d: str) -> DataFrame:
@@ -50,14 +51,19 @@ def limit_written(s, d):
 
 
 def path_order(s, d):
-    """Documents by rank in path order; the operator ranks all, the query's SQL has the first fifty."""
-    return paths.ranked(legal_docs(s, d)).filter("rank <= 50").orderBy("rank").select("doc_id", "path")
+    return paths.ranked(legal_docs(s, d)).select("doc_id", "path", F.col("rank").cast("bigint").alias("rank"))
 
 
 def is_digital(s, d):
     return routing.likely_digital(routing.running_pages(table(s, d, "documents"), "source", "doc_id", "text"), "source")
 
 
+def is_digital_docs(s, d):
+    """By document, of which every third has no pages."""
+    docs = table(s, d, "documents")
+    return routing.likely_digital(docs.filter("doc_id % 3 <> 0").select("doc_id", F.lit(1).alias("page_no"), F.col("text").alias("page_text")), "doc_id", docs=docs)
+
+
 def looks_corrupt(s, d):
     return table(s, d, "documents").select("doc_id", routing.looks_corrupt(F.col("text")).alias("corrupt"))
 
@@ -75,6 +81,31 @@ def route_stats(s, d):
     return routing.route_stats(routing.route_documents(table(s, d, "documents")))
 
 
+def _unreadable(content: bytes) -> str:
+    """A stub reader: what begins with an exclamation mark is an error."""
+    if content[:1] == b"!":
+        raise ValueError("damaged file")
+    return content[1:].decode()
+
+
+def _stub_ocr():
+    """A stub OCR reader: texts of an even number of bytes come out longer, others empty."""
+    return lambda content: content[1:].decode() + "x" * 100 if len(content) % 2 else ""
+
+
+def run_stats(s, d):
+    """Statistics of two extraction runs over the documents as files, without and with OCR."""
+    text = legal_docs(s, d).select("doc_id", "path").join(table(s, d, "documents").select("doc_id", "text"), "doc_id")
+    files = text.select("path", F.encode(F.concat(F.when(F.col("doc_id") % 7 == 3, "!").otherwise("."), F.coalesce("text", F.lit(""))), "UTF-8").alias("content"))
+    done = paths.path_meta(text.filter("doc_id % 20 = 4")).select("out_path")
+    out = None
+    for ocr in (None, _stub_ocr):
+        run = extraction.extract(files, _unreadable, pages=lambda b: [b[1:].decode()], ocr=ocr, types=[t for t in DOC_TYPES if t != "Plan"], done=done)
+        one = routing.route_stats(run).withColumn("with_ocr", F.lit(ocr is not None))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def strip_decoration(s, d):
     each = table(s, d, "pages").select("page_id", F.posexplode_outer(lines(F.col("html"))).alias("pos", "raw"))
     return each.select("page_id", "pos", normalize.is_table(F.col("raw")).alias("is_table"), normalize.strip_decoration(F.col("raw")).alias("s"))
@@ -148,9 +179,15 @@ def duplicate_count(s, d):
 
 
 def pairs_by_type(s, d):
-    every = dataset.pairs_by_type(_pairs(s, d))
-    kept = dataset.keep_first(_qa(s, d)).groupBy("tipo").agg(F.count("*").alias("n_kept"))
-    return every.join(kept, "tipo", "left").select("tipo", "n_pairs", F.coalesce("n_kept", F.lit(0)).alias("n_kept"))
+    each = _pairs(s, d).select("path", "tipo", F.posexplode_outer("pairs").alias("pair_idx", "p")).select("path", "tipo", "pair_idx", "p.question")
+    return dataset.kept_by_type(each)
+
+
+def formatted(s, d):
+    """Both formats of the pairs of two types, by the arguments' text."""
+    some = dataset.of_types(_qa(s, d), dataset.types_argument("LEY, Plan"))
+    one = qa.formatted(some, "alpaca").select(F.lit("alpaca").alias("format"), F.to_json(F.struct("instruction", "input", "output")).alias("record"))
+    return one.unionByName(qa.formatted(some, "sharegpt").select(F.lit("sharegpt").alias("format"), F.to_json(F.struct("conversations")).alias("record")))
 
 
 def split_hash(s, d):
@@ -171,6 +208,30 @@ def prompt_messages(s, d):
     return made.select("conv_id", "turn", F.size("messages").alias("n"), F.array_join(F.transform("messages", lambda m: F.concat_ws(":", m["role"], m["content"])), "|").alias("messages"))
 
 
+def _echo(messages: list[dict], temperature: float = 0.7) -> str:
+    """A stub generator."""
+    return f" {len(messages)} mensajes, {messages[-1]['content'][:20]}, {temperature:.1f} "
+
+
+def history_since_reset(s, d):
+    """Histories after a reset at turn 2 of every other conversation."""
+    turns = chat.pair_turns(table(s, d, "conversations"))
+    kept = chat.since_reset(turns, turns.filter("conv_id % 2 = 0").select("conv_id", F.lit(2).alias("turn")))
+    return chat.history(kept, 3).select("conv_id", "turn", F.size("history").cast("bigint").alias("n"), F.coalesce(F.get("history", 0)["user"], F.lit("")).alias("oldest"))
+
+
+def answers(s, d):
+    """Answers by a stub generator, and by a pipeline without a checkpoint."""
+    turns = chat.pair_turns(table(s, d, "conversations"))
+    some = chat.answer(chat.prompt_messages(turns, 2), _echo, chat.model_name("models/stub/")).select("conv_id", "turn", "answer", "model_used")
+    return some.unionByName(chat.pipeline_from(s, {"model": {"checkpoint_path": " "}, "chat": {"max_history": 1}}).answers(turns).select("conv_id", "turn", "answer", "model_used"))
+
+
+def batch_answers(s, d):
+    asked = table(s, d, "conversations").filter("role = 'user'").select("conv_id", "turn", F.col("text").alias("question"))
+    return chat.batch_answers(asked, _echo).select("conv_id", "turn", "answer", "model_used")
+
+
 def conv_title(s, d):
     return chat.conversation_titles(table(s, d, "conversations"))
 
@@ -217,14 +278,30 @@ def perplexity(s, d):
     return metrics.perplexity(scores(s, d)).select(*(F.round(c, 6).alias(c) for c in ("perdida", "perplejidad", "entropia")))
 
 
+def answer_losses(s, d):
+    """A stub forward pass: a token for each word of both, prompt first, its loss its length, its entropy half of that."""
+
+    def forward(question, reference):
+        return [(float("nan"), float("nan"))] * len(question.split(" ")) + [(float(len(w)), len(w) / 2) for w in reference.split(" ")]
+
+    pairs = eval_pairs(s, d).withColumn("question", F.lit("uno dos"))
+    return metrics.answer_losses(pairs, forward, 12).select("example_id", F.round("nll", 6).alias("nll"), F.round("entropy", 6).alias("entropy"))
+
+
+def mean_similarity(s, d):
+    """A stub similarity: the shorter text's share of the longer."""
+    share = lambda p, r: min(len(p), len(r)) / max(len(p), len(r), 1)
+    return metrics.mean_similarity(eval_pairs(s, d), share).select(F.round("bertscore_f1", 6).alias("bertscore_f1"))
+
+
 def eval_row(s, d):
     pairs = eval_pairs(s, d)
     return metrics.result_row(pairs, pairs.select(F.col("prediction").alias("answer")), scores(s, d), embedding_pairs(s, d), fecha="2024-01-01 00:00", checkpoint="stub", rank=16, lora_alpha=32, lora_dropout=0.05)
 
 
 QUERIES = {f.__name__: f for f in (
-    path_meta, scope_filter, anti_skip, limit_written, path_order, is_digital, looks_corrupt, route, route_ocr, route_stats, strip_decoration, line_frequency,
+    path_meta, scope_filter, anti_skip, limit_written, path_order, is_digital, is_digital_docs, looks_corrupt, route, route_ocr, route_stats, run_stats, strip_decoration, line_frequency,
     noise_drop, normalized_md, normalized_text, frontmatter, classify_lines, articles, doc_structure, citation_ref, article_numbers, qa_pairs, qa_template,
-    alpaca, sharegpt, dedupe_first, duplicate_count, pairs_by_type, split_hash, training_text, chat_history, prompt_messages, conv_title, citations,
-    citation_accuracy, no_answer_rate, ngram_counts, cider, vocab_mi, rouge_l, bleu, embedding_cosine, perplexity, eval_row,
+    alpaca, sharegpt, dedupe_first, duplicate_count, pairs_by_type, formatted, split_hash, training_text, chat_history, prompt_messages, history_since_reset, answers, batch_answers, conv_title, citations,
+    citation_accuracy, no_answer_rate, ngram_counts, cider, vocab_mi, rouge_l, bleu, embedding_cosine, perplexity, answer_losses, mean_similarity, eval_row,
 )}

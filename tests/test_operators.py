@@ -172,3 +172,28 @@ def test_empty_inputs(spark):
 
 def test_admissions(spark):
     assert one(spark, "Lo siento, NO TENGO información", metrics.admits) and not one(spark, "Sí", metrics.admits)
+
+
+def test_running_limit_without_adaptive_plans(spark):
+    """Rows up to the limit, and ranks, on many rows in many ranges, with adaptive execution off."""
+    rows = [(f"{2000 + i % 10}/si/normatividad/LEY/{i * 7919 % 10007}_{i}.pdf", i % 3 == 0) for i in range(10000)]
+    df = spark.createDataFrame(rows, "path string, ok boolean").repartition(7)
+    ordered = sorted(rows, key=lambda r: r[0].split("/"))
+    want, done = [], 0
+    for path, ok in ordered:
+        if done >= 2000:
+            break
+        want.append(path)
+        done += ok
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        assert sorted(r.path for r in paths.until_written(df, 2000, "ok").collect()) == sorted(want)
+        assert [r.path for r in paths.ranked(df).orderBy("rank").collect()] == [p for p, _ in ordered]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_conversation_store(spark):
+    talks = spark.createDataFrame([(1, "uno"), (2, "dos")], "conv_id long, title string")
+    names = spark.createDataFrame([(1, "  "), (2, " nuevo ")], "conv_id long, title string")
+    assert {r.conv_id: r.title for r in chat.renamed(talks, names).collect()} == {1: "uno", 2: "nuevo"}

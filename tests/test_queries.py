@@ -9,7 +9,6 @@ from foliospark.plans.oracle import SQL
 from foliospark.plans.queries import QUERIES
 
 DATA = "/root/testdata/sf0.001"
-FAST = ["path_meta", "limit_written", "looks_corrupt", "route_stats", "line_frequency", "normalized_text", "doc_structure", "pairs_by_type", "chat_history", "citation_accuracy", "vocab_mi"]
 
 
 @pytest.fixture(scope="module")
@@ -21,7 +20,7 @@ def con():
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables here")
-@pytest.mark.parametrize("name", FAST)
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_against_sql(spark, con, name):
     df = QUERIES[name](spark, DATA)
     columns = sorted(df.columns)
