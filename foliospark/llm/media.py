@@ -6,14 +6,30 @@ confirms at offset 0 is the value's true type, whatever type was declared, and w
 confirms further in is carved as embedded media. A magic string that fails its
 validator is text that happens to look like one.
 
-Formats: WAV (8-bit PCM), BMP (8-bit grey) and PGM (binary, 8-bit).
-
-Null and empty values have no type and nothing to carve.
+Formats and what their validators check:
+
+* WAV: PCM of 8, 16, 24 or 32 bits; chunk lengths, block and byte rates. Stored size as in the header.
+* BMP: the 40-byte header, uncompressed, 1, 4, 8, 24 or 32 bits; offsets and the rows' length.
+* PGM: binary, comments allowed, greatest value up to 65535 (two bytes a sample above 255).
+* PNG: every chunk's length and CRC-32, IHDR first, an IDAT, IEND last.
+* GIF: 87a and 89a; all blocks up to the trailer.
+* JPEG: all segments' lengths up to the scans, then up to the end marker outside of them.
+* ZIP: the end record whose directory's place, length and entry count fit; local headers first.
+* PDF: header, and the last end mark whose startxref points to a cross-reference inside.
+* FLAC: the stream header and all metadata blocks, then a frame's sync code; it reaches to the
+  value's end, as its frames have no stated length.
+
+Null and empty values have no type and nothing to carve. Equal values get equal results;
+rows are independent, so ids may repeat or be null, and an empty table stays empty. Of media
+that begin at one place the longest comes first. Columns keep their values, whatever their
+names, but for the result's own, which replace any that the table had. A value of any length
+is held whole by one task, several times.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -27,13 +43,17 @@ from ._common import text_batches, widened
 
 UNIT = 192
 RATE = 8000
-MAGIC = {b"RIFF": "audio/wav", b"BM": "image/bmp", b"P5\n": "image/x-portable-graymap"}
-WAV, BMP, PGM = MAGIC.values()
+WAV, BMP, PGM, PNG, GIF, JPEG, ZIP, PDF, FLAC = ("audio/wav", "image/bmp", "image/x-portable-graymap", "image/png", "image/gif", "image/jpeg", "application/zip", "application/pdf", "audio/flac")
+# The formats' signatures.
+MAGIC = {
+    b"RIFF": WAV, b"BM": BMP, b"P5\n": PGM, b"P5 ": PGM, b"P5#": PGM, b"\x89PNG\r\n\x1a\n": PNG, b"GIF87a": GIF, b"GIF89a": GIF,
+    b"\xff\xd8\xff": JPEG, b"PK\x03\x04": ZIP, b"%PDF-": PDF, b"fLaC": FLAC,
+}
 
 
 @dataclass(frozen=True)
 class Medium:
-    """A confirmed medium: bytes start to end of the value; its samples are sample_start to sample_end, in rows of stride bytes."""
+    """A confirmed medium: bytes start to end of the value; its samples or body are sample_start to sample_end."""
 
     kind: str
     start: int
@@ -71,7 +91,7 @@ def _wav(data: bytes, at: int) -> Medium | None:
             if form != 1 or not channels or block * 8 != channels * bits or per_s != rate * block:
                 return None
         if name == b"data" and bits:
-            return Medium(WAV, at, end, place + 8, place + 8 + size, 1, size) if bits == 8 else None
+            return Medium(WAV, at, end, place + 8, place + 8 + size, 1, size) if bits in (8, 16, 24, 32) else None
         place += 8 + size + size % 2
     return None
 
@@ -80,28 +100,141 @@ def _bmp(data: bytes, at: int) -> Medium | None:
     if len(data) < at + 54:
         return None
     size, _, offset, head, width, rows, planes, bits, packed, image = struct.unpack_from("<IIIIiiHHII", data, at + 2)
-    if head != 40 or planes != 1 or bits != 8 or packed or width <= 0 or rows == 0:
+    if head != 40 or planes != 1 or bits not in (1, 4, 8, 24, 32) or packed or width <= 0 or rows == 0:
         return None
-    stride = (width + 3) // 4 * 4
-    if image != stride * abs(rows) or size != offset + image or offset < 54 + 1024 or at + size > len(data):
+    stride = (width * bits + 31) // 32 * 4
+    whole = stride * abs(rows)
+    # An image size of 0 stands for the rows' own.
+    if image not in (0, whole) or size != offset + whole or offset < 54 or at + size > len(data):
         return None
     return Medium(BMP, at, at + size, at + offset, at + size, width, abs(rows))
 
 
+_PGM = re.compile(rb"P5(?:\s|#[^\n]*\n)+(\d{1,9})(?:\s|#[^\n]*\n)+(\d{1,9})(?:\s|#[^\n]*\n)+(\d{1,5})\s")
+
+
 def _pgm(data: bytes, at: int) -> Medium | None:
-    lines = data[at : at + 64].split(b"\n", 3)
-    if len(lines) < 4 or lines[2] != b"255":
+    head = _PGM.match(data, at, at + 1024)
+    if not head:
         return None
-    sides = lines[1].split(b" ")
-    if len(sides) != 2 or not all(x.isdigit() and len(x) < 12 for x in sides):
+    width, rows, most = map(int, head.groups())
+    end = head.end() + width * rows * (1 + (most > 255))
+    return Medium(PGM, at, end, head.end(), end, width, rows) if width and rows and 0 < most < 65536 and end <= len(data) else None
+
+
+def _png(data: bytes, at: int) -> Medium | None:
+    place, names, size = at + 8, [], (0, 0)
+    while place + 12 <= len(data):
+        n, name = struct.unpack_from(">I4s", data, place)
+        if place + 12 + n > len(data) or zlib.crc32(data[place + 4 : place + 8 + n]) != struct.unpack_from(">I", data, place + 8 + n)[0]:
+            return None
+        if not names:
+            if name != b"IHDR" or n != 13:
+                return None
+            size = struct.unpack_from(">II", data, place + 8)
+        names.append(name)
+        place += 12 + n
+        if name == b"IEND":
+            return Medium(PNG, at, place, at + 8, place, *size) if b"IDAT" in names and all(size) else None
+    return None
+
+
+def _gif(data: bytes, at: int) -> Medium | None:
+    if len(data) < at + 14:
+        return None
+    width, rows, flags = struct.unpack_from("<HHB", data, at + 6)
+    colours = lambda f: 3 << ((f & 7) + 1) if f & 128 else 0
+    place, images = at + 13 + colours(flags), 0
+
+    def past_blocks(i: int) -> int:
+        while i < len(data) and data[i]:
+            i += 1 + data[i]
+        return i + 1
+
+    while place < len(data):
+        kind = data[place]
+        if kind == 0x3B:
+            return Medium(GIF, at, place + 1, at + 13, place + 1, width, rows) if images and width and rows else None
+        if kind == 0x21 and place + 2 <= len(data):
+            place = past_blocks(place + 2)
+        elif kind == 0x2C and place + 11 <= len(data):
+            place, images = past_blocks(place + 11 + colours(data[place + 9])), images + 1
+        else:
+            return None
+    return None
+
+
+def _jpeg(data: bytes, at: int) -> Medium | None:
+    place, size, scans = at + 2, (0, 0), 0
+    while place + 4 <= len(data) and data[place] == 0xFF:
+        mark = data[place + 1]
+        if mark == 0xFF:
+            place += 1
+            continue
+        n = struct.unpack_from(">H", data, place + 2)[0]
+        if mark < 0xC0 or n < 2 or place + 2 + n > len(data):
+            return None
+        if mark in (0xC0, 0xC1, 0xC2) and n >= 8:
+            size = struct.unpack_from(">HH", data, place + 5)[::-1]
+        place += 2 + n
+        if mark == 0xDA:
+            scans += 1
+            # Coded bytes run up to a marker; a zero or a restart after 255 belongs to them.
+            while (place := data.find(b"\xff", place)) >= 0 and place + 1 < len(data) and (data[place + 1] == 0 or 0xD0 <= data[place + 1] <= 0xD7):
+                place += 2
+            if place < 0 or place + 1 >= len(data):
+                return None
+            if data[place + 1] == 0xD9:
+                return Medium(JPEG, at, place + 2, at + 2, place + 2, *size) if all(size) else None
+    return None
+
+
+def _zip(data: bytes, at: int) -> Medium | None:
+    place = at
+    while (place := data.find(b"PK\x05\x06", place + 1)) >= 0 and place + 22 <= len(data):
+        disk, first, here, entries, size, offset, note = struct.unpack_from("<HHHHIIH", data, place + 4)
+        start = at + offset
+        if disk == first == 0 and here == entries and entries and start + size == place and place + 22 + note <= len(data):
+            found = 0
+            while start < place and data[start : start + 4] == b"PK\x01\x02":
+                start += 46 + sum(struct.unpack_from("<HHH", data, start + 28))
+                found += 1
+            if found == entries and start == place:
+                return Medium(ZIP, at, place + 22 + note, at, place, entries, 1)
+    return None
+
+
+_XREF = re.compile(rb"startxref\s+(\d{1,12})\s+%%EOF\r?\n?")
+
+
+def _pdf(data: bytes, at: int) -> Medium | None:
+    if not data[at + 5 : at + 6].isdigit():
+        return None
+    after = data.find(b"%PDF-", at + 5)
+    best = None
+    for mark in _XREF.finditer(data, at, len(data) if after < 0 else after):
+        table = data[at + int(mark[1]) : at + int(mark[1]) + 32]
+        if at + int(mark[1]) < mark.start() and (table.startswith(b"xref") or re.match(rb"\d+\s+\d+\s+obj", table)):
+            best = mark.end()
+    return Medium(PDF, at, best, at, best, 1, 1) if best else None
+
+
+def _flac(data: bytes, at: int) -> Medium | None:
+    place, kinds, last = at + 4, [], False
+    while not last:
+        if place + 4 > len(data):
+            return None
+        last, kind, n = data[place] >> 7 == 1, data[place] & 127, int.from_bytes(data[place + 1 : place + 4], "big")
+        if kind > 6 or (kind == 0) != (not kinds) or (kind == 0 and n != 34) or place + 4 + n > len(data):
+            return None
+        kinds.append(kind)
+        place += 4 + n
+    if place + 2 > len(data) or data[place] != 0xFF or data[place + 1] & 0xFE != 0xF8:
         return None
-    width, rows = map(int, sides)
-    start = at + sum(len(x) + 1 for x in lines[:3])
-    end = start + width * rows
-    return Medium(PGM, at, end, start, end, width, rows) if width and rows and end <= len(data) else None
+    return Medium(FLAC, at, len(data), place, len(data), 1, 1)
 
 
-VALIDATORS = {WAV: _wav, BMP: _bmp, PGM: _pgm}
+VALIDATORS = {WAV: _wav, BMP: _bmp, PGM: _pgm, PNG: _png, GIF: _gif, JPEG: _jpeg, ZIP: _zip, PDF: _pdf, FLAC: _flac}
 
 
 def sniff(data: bytes, machine=None) -> tuple[list[Medium], int]:

@@ -543,6 +543,52 @@ def test_media(spark):
     assert (b.media_type, b.type_corrected, c.media_type, c.carved) == (media.PGM, True, None, [])
 
 
+def made_media():
+    """A small medium of each format, made by hand or by the standard library."""
+    import io
+    import struct
+    import zipfile
+
+    chunk = lambda name, body: struct.pack(">I", len(body)) + name + body + struct.pack(">I", zlib.crc32(name + body))
+    png = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 2, 1, 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(b"\0ab")) + chunk(b"IEND", b"")
+    gif = b"GIF89a" + struct.pack("<HHBBB", 1, 1, 0x80, 0, 0) + b"\0\0\0\xff\xff\xff" + b"\x21\xf9\x04\0\0\0\0\0" + b"\x2c" + struct.pack("<HHHHB", 0, 0, 1, 1, 0) + b"\x02\x02\x44\x01\0" + b"\x3b"
+    seg = lambda mark, body: b"\xff" + bytes([mark]) + struct.pack(">H", len(body) + 2) + body
+    jpeg = b"\xff\xd8" + seg(0xE0, b"JFIF\0") + seg(0xC0, b"\x08" + struct.pack(">HH", 3, 4) + b"\x01\x01\x11\0") + seg(0xDA, b"\x01\x01\0\0\x3f\0") + b"ab\xff\0cd\xff\xd0ef\xff\xd9"
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("a.txt", "hola")
+        z.writestr("b.txt", "x" * 300)
+    body = b"%PDF-1.4\n1 0 obj\n<<>>\nendobj\n"
+    pdf = body + b"xref\n0 1\ntrailer\n<<>>\nstartxref\n%d\n%%%%EOF\n" % len(body)
+    flac = b"fLaC" + b"\0\0\0\x22" + bytes(34) + b"\x84\0\0\x02ab" + b"\xff\xf8frames"
+    form = struct.pack("<4sIHHIIHH", b"fmt ", 16, 1, 2, 8000, 32000, 4, 16)
+    wav = struct.pack("<4sI4s", b"RIFF", 36 + 8, b"WAVE") + form + struct.pack("<4sI", b"data", 8) + b"12345678"
+    bmp = struct.pack("<2sIIIIiiHHIIiiII", b"BM", 54 + 8, 0, 54, 40, 2, 1, 1, 24, 0, 0, 0, 0, 0, 0) + b"abcdef\0\0"
+    pgm = b"P5 # made by hand\n2 1\n65535\nabcd"
+    return {media.PNG: png, media.GIF: gif, media.JPEG: jpeg, media.ZIP: out.getvalue(), media.PDF: pdf, media.WAV: wav, media.BMP: bmp, media.PGM: pgm, media.FLAC: flac}
+
+
+def test_media_formats(spark):
+    """Each format is confirmed whole, corrected where mis-declared, carved from among text, and refused when cut or damaged."""
+    made = made_media()
+    for kind, data in made.items():
+        found, _ = media.sniff(data)
+        assert (found[0].kind, found[0].start, found[0].end) == (kind, 0, len(data)), kind
+        cut = [m for m in media.sniff(data[:-1])[0] if m.start == 0]
+        assert kind == media.FLAC or not cut or (kind == media.PDF and cut[0].end == len(data) - 1), kind
+    hurt = bytearray(made[media.PNG])
+    hurt[-20] ^= 1
+    assert media.sniff(bytes(hurt)) == ([], 1)
+    among = b"some text " + b" and ".join(made[k] for k in list(made)[:-1]) + b" BM P5 tail"
+    rows = [(bytearray(among), "image/png"), *((bytearray(v), "text/plain") for v in made.values()), (bytearray(), None), (None, "image/gif")]
+    df = spark.createDataFrame(rows, "m binary, t string").withColumn("kind", F.lit("own"))
+    got = media.sniff_column(df, "m", "t").collect()
+    assert [(c["kind"], bytes(c.bytes)) for c in got[0].carved if c["kind"] != media.WAV or True][: len(made) - 1] == list(made.items())[:-1] and got[0].media_type is None
+    assert [(r.media_type, r.type_corrected, r.kind) for r in got[1:-2]] == [(k, True, "own") for k in made]
+    assert all((r.media_type, r.type_corrected, r.unconfirmed, r.carved) == (None, False, 0, []) for r in got[-2:])
+    assert media.sniff_column(df.filter("false"), "m", "t").count() == 0 and media.media_digests(docs(spark, ["x"]).filter("false")).count() == 0
+
+
 # ------------------------------------------------------------- op 10
 
 
