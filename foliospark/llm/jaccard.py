@@ -371,4 +371,16 @@ def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op2_jaccard": op2_jaccard}
-SQL: dict[str, str] = {}
+# All pairs of documents that share a shingle, and all that links reach; for small tables.
+SQL = {
+    "op2_jaccard": rf"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS k, doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT DISTINCT k, s FROM (SELECT k, unnest(CASE WHEN len(w) >= {SIZE} THEN list_transform(range(1, len(w) - {SIZE - 2}), lambda i: array_to_string(w[i:i + {SIZE - 1}], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM d)),
+n AS (SELECT k, count(*) AS n FROM s GROUP BY k),
+p AS (SELECT a.k AS x, b.k AS y, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.k < b.k GROUP BY ALL),
+l AS (SELECT x, y FROM p JOIN n a ON a.k = x JOIN n b ON b.k = y WHERE 100 * c >= {PERCENT} * (a.n + b.n - c)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r(k, m) AS (SELECT k, k FROM d UNION SELECT r.k, e.y FROM r JOIN e ON r.m = e.x)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id FROM d LEFT JOIN n USING (k)
+  JOIN (SELECT r.k, min(t.doc_id) AS component_id FROM r JOIN d t ON t.k = r.m GROUP BY r.k) c USING (k)"""
+}
