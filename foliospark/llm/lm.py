@@ -24,9 +24,9 @@ Training counts every training text: bytes, words, tables, and the run table's c
 scan task keeps the bit tables and sends them in compressed blocks; the run contexts travel
 with check bits, and where contexts share a cell the most frequent stays. Tables are sized
 by the number of training tokens, up to 2**MOST_BITS cells each: beyond that, rarer contexts
-give way. First weights and map are a classifier that is fitted to segments of training
-texts; hashes pick so many, of whatever texts and places, that they hold about FIT_TOKENS
-tokens, and each is predicted with its own occurrence taken off the counts.
+give way. First weights and map are a classifier that is fitted to the decisions of every
+training text, each predicted with its own occurrence taken off the counts; what is held of
+them is how often each gate meets each combination of inputs (in LEVELS steps) and bit.
 
 Base score: exact counts c of words and ends over all training texts. The TOP most
 frequent words are broadcast (a fixed number); a chunk of documents lists for each rarer
@@ -62,8 +62,6 @@ MOST_BITS = {"word": 22, "anchor": 20, "bytes": 21, "run": 22}
 CELLS = 1 << 14
 RUN_BLOCKS = 1 << 10
 FLUSH = 1 << 21
-FIT_TOKENS = 200_000
-SEGMENT = 256
 LEVELS = 33
 WIDE, MOST_ROWS = 1 << 18, 1 << 10
 CHUNK = 3 << 16
@@ -74,6 +72,7 @@ INPUTS = 4
 DEPTHS, PLACES, STEPS = 8, 4, 33
 MATCH, REPEAT, WORD, BYTE = 0, 6, 18, 34  # the first gates of each kind of decision
 GATES = BYTE + 4 * PLACES
+TALLIES = 2 * GATES * LEVELS ** (INPUTS - 1)
 LIMIT = 8.0
 END_WORD = np.uint64(0x9E3779B97F4A7C15)
 U64 = np.uint64
@@ -141,6 +140,11 @@ def stretch(zeros, ones) -> np.ndarray:
     return np.clip(np.log((ones + 0.4) / (zeros + 0.4)), -LIMIT, LIMIT).astype(np.float32)
 
 
+def level(x: np.ndarray) -> np.ndarray:
+    """The step, of LEVELS, that a stretched prediction is nearest to."""
+    return np.round((np.clip(x, -LIMIT, LIMIT) + LIMIT) * ((LEVELS - 1) / (2 * LIMIT))).astype(np.int8)
+
+
 class Code:
     """Vocabulary and trees: of a size that TOP fixes. Words come with the most frequent first."""
 
@@ -405,25 +409,31 @@ def merged_tables(counted: DataFrame, code) -> DataFrame:
 
 
 class Model:
-    """Code, tables, weights and map; of a size that the parameters bound."""
+    """Code, tables, weights and map; of a size that the parameters bound.
+
+    A byte for each cell; until the model is settled, also the levels that each cell predicts to a text of its own, without the bit that is predicted.
+    """
 
-    def __init__(self, code: Code, counts: np.ndarray | None, token: np.ndarray, conf: np.ndarray):
-        self.code, self.counts, self.token, self.conf = code, counts, token, conf
+    def __init__(self, code: Code, counts: np.ndarray, token: np.ndarray, conf: np.ndarray):
+        self.code, self.token, self.conf = code, token, conf
         self.weights, self.chart = np.full((GATES, INPUTS), 0.4), np.full((GATES, STEPS), 0.5)
-        self.table = None
+        self.table, self.left = np.zeros(len(counts), np.int8), np.zeros(2 * len(counts), np.int8)
+        self.share = level(code.words.share)
+        for at in range(0, len(counts), CHUNK):
+            zeros, ones = counts[at : at + CHUNK].T.astype(np.float32)
+            self.table[at : at + CHUNK] = np.round(stretch(zeros, ones) * (127 / LIMIT))
+            self.left[2 * at : 2 * (at + CHUNK) : 2] = level(stretch(np.maximum(zeros - 1, 0), ones))
+            self.left[2 * at + 1 : 2 * (at + CHUNK) : 2] = level(stretch(zeros, np.maximum(ones - 1, 0)))
 
     def settle(self, weights: np.ndarray, chart: np.ndarray) -> None:
-        """The model for scoring: a byte for each cell."""
-        self.weights, self.chart = weights, chart
-        self.table = np.round(stretch(self.counts[:, 0].astype(np.float32), self.counts[:, 1].astype(np.float32)) * (127 / LIMIT)).astype(np.int8)
-        self.counts = None
+        """The model for scoring."""
+        self.weights, self.chart, self.left = weights, chart, None
 
     def predict(self, cells: np.ndarray, value: np.ndarray) -> np.ndarray:
-        """The stretched predictions of cells; while the model is fitted, without the bit that is predicted."""
-        if self.table is not None:
+        """The stretched predictions of cells; while the model is fitted, their levels without the bit that is predicted."""
+        if self.left is None:
             return self.table[cells].astype(np.float32) * np.float32(LIMIT / 127)
-        n = self.counts[cells].astype(np.float32)
-        return stretch(np.maximum(n[:, 0] - (1 - value), 0), np.maximum(n[:, 1] - value, 0))
+        return self.left[2 * cells + value]
 
 
 def blocks(number: np.ndarray) -> np.ndarray:
@@ -439,10 +449,10 @@ def blocks(number: np.ndarray) -> np.ndarray:
 class Decisions:
     """The binary decisions of a slice's tokens: asked for in pieces of units, a token or a byte pair of one."""
 
-    def __init__(self, tokens: Tokens, model: Model, chosen: np.ndarray | None = None):
+    def __init__(self, tokens: Tokens, model: Model):
         self.tokens, self.model = tokens, model
         self.last, self.anchor = tokens.before()
-        fitting = model.table is None
+        fitting = model.left is not None
         # What the run table says.
         key = run_keys(tokens)
         at = (key >> U64(32)).astype(np.int64)
@@ -472,79 +482,98 @@ class Decisions:
         self.asked = seen & ~(known & (hit | agree))
         self.open = ~(known & hit) & ~(self.asked & again)
         self.units = 1 + np.where(self.open, tokens.pairs(), 0)
-        if chosen is not None:
-            self.units = np.where(chosen, self.units, 0)
+
+    def kinds(self, token: np.ndarray, unit: np.ndarray):
+        """Of units, kind by kind: (number in units, gate, inputs but the constant, value) of each decision; inputs are levels while the model is fitted."""
+        t, m = self.tokens, self.model
+        own = (lambda x: x) if m.left is None else level
+        whole = np.flatnonzero(unit == 0)
+        lone = token[whole]
+        # The run table's word.
+        use = whole[self.known[lone]]
+        at = token[use]
+        says = np.where(self.state[at] > 0, np.where(self.agree[at], 1, 2), 0)
+        x = np.zeros((INPUTS - 1, len(at)), np.float32)
+        x[0] = stretch((self.whole[at] - self.part[at]).astype(np.float32), self.part[at].astype(np.float32))
+        x[1] = np.where(says == 1, 1, -1) * (says > 0) * (0.5 * self.state[at])
+        yield use, MATCH + 2 * says + (self.part[at] == self.whole[at]), own(x), self.hit[at]
+        # The text's own.
+        use = whole[self.asked[lone]]
+        at = token[use]
+        x = np.zeros((INPUTS - 1, len(at)), np.float32)
+        x[1] = 0.5 * self.state[at]
+        yield use, REPEAT + 2 * np.minimum(self.state[at] - 1, 5) + self.known[at], own(x), self.again[at]
+        # The code.
+        use = whole[self.open[lone]]
+        which, depth, node, value, cells = t.word_bits(token[use], self.last, self.anchor)
+        share = m.code.words.share if m.left is None else m.share
+        fresh = (self.last[token[use]] >= m.code.escape).astype(np.int32)
+        yield use[which], WORD + 2 * np.minimum(depth, DEPTHS - 1) + fresh[which], [share[node], *(m.predict(c, value) for c in cells)], value
+        use = np.flatnonzero(unit > 0)
+        which, depth, node, value, cells = t.pair_bits(token[use], unit[use] - 1)
+        place = np.minimum(unit[use] - 1, PLACES - 1).astype(np.int32)
+        yield use[which], BYTE + 4 * np.minimum(depth, 3) + place[which], [m.predict(c, value) for c in cells], value
 
     def pieces(self):
         """(token, gate, inputs, value, block) of the decisions of consecutive units; block: that of the unit in its text."""
-        t, m = self.tokens, self.model
+        t = self.tokens
         ends = np.cumsum(self.units)
         base = (ends - self.units)[t.first]  # the first unit of each text
         for token, unit in _pieces(self.units, CHUNK):
             block = blocks(ends[token] - self.units[token] + unit - base[t.row[token]])
             token = token.astype(np.int32)
-            whole = np.flatnonzero(unit == 0)
-            lone = token[whole]
-            out = []
-            # The run table's word.
-            use = whole[self.known[lone]]
-            at = token[use]
-            says = np.where(self.state[at] > 0, np.where(self.agree[at], 1, 2), 0)
-            x = np.zeros((INPUTS - 1, len(at)), np.float32)
-            x[0] = stretch((self.whole[at] - self.part[at]).astype(np.float32), self.part[at].astype(np.float32))
-            x[1] = np.where(says == 1, 1, -1) * (says > 0) * (0.5 * self.state[at])
-            out.append((use, MATCH + 2 * says + (self.part[at] == self.whole[at]), x, self.hit[at]))
-            # The text's own.
-            use = whole[self.asked[lone]]
-            at = token[use]
-            x = np.zeros((INPUTS - 1, len(at)), np.float32)
-            x[1] = 0.5 * self.state[at]
-            out.append((use, REPEAT + 2 * np.minimum(self.state[at] - 1, 5) + self.known[at], x, self.again[at]))
-            # The code.
-            use = whole[self.open[lone]]
-            which, depth, node, value, cells = t.word_bits(token[use], self.last, self.anchor)
-            x = np.zeros((INPUTS - 1, len(which)), np.float32)
-            x[0] = m.code.words.share[node]
-            x[1], x[2] = (m.predict(c, value) for c in cells)
-            fresh = self.last[token[use]] >= m.code.escape
-            out.append((use[which], WORD + 2 * np.minimum(depth, DEPTHS - 1) + fresh[which], x, value))
-            use = np.flatnonzero(unit > 0)
-            which, depth, node, value, cells = t.pair_bits(token[use], unit[use] - 1)
-            x = np.zeros((INPUTS - 1, len(which)), np.float32)
-            for i, c in enumerate(cells):
-                x[i] = m.predict(c, value)
-            out.append((use[which], BYTE + 4 * np.minimum(depth, 3) + np.minimum(unit[use] - 1, PLACES - 1)[which], x, value))
+            out = list(self.kinds(token, unit))
             which, gate, value = (np.concatenate([o[i] for o in out]) for i in (0, 1, 3))
             x = np.ones((len(which), INPUTS), np.float32)
-            x[:, : INPUTS - 1] = np.concatenate([o[2] for o in out], axis=1).T
+            for i in range(INPUTS - 1):
+                np.concatenate([o[2][i] for o in out], out=x[:, i])
             yield token[which], gate, x, value.astype(np.uint8), block[which]
 
+    def add_to(self, tally: np.ndarray) -> int:
+        """Counts gates, levels and values of all decisions in tally; returns how many there are."""
+        many, one = 0, np.int32(1)
+        for token, unit in _pieces(self.units, CHUNK // 4):
+            for _, gate, levels, value in self.kinds(token, unit):
+                key = gate.astype(np.int32)
+                for x in levels:
+                    key *= np.int32(LEVELS)
+                    key += x
+                key += key
+                key += value
+                np.add.at(tally, key, one)
+                many += len(key)
+        return many
+
 
-def fit_rows(texts: DataFrame, model, share: float) -> DataFrame:
-    """(key, n): how often each combination of gate, rounded inputs and value occurs in the chosen segments."""
-    # One text in so many, and of its segments one in eight, or all.
-    every = max(1, int(1 / max(share, 1e-18) / 8))
-    limit = U64(min((1 << 64) - 1, int(share * every * (1 << 64))))
-    texts = texts.filter(F.pmod(F.xxhash64(F.coalesce(texts.columns[0], F.lit(""))), F.lit(every)) == 0)
+def _packed_blocks(x: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(block, n) of the blocks of x, CELLS long, that aren't all zeros."""
+    for block, at in enumerate(range(0, len(x), CELLS)):
+        if (part := x[at : at + CELLS]).any():
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([_pack(part)], pa.binary())], names=["block", "n"])
+
+
+def fit_tallies(texts: DataFrame, model) -> DataFrame:
+    """(block, n): blocks of the number of decisions in all texts, by gate, levels of the inputs, and value."""
 
     def run(batches):
+        tally, held = np.zeros(TALLIES, np.int32), 0
         for b in text_batches(batches):
             for _, _, data, offsets in _slices(b.column(0)):
-                tokens = Tokens(data, offsets, model.value.code)
-                sums = np.zeros(len(tokens.hash) + 1, U64)
-                np.cumsum(tokens.hash, out=sums[1:])
-                text = sums[np.append(tokens.first[1:], len(tokens.hash))] - sums[tokens.first]
-                chosen = mix(text[tokens.row] ^ (tokens.at // SEGMENT).astype(U64) * U64(0x9E3779B97F4A7C15)) <= limit
-                if not chosen.any():
-                    continue
-                for _, gate, x, value, _ in Decisions(tokens, model.value, chosen).pieces():
-                    key = gate.astype(np.int64)
-                    for i in range(INPUTS - 1):
-                        key = key * LEVELS + np.round((np.clip(x[:, i], -LIMIT, LIMIT) + LIMIT) * ((LEVELS - 1) / (2 * LIMIT))).astype(np.int64)
-                    key, n = np.unique(2 * key + value, return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], names=["key", "n"])
-
-    return texts.mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
+                held += Decisions(Tokens(data, offsets, model.value.code), model.value).add_to(tally)
+                if held > 1 << 30:
+                    yield from _packed_blocks(tally)
+                    tally[:], held = 0, 0
+        yield from _packed_blocks(tally)
+
+    def merge(batches):
+        sums: dict[int, np.ndarray] = {}
+        for b in text_batches(batches):
+            for block, n in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                sums[block] = sums.get(block, 0) + _unpack(n.as_py(), np.int32).astype(np.int64)
+        for block, n in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([_pack(n)], pa.binary())], names=["block", "n"])
+
+    return texts.mapInArrow(run, "block int, n binary").repartition(partitions(texts.sparkSession), "block").mapInArrow(merge, "block int, n binary")
 
 
 def _squash(x: np.ndarray) -> np.ndarray:
@@ -667,17 +696,18 @@ def train(docs: DataFrame, text_col: str, counts: DataFrame, total: int) -> Mode
         else:
             found[block * CELLS : (block + 1) * CELLS] = _unpack(a, np.uint16).reshape(-1, 2)
     model = Model(code, found, token, conf)
+    del found
     shared.drop()
     raw = Shared(spark, model)
-    rows = fit_rows(texts, raw, FIT_TOKENS / max(1, total)).toArrow()
-    key, n = rows.column("key").to_numpy(), rows.column("n").to_numpy()
-    cell, where = np.unique(key // 2, return_inverse=True)
-    ones = np.bincount(where, n * (key % 2), len(cell))
-    zeros = np.bincount(where, n, len(cell)) - ones
-    levels = np.stack([cell // LEVELS**k % LEVELS for k in range(INPUTS - 2, -1, -1)] + [np.zeros(len(cell), np.int64)])
-    inputs = levels * (2 * LIMIT / (LEVELS - 1)) - LIMIT
-    inputs[INPUTS - 1] = 1
-    model.settle(*fit_mixer(inputs, cell // LEVELS ** (INPUTS - 1), zeros, ones))
+    tally = np.zeros(TALLIES, np.int64)
+    for block, n in fit_tallies(few, raw).toLocalIterator():
+        tally[block * CELLS : (block + 1) * CELLS] = _unpack(n, np.int64)
+    tally = tally.reshape(-1, 2)
+    cell = np.flatnonzero(tally.any(1))
+    inputs = np.ones((INPUTS, len(cell)), np.float32)
+    for i in range(INPUTS - 1):
+        inputs[i] = cell // LEVELS ** (INPUTS - 2 - i) % LEVELS * (2 * LIMIT / (LEVELS - 1)) - LIMIT
+    model.settle(*fit_mixer(inputs, cell // LEVELS ** (INPUTS - 1), tally[cell, 0], tally[cell, 1]))
     raw.drop()
     return model
 

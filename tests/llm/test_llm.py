@@ -408,6 +408,37 @@ def test_language_model_counts_every_text(spark, monkeypatch):
     assert held > 0.9 * len(runs)
 
 
+def test_language_model_is_fitted_to_every_text(spark, monkeypatch):
+    """The fit meets all decisions of all training texts, however few tokens might do, each without its own occurrence."""
+    monkeypatch.setattr(lm, "TOP", 40)
+    monkeypatch.setattr(lm, "FIT_TOKENS", 50, raising=False)
+    monkeypatch.setattr(lm, "SEGMENT", 8, raising=False)
+    texts = ["Uno dos", None, *(prose(s, 60, 90) for s in range(30)), prose(3, 60, 90), "uno " * 30]
+    met, fit = [], lm.fit_mixer
+    monkeypatch.setattr(lm, "fit_mixer", lambda *given: met.append(given) or fit(*given))
+    code = lm_model(docs(spark, texts)).code
+    found = [lm_decisions(t, code) for t in texts]
+    counts, want = collections.Counter(), collections.Counter()
+    for units in (d for text in found for t in text for d in (t["bits"], [x[1:] for x in t["spelt"]])):
+        counts.update((c, value) for _, _, cells, value in units for c in cells)
+    step = lambda x: int(np.round((np.clip(np.float32(x), -lm.LIMIT, lm.LIMIT) + lm.LIMIT) * 2))
+    for text in found:
+        for t in text:
+            for d, node, cells, value in t["bits"]:
+                left = [step(lm.stretch(np.float32(counts[c, 0] - (not value)), np.float32(counts[c, 1] - value))) for c in cells]
+                want[lm.WORD + 2 * min(d, lm.DEPTHS - 1) + (t["last"] >= code.escape), step(code.words.share[node]), *left, value] += 1
+            for k, d, _, cells, value in t["spelt"]:
+                left = [step(lm.stretch(np.float32(counts[c, 0] - (not value)), np.float32(counts[c, 1] - value))) for c in cells]
+                want[lm.BYTE + 4 * min(d, 3) + min(k, lm.PLACES - 1), *left, value] += 1
+    inputs, gate, zeros, ones = met[0]
+    got = collections.Counter()
+    for x, g, n0, n1 in zip(np.round((inputs[:-1].T + lm.LIMIT) * 2).astype(int).tolist(), gate.tolist(), zeros.tolist(), ones.tolist(), strict=True):
+        got[g, *x, 0], got[g, *x, 1] = n0, n1
+    got = +collections.Counter({k: n for k, n in got.items() if k[0] >= lm.WORD})
+    assert not got - want  # nothing twice, and every level as it should be
+    assert got.total() > 0.8 * want.total()  # the others are coded as repeats
+
+
 def test_language_model_scores_like_the_reference(spark, monkeypatch):
     monkeypatch.setattr(lm, "TOP", 40)
     texts = ["Uno dos", None, *(prose(s, 60, 90) for s in range(12)), prose(3, 60, 90)]
