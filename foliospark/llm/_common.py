@@ -8,6 +8,7 @@ over words or documents.
 from __future__ import annotations
 
 import atexit
+import ctypes
 import hashlib
 import tempfile
 import uuid
@@ -20,6 +21,11 @@ from pyspark.sql.types import StructField, StructType
 
 U64 = np.uint64
 SLICE_BYTES = 1 << 20
+try:
+    _LIBC = ctypes.CDLL("libc.so.6")
+    _LIBC.malloc_trim
+except (OSError, AttributeError):  # not glibc
+    _LIBC = None
 
 
 # ----------------------------------------------------------------------- staging
@@ -211,9 +217,20 @@ def as_long(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
+def release() -> None:
+    """Gives back to the system what this process no longer uses: workers are kept, and what they keep adds up beside the JVM."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+
+
 def text_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Arrow batches without the empty ones."""
-    return (b for b in batches if b.num_rows)
+    """Arrow batches without the empty ones; a worker's unused memory goes back when a task begins and when its input ends."""
+    release()
+    for b in batches:
+        if b.num_rows:
+            yield b
+    release()
 
 
 # ----------------------------------------------------------- membership filters

@@ -1,6 +1,9 @@
 """The pipeline's stages on a small table."""
 
 import random
+import subprocess
+import sys
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
@@ -57,3 +60,28 @@ def test_stages(spark, tmp_path):
     words = lambda s: s.agg(F.sum(F.size(F.split("text", " ")))).first()[0]
     assert abs(words(seen[3]) - words(seen[2].filter("text IS NOT NULL"))) < 200
     assert seen[4].count() == seen[3].count()
+
+
+HOLDS = r"""
+import re
+import corpus_pipeline
+import pyarrow as pa
+from foliospark.llm._common import text_batches
+
+batch = pa.record_batch({"x": [1]})  # this loads pandas
+held = lambda: int(re.search(r"Anonymous:\s+(\d+)", open("/proc/self/smaps_rollup").read())[1]) // 1024
+before = held()
+for _ in text_batches(iter([batch])):
+    many = [bytes(1000) for _ in range(200_000)]
+    last = many.pop()  # it keeps the heap from shrinking by itself
+    del many
+print(held() - before)
+"""
+
+
+def test_workers_hold_little():
+    """What a worker's task no longer uses goes back to the system when its input ends."""
+    root = str(Path(corpus_pipeline.__file__).parent)
+    done = subprocess.run([sys.executable, "-c", HOLDS], capture_output=True, text=True, cwd=root, timeout=120)
+    assert done.returncode == 0, done.stderr
+    assert int(done.stdout) < 50
