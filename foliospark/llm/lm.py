@@ -656,7 +656,8 @@ def score_slice(tokens: Tokens, model: Model) -> np.ndarray:
             cell = base[low:high] + mixed.astype(np.int32)
             known = charts[cell]
             refined[low:high] = p + known
-            own[name[i:j]] = mine + scale[i:j] * np.add.reduceat((now - p)[:, None] * part, first[i:j] - low)
+            # Sums of two floats at a time, as complex numbers.
+            own[name[i:j]] = mine + scale[i:j] * np.add.reduceat(((now - p)[:, None] * part).view(np.complex64), first[i:j] - low).view(np.float32)
             np.add.at(charts, cell, pace[low:high] * (now - known))
         refined *= np.float32(0.5)
         np.subtract(refined, 1, out=refined, where=y == 0)
