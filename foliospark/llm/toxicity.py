@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import text_batches, widened
+from ._common import release, text_batches, widened
 
 SAMPLE = 8192
 THRESHOLD = 0.7
@@ -159,15 +159,18 @@ def _terms(text: str) -> set[tuple[str, bool]]:
 
 def learn_lexicon(toxic: list[str], clean: list[str]) -> list[tuple[str, bool]]:
     """Greedy cover of the toxic texts by terms that are at least 40 times as frequent in them as in clean ones."""
-    sets = [_terms(t) for t in toxic]
-    support = Counter(x for s in sets for x in s)
+    # A text's terms are made again when they are needed: to hold those of all texts takes far more than the texts.
+    support = Counter()
+    for t in toxic:
+        support.update(_terms(t))
     least = max(3, len(toxic) // 200)
     kept = {x for x, n in support.items() if n >= least}
+    support = {x: support[x] for x in kept}
     against = Counter(x for t in clean for x in _terms(t) & kept)
     kept = {x for x in kept if support[x] / len(toxic) >= 40 * (against[x] + 0.1) / max(1, len(clean))}
     where: dict[tuple[str, bool], set[int]] = {x: set() for x in kept}
-    for i, s in enumerate(sets):
-        for x in s & kept:
+    for i, t in enumerate(toxic):
+        for x in _terms(t) & kept:
             where[x].add(i)
     chosen, left = [], set(range(len(toxic)))
     while where and len(chosen) < MOST_TERMS:
@@ -223,7 +226,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         for f in frames:
             texts += f.text.tolist()
             toxic += f.y.tolist()
-        yield pd.DataFrame({"model": [json.dumps(fit(texts, toxic))]})
+        model = json.dumps(fit(texts, toxic))
+        del texts, toxic
+        release()
+        yield pd.DataFrame({"model": [model]})
 
     found = rows.repartition(1).mapInPandas(run, "model string").collect()
     return json.loads(found[0][0]) if found else {"terms": [], "weights": None}

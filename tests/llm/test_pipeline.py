@@ -3,11 +3,13 @@
 import random
 import subprocess
 import sys
+import tracemalloc
 from pathlib import Path
 
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from foliospark.llm import toxicity
 from foliospark.llm._common import stage
 
 CLASHES = ["_score", "_row", "row", "_number", "spans", "_text", "_kinds", "size", "taken", "_slice", "key", "n", "component_id", "n_tokens"]
@@ -85,3 +87,18 @@ def test_workers_hold_little():
     done = subprocess.run([sys.executable, "-c", HOLDS], capture_output=True, text=True, cwd=root, timeout=120)
     assert done.returncode == 0, done.stderr
     assert int(done.stdout) < 50
+
+
+def test_lexicon_holds_little():
+    """The fit of the lexicon, one task's work, holds far less than all terms of the toxic texts (67 MB of these)."""
+    r = random.Random(5)
+    words = ["".join(r.choices("abcdefghij", k=9)) for _ in range(2000)]
+    toxic = [" ".join(r.choices(words, k=300)) + " canalla" * (i % 2) for i in range(300)]
+    tracemalloc.start()
+    try:
+        found = toxicity.learn_lexicon(toxic, [" ".join(r.choices(words, k=20)) for _ in range(300)])
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert ("canalla", False) in found
+    assert peak < 20e6
