@@ -154,6 +154,9 @@ class Code:
         self.known, self.rank = hashes[order], order.astype(np.int32)
         self.many = np.array([n for _, n in words], np.int64)[order]
         self.size = len(words)
+        # Where the hashes with the same first bits begin: about one word for each.
+        self.shift = U64(64 - max(1, self.size.bit_length()))
+        self.begin = np.searchsorted(self.known, np.arange(1 << (64 - int(self.shift)), dtype=U64) << self.shift).astype(np.int32)
         self.escape, self.none = self.size, self.size + 2
         found = np.flatnonzero(hashes == END_WORD)
         self.end = int(found[0]) if len(found) else self.size + 1
@@ -166,7 +169,13 @@ class Code:
         """(place in known, whether it is there) of each hash."""
         if not self.size:
             return np.zeros(len(hashes), np.int64), np.zeros(len(hashes), bool)
-        at = np.minimum(np.searchsorted(self.known, hashes), self.size - 1)
+        at = np.minimum(self.begin[hashes >> self.shift], self.size - 1).astype(np.int64)
+        rest = np.flatnonzero(self.known[at] < hashes)
+        while len(rest):
+            at[rest] += 1
+            rest = rest[at[rest] < self.size]
+            rest = rest[self.known[at[rest]] < hashes[rest]]
+        np.minimum(at, self.size - 1, out=at)
         return at, self.known[at] == hashes
 
     def cells(self, table: str, context: np.ndarray, node: np.ndarray) -> np.ndarray:
@@ -180,6 +189,25 @@ class Code:
 # ----------------------------------------------------------------------- tokens of a slice
 
 
+def ordered(key: np.ndarray, bits: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """The stable order of keys below 2**bits, and the keys in it.
+
+    Keys, or their high bits, are sorted with their places in the low bits: numbers are sorted much faster than places.
+    """
+    low = max(1, len(key).bit_length())
+    cut = U64(max(0, bits + low - 64))
+    both = ((key >> cut) << U64(low)) | np.arange(len(key), dtype=U64)
+    both.sort()
+    order = (both & U64((1 << low) - 1)).astype(np.int64)
+    if not cut:
+        return order, both >> U64(low)
+    found, both = key[order], both >> U64(low)
+    if ((both[1:] == both[:-1]) & (found[1:] != found[:-1])).any():
+        order = np.argsort(key, kind="stable")
+        found = key[order]
+    return order, found
+
+
 def _back(x: np.ndarray, at: np.ndarray, k: int, nothing) -> np.ndarray:
     """x of the token k before, nothing before a text's first."""
     out = np.full(len(x), nothing, x.dtype)
@@ -469,9 +497,9 @@ class Decisions:
             hit &= known
         # What followed when the two tokens before last stood in this text.
         two = mix(tokens.last(2) + tokens.row.astype(U64) * U64(0xA24BAED4963EE407))
-        order = np.argsort(two, kind="stable")
-        same = np.append(False, two[order][1:] == two[order][:-1])
-        past = np.full(len(two), -1)
+        order, two = ordered(two)
+        same = np.append(False, two[1:] == two[:-1])
+        past = np.full(len(order), -1)
         past[order[1:][same[1:]]] = order[:-1][same[1:]]
         seen = past >= 0
         again = seen & (tokens.hash[past] == tokens.hash)
@@ -627,18 +655,17 @@ def score_slice(tokens: Tokens, model: Model) -> np.ndarray:
         block -= block.min()
         key = tokens.row[token] * np.int32(GATES) + gate.astype(np.int32)
         run = block * np.int64(rows * GATES) + key
-        run = run.astype(np.uint32) if (int(block.max()) + 1) * rows * GATES < 1 << 32 else run
-        order = np.argsort(run)
-        run, x, y = run[order], _rows(inputs, order), value[order].astype(np.float32)
+        order, run = ordered(run.astype(U64), ((int(block.max()) + 1) * rows * GATES).bit_length())
+        x, y = _rows(inputs, order), value[order].astype(np.float32)
         first = np.flatnonzero(np.append(True, run[1:] != run[:-1]))
         ends = np.append(first, len(run))
         long = np.diff(ends)
-        name = (run[first] % np.uint32(rows * GATES)).astype(np.int32)
+        name = (run[first] % U64(rows * GATES)).astype(np.int32)
         which = np.repeat(np.arange(len(first), dtype=np.int32), long)
         base = (name * np.int32(STEPS))[which]
         scale = (np.float32(RATE) / np.sqrt(long.astype(np.float32)))[:, None]
         pace = np.minimum(np.float32(MAP_RATE), 1 / long.astype(np.float32))[which]  # all bits of a run move a place by 1 at most
-        start = np.searchsorted(run[first] // (rows * GATES), np.arange(int(run[-1]) // (rows * GATES) + 2))
+        start = np.searchsorted((run[first] // U64(rows * GATES)).astype(np.int64), np.arange(int(run[-1]) // (rows * GATES) + 2))
         refined = np.empty(len(order), np.float32)
         for i, j in zip(start.tolist(), start[1:].tolist(), strict=False):
             if i == j:

@@ -463,6 +463,35 @@ def test_language_model_pieces_of_a_long_text(spark, monkeypatch):
         assert lm.score_slice(tokens, model)[0] == pytest.approx(whole[i], rel=2e-3)
 
 
+def test_language_model_scores_do_not_depend_on_neighbours(spark):
+    """To the last bit: a text alone in a slice, and the same text among others."""
+    texts = [prose(s, 400, 90) for s in range(40)]
+    model = lm_model(docs(spark, texts[:10]))
+
+    def scores(some):
+        raw = [t.encode() for t in some]
+        ends = np.cumsum([0, *map(len, raw)])
+        return lm.score_slice(lm.Tokens(np.frombuffer(b"".join(raw), np.uint8), ends, model.code), model).tolist()
+
+    assert scores(texts) == [scores([t])[0] for t in texts]
+
+
+def test_stable_order_and_vocabulary_places():
+    r = np.random.default_rng(2)
+    wide = r.integers(0, 1 << 64, 50_000, np.uint64)
+    ties = r.integers(0, 9, 5000).astype(np.uint64) + np.uint64(5 << 40)  # the high bits alone don't tell these apart
+    for key, bits in ((wide, 64), (wide >> np.uint64(34), 30), (ties, 64), (wide[:1], 64), (wide[:0], 64)):
+        order, found = lm.ordered(key, bits)
+        assert np.array_equal(order, np.argsort(key, kind="stable")) and np.array_equal(found, key[order])
+    for some in (wide[:3000], ties[:9], wide[:1], wide[:0]):
+        words, have = sorted(set(some.tolist())), set(some.tolist())
+        code = lm.Code([(h, 2) for h in words], 1, [1] * (1 << 16), 100)
+        near = np.concatenate([wide, some, some + np.uint64(1), some - np.uint64(1), np.array([0, (1 << 64) - 1], np.uint64)])
+        at, hit = code.look(near)
+        assert hit.tolist() == [h in have for h in near.tolist()]
+        assert not words or np.array_equal(code.known[at[hit]], near[hit])
+
+
 # ------------------------------------------------------------- op 7
 
 
