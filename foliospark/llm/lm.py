@@ -63,8 +63,9 @@ CELLS = 1 << 14
 RUN_BLOCKS = 1 << 10
 FLUSH = 1 << 21
 LEVELS = 33
-WIDE, MOST_ROWS = 1 << 18, 1 << 10
+WIDE, MOST_ROWS = 1 << 17, 1 << 10
 CHUNK = 3 << 16
+PART, PAIRS = 3 << 12, 1 << 14  # units, and pairs of context and word, whose decisions are made at once: few enough for a core's cache
 BLOCKS = ((1 << 10, 32), (1 << 13, 128), (0, 512))  # up to so many tokens and pairs of a text, blocks of so many
 RATE = 0.02
 MAP_RATE = 0.05
@@ -135,6 +136,16 @@ class Tree:
         np.add.at(zeros, parent[child] - n, weight[child] * (1 - side[child]))
         self.share = stretch(zeros, ones)
 
+    def steps(self, symbols: np.ndarray):
+        """(number in symbols, depth, node, bit) of each step from the root to the symbols; whole words as places, which take() needs."""
+        lens = self.length.take(symbols)
+        which = np.repeat(np.arange(len(symbols)), lens)
+        depth = np.arange(len(which))
+        depth -= (np.cumsum(lens, dtype=np.int64) - lens).take(which)
+        spot = (symbols * np.int64(self.node.shape[1])).take(which)
+        spot += depth
+        return which, depth, self.node.ravel().take(spot), self.bit.ravel().take(spot)
+
 
 def stretch(zeros, ones) -> np.ndarray:
     return np.clip(np.log((ones + 0.4) / (zeros + 0.4)), -LIMIT, LIMIT).astype(np.float32)
@@ -179,11 +190,32 @@ class Code:
         return at, self.known[at] == hashes
 
     def cells(self, table: str, context: np.ndarray, node: np.ndarray) -> np.ndarray:
-        x = (context ^ (node.astype(U64) * U64(0xE7037ED1A0B428DB))) * U64(0x9FB21C651E98DF25)
-        x ^= x >> U64(32)
-        x *= U64(0xD6E8FEB86659FD93)
-        x >>= U64(64 - self.bits[table])
-        return x.view(np.int64) + self.first[table]
+        return self.places(table, spread(context), turned(node))
+
+    def places(self, table: str, context: np.ndarray, node: np.ndarray) -> np.ndarray:
+        """Cells by a context's 32 bits and a node's. A context's own nodes, up to 2**17 of them, stand in cells of their own."""
+        x = context ^ node
+        x >>= np.uint32(32 - self.bits[table])
+        x = x.astype(np.int64)
+        x += self.first[table]
+        return x
+
+
+def spread(context: np.ndarray) -> np.ndarray:
+    """32 bits of each context, reached by all of its bits."""
+    x = context.astype(U64)
+    x *= U64(0x9FB21C651E98DF25)
+    x ^= x >> U64(32)
+    x *= U64(0xD6E8FEB86659FD93)
+    x ^= x >> U64(29)
+    x *= U64(0x9E3779B97F4A7C15)
+    x >>= U64(32)
+    return x.astype(np.uint32)
+
+
+def turned(node: np.ndarray) -> np.ndarray:
+    """32 bits of each node: their high bits lie evenly spaced."""
+    return node.astype(np.uint32) * np.uint32(0x9E3779B1)
 
 
 # ----------------------------------------------------------------------- tokens of a slice
@@ -196,12 +228,15 @@ def ordered(key: np.ndarray, bits: int = 64) -> tuple[np.ndarray, np.ndarray]:
     """
     low = max(1, len(key).bit_length())
     cut = U64(max(0, bits + low - 64))
-    both = ((key >> cut) << U64(low)) | np.arange(len(key), dtype=U64)
+    both = key >> cut
+    both <<= U64(low)
+    both |= np.arange(len(key), dtype=U64)
     both.sort()
-    order = (both & U64((1 << low) - 1)).astype(np.int64)
+    order = (both & U64((1 << low) - 1)).view(np.int64)
+    both >>= U64(low)
     if not cut:
-        return order, both >> U64(low)
-    found, both = key[order], both >> U64(low)
+        return order, both
+    found = key.take(order)
     if ((both[1:] == both[:-1]) & (found[1:] != found[:-1])).any():
         order = np.argsort(key, kind="stable")
         found = key[order]
@@ -256,13 +291,9 @@ class Tokens:
 
     def word_bits(self, tokens: np.ndarray, last: np.ndarray, anchor: np.ndarray):
         """Of the words' codes: (number in tokens, depth, node, value, cells) of each bit."""
-        tree, ids = self.code.words, self.id[tokens]
-        lens = tree.length[ids]
-        which = np.repeat(np.arange(len(tokens), dtype=np.int32), lens)
-        depth = np.arange(len(which), dtype=np.int32) - (np.cumsum(lens, dtype=np.int32) - lens)[which]
-        spot = ids[which] * np.int32(tree.node.shape[1]) + depth
-        node, value = tree.node.ravel()[spot], tree.bit.ravel()[spot]
-        cells = [self.code.cells("word", last[tokens].astype(U64)[which], node), self.code.cells("anchor", anchor[tokens].astype(U64)[which], node)]
+        which, depth, node, value = self.code.words.steps(self.id.take(tokens))
+        turn = turned(node)
+        cells = [self.code.places(name, spread(context.take(tokens)).take(which), turn) for name, context in (("word", last), ("anchor", anchor))]
         return which, depth, node, value, cells
 
     def pairs(self) -> np.ndarray:
@@ -275,17 +306,12 @@ class Tokens:
         left = self.size[tokens] - 2 * place  # what stands behind the word is a terminator and a zero
         pair = (self._eight[at + 8] & U64(0xFFFF)).astype(np.int32)
         sym = np.where(left > 1, pair, np.where(left == 1, (pair & 255) | 0x2000, 0x20))
-        tree = self.code.bytes
-        lens = tree.length[sym]
-        which = np.repeat(np.arange(len(tokens), dtype=np.int32), lens)
-        depth = np.arange(len(which), dtype=np.int32) - (np.cumsum(lens, dtype=np.int32) - lens)[which]
-        spot = sym[which] * np.int32(tree.node.shape[1]) + depth
-        node, value = tree.node.ravel()[spot], tree.bit.ravel()[spot]
-        cells, past = [], self._eight[at]
+        which, depth, node, value = self.code.bytes.steps(sym)
+        cells, past, turn = [], self._eight[at], turned(node)
         for k in (1, 2, 3):
             have = np.minimum(place, k)
             seen = np.where(have > 0, past >> (U64(64) - U64(16) * np.maximum(have, 1).astype(U64)), U64(0))
-            cells.append(self.code.cells("bytes", mix(seen * U64(8) + have.astype(U64) + U64(k << 56))[which], node))
+            cells.append(self.code.places("bytes", spread(mix(seen * U64(8) + have.astype(U64) + U64(k << 56))).take(which), turn))
         return which, depth, node, value, cells
 
 
@@ -319,12 +345,15 @@ def _pieces(units: np.ndarray, size: int) -> Iterator[tuple[np.ndarray, np.ndarr
         low = high
 
 
+_PACKER, _UNPACKER = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()  # made once: blocks are many and small
+
+
 def _pack(x: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(x.tobytes())
+    return _PACKER.compress(x.tobytes())
 
 
 def _unpack(x: bytes, kind) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(x), kind)
+    return np.frombuffer(_UNPACKER.decompress(x), kind)
 
 
 def _pack_keys(keys: np.ndarray) -> bytes:
@@ -352,6 +381,21 @@ def count_tables(texts: DataFrame, code) -> DataFrame:
         table = np.zeros(2 * c.first[""], np.int32)
         one = np.int32(1)  # of the table's type: else numpy takes a slower path
         runs, held = [], 0
+        pairs: dict[str, list[np.ndarray]] = {"word": [], "anchor": []}
+
+        def add_words():
+            """Each pair of context and word that was met, once."""
+            for name, parts in pairs.items():
+                pair, n = np.unique(np.concatenate(parts), return_counts=True)
+                n = n.astype(np.int32)
+                parts.clear()
+                for low in range(0, len(pair), PAIRS):
+                    some = pair[low : low + PAIRS]
+                    which, _, node, bit = c.words.steps(some & 0xFFFFFFFF)
+                    x = c.places(name, spread(some >> 32).take(which), turned(node))
+                    x += x
+                    x += bit
+                    np.add.at(table, x, n[low : low + PAIRS].take(which))
 
         def out():
             keys, n = np.unique(np.concatenate(runs), return_counts=True)
@@ -365,22 +409,22 @@ def count_tables(texts: DataFrame, code) -> DataFrame:
                 tokens = Tokens(data, offsets, c)
                 last, anchor = tokens.before()
                 for name, context in (("word", last), ("anchor", anchor)):
-                    pair, n = np.unique(context.astype(np.int64) << 32 | tokens.id, return_counts=True)
-                    tree, n = c.words, n.astype(np.int32)
-                    for at, depth in _pieces(tree.length[pair & 0xFFFFFFFF], CHUNK):
-                        ids = pair[at] & 0xFFFFFFFF
-                        x = c.cells(name, (pair >> 32).astype(U64)[at], tree.node[ids, depth])
-                        np.add.at(table, 2 * x + tree.bit[ids, depth], n[at])
-                for at, place in _pieces(tokens.pairs(), CHUNK // 4):
+                    pairs[name].append(context.astype(np.int64) << 32 | tokens.id)
+                if sum(map(len, pairs["word"])) > PAIRS << 5:
+                    add_words()
+                for at, place in _pieces(tokens.pairs(), PART):
                     _, _, _, value, cells = tokens.pair_bits(at, place)
                     for x in cells:
-                        np.add.at(table, 2 * x + value, one)
+                        x += x
+                        x += value
+                        np.add.at(table, x, one)
                 runs.append(run_keys(tokens))
                 held += len(runs[-1])
                 if held > FLUSH:
                     yield from out()
                     runs, held = [], 0
         if runs:
+            add_words()
             yield from out()
         for block, part in enumerate(table.reshape(-1, 2 * CELLS)):
             if part.any():
@@ -458,10 +502,12 @@ class Model:
         self.weights, self.chart, self.left = weights, chart, None
 
     def predict(self, cells: np.ndarray, value: np.ndarray) -> np.ndarray:
-        """The stretched predictions of cells; while the model is fitted, their levels without the bit that is predicted."""
+        """What cells predict, in steps of LIMIT / 127; while the model is fitted, their levels without the bit that is predicted. Cells may be changed."""
         if self.left is None:
-            return self.table[cells].astype(np.float32) * np.float32(LIMIT / 127)
-        return self.left[2 * cells + value]
+            return self.table.take(cells)
+        cells += cells
+        cells += value
+        return self.left.take(cells)
 
 
 def blocks(number: np.ndarray) -> np.ndarray:
@@ -512,7 +558,10 @@ class Decisions:
         self.units = 1 + np.where(self.open, tokens.pairs(), 0)
 
     def kinds(self, token: np.ndarray, unit: np.ndarray):
-        """Of units, kind by kind: (number in units, gate, inputs but the constant, value) of each decision; inputs are levels while the model is fitted."""
+        """Of units, kind by kind: (numbers in units, number in those of each decision, gate, inputs but the constant, value).
+
+        Inputs are levels while the model is fitted; else those of one byte are in steps of LIMIT / 127.
+        """
         t, m = self.tokens, self.model
         own = (lambda x: x) if m.left is None else level
         whole = np.flatnonzero(unit == 0)
@@ -524,51 +573,64 @@ class Decisions:
         x = np.zeros((INPUTS - 1, len(at)), np.float32)
         x[0] = stretch((self.whole[at] - self.part[at]).astype(np.float32), self.part[at].astype(np.float32))
         x[1] = np.where(says == 1, 1, -1) * (says > 0) * (0.5 * self.state[at])
-        yield use, MATCH + 2 * says + (self.part[at] == self.whole[at]), own(x), self.hit[at]
+        yield use, np.arange(len(use)), MATCH + 2 * says + (self.part[at] == self.whole[at]), own(x), self.hit[at]
         # The text's own.
         use = whole[self.asked[lone]]
         at = token[use]
         x = np.zeros((INPUTS - 1, len(at)), np.float32)
         x[1] = 0.5 * self.state[at]
-        yield use, REPEAT + 2 * np.minimum(self.state[at] - 1, 5) + self.known[at], own(x), self.again[at]
+        yield use, np.arange(len(use)), REPEAT + 2 * np.minimum(self.state[at] - 1, 5) + self.known[at], own(x), self.again[at]
         # The code.
         use = whole[self.open[lone]]
         which, depth, node, value, cells = t.word_bits(token[use], self.last, self.anchor)
         share = m.code.words.share if m.left is None else m.share
-        fresh = (self.last[token[use]] >= m.code.escape).astype(np.int32)
-        yield use[which], WORD + 2 * np.minimum(depth, DEPTHS - 1) + fresh[which], [share[node], *(m.predict(c, value) for c in cells)], value
+        fresh = (self.last.take(token[use]) >= m.code.escape) + np.int64(WORD)
+        gate = np.minimum(depth, DEPTHS - 1, out=depth)
+        gate += gate
+        gate += fresh.take(which)
+        yield use, which, gate, [share.take(node), *(m.predict(c, value) for c in cells)], value
         use = np.flatnonzero(unit > 0)
         which, depth, node, value, cells = t.pair_bits(token[use], unit[use] - 1)
-        place = np.minimum(unit[use] - 1, PLACES - 1).astype(np.int32)
-        yield use[which], BYTE + 4 * np.minimum(depth, 3) + place[which], [m.predict(c, value) for c in cells], value
+        place = np.minimum(unit[use] - 1, PLACES - 1) + BYTE
+        gate = np.minimum(depth, 3, out=depth)
+        gate *= 4
+        gate += place.take(which)
+        yield use, which, gate, [m.predict(c, value) for c in cells], value
 
     def pieces(self):
-        """(token, gate, inputs, value, block) of the decisions of consecutive units; block: that of the unit in its text."""
+        """(run, inputs, value) of the decisions of consecutive units; run: (block of the unit in its text, row, gate) as one number, blocks counted from the piece's first."""
         t = self.tokens
         ends = np.cumsum(self.units)
         base = (ends - self.units)[t.first]  # the first unit of each text
         for token, unit in _pieces(self.units, CHUNK):
-            block = blocks(ends[token] - self.units[token] + unit - base[t.row[token]])
-            token = token.astype(np.int32)
-            out = list(self.kinds(token, unit))
-            which, gate, value = (np.concatenate([o[i] for o in out]) for i in (0, 1, 3))
-            x = np.ones((len(which), INPUTS), np.float32)
-            for i in range(INPUTS - 1):
-                np.concatenate([o[2][i] for o in out], out=x[:, i])
-            yield token[which], gate, x, value.astype(np.uint8), block[which]
+            row = t.row[token]
+            block = blocks(ends[token] - self.units[token] + unit - base[row])
+            key = ((block - block.min()) * np.int64(len(t.first)) + row) * GATES
+            out = [(key[at : at + PART].take(use).take(which), *more) for at in range(0, len(token), PART) for use, which, *more in self.kinds(token[at : at + PART], unit[at : at + PART])]
+            n = sum(len(o[0]) for o in out)
+            run, x, value, low = np.empty(n, np.int64), np.empty((n, INPUTS), np.float32), np.empty(n, np.uint8), 0
+            x[:, INPUTS - 1] = 1
+            for first, gate, inputs, values in out:
+                here = slice(low, low := low + len(first))
+                np.add(first, gate, out=run[here])
+                value[here] = values
+                for i, column in enumerate(inputs):
+                    np.multiply(column, np.float32(LIMIT / 127 if column.dtype == np.int8 else 1), out=x[here, i])
+            del out
+            yield run, x, value
 
     def add_to(self, tally: np.ndarray) -> int:
         """Counts gates, levels and values of all decisions in tally; returns how many there are."""
         many, one = 0, np.int32(1)
-        for token, unit in _pieces(self.units, CHUNK // 4):
-            for _, gate, levels, value in self.kinds(token, unit):
+        for token, unit in _pieces(self.units, PART):
+            for _, _, gate, levels, value in self.kinds(token, unit):
                 key = gate.astype(np.int32)
                 for x in levels:
                     key *= np.int32(LEVELS)
                     key += x
                 key += key
                 key += value
-                np.add.at(tally, key, one)
+                np.add.at(tally, key.astype(np.int64), one)
                 many += len(key)
         return many
 
@@ -638,7 +700,7 @@ def fit_mixer(inputs: np.ndarray, gate: np.ndarray, zeros: np.ndarray, ones: np.
 
 def _rows(x: np.ndarray, at: np.ndarray) -> np.ndarray:
     """x[at] of rows of INPUTS floats, which are as wide as one complex number and quicker to take as such."""
-    return x.view(np.complex128).ravel()[at].view(np.float32).reshape(-1, INPUTS)
+    return x.view(np.complex128).ravel().take(at).view(np.float32).reshape(-1, INPUTS)
 
 
 def score_slice(tokens: Tokens, model: Model) -> np.ndarray:
@@ -649,47 +711,59 @@ def score_slice(tokens: Tokens, model: Model) -> np.ndarray:
     rows = len(tokens.first)
     own, charts = np.tile(model.weights.astype(np.float32), (rows, 1)), np.tile(model.chart.astype(np.float32).ravel(), rows)
     total = np.zeros(rows)
-    for token, gate, inputs, value, block in Decisions(tokens, model).pieces():
-        if not len(token):
+    for run, x, value in Decisions(tokens, model).pieces():
+        if not len(run):
             continue
-        block -= block.min()
-        key = tokens.row[token] * np.int32(GATES) + gate.astype(np.int32)
-        run = block * np.int64(rows * GATES) + key
-        order, run = ordered(run.astype(U64), ((int(block.max()) + 1) * rows * GATES).bit_length())
-        x, y = _rows(inputs, order), value[order].astype(np.float32)
+        order, run = ordered(run.view(U64), int(run.max()).bit_length())
+        x, y = _rows(x, order), value.take(order).astype(np.float32)
         first = np.flatnonzero(np.append(True, run[1:] != run[:-1]))
         ends = np.append(first, len(run))
         long = np.diff(ends)
-        name = (run[first] % U64(rows * GATES)).astype(np.int32)
-        which = np.repeat(np.arange(len(first), dtype=np.int32), long)
-        base = (name * np.int32(STEPS))[which]
-        scale = (np.float32(RATE) / np.sqrt(long.astype(np.float32)))[:, None]
-        pace = np.minimum(np.float32(MAP_RATE), 1 / long.astype(np.float32))[which]  # all bits of a run move a place by 1 at most
-        start = np.searchsorted((run[first] // U64(rows * GATES)).astype(np.int64), np.arange(int(run[-1]) // (rows * GATES) + 2))
+        block, name = np.divmod(run[first].view(np.int64), rows * GATES)
+        which = np.repeat(np.arange(len(first)), long)
+        base = name * STEPS
+        scale = np.float32(RATE) / np.sqrt(long.astype(np.float32))
+        pace = np.minimum(np.float32(MAP_RATE), 1 / long.astype(np.float32))  # all bits of a run move a place by 1 at most
+        start = np.searchsorted(block, np.arange(int(block[-1]) + 2))
         refined = np.empty(len(order), np.float32)
         for i, j in zip(start.tolist(), start[1:].tolist(), strict=False):
             if i == j:
                 continue
             low, high = ends[i], ends[j]
-            mine, part, now = _rows(own, name[i:j]), x[low:high], y[low:high]
-            mixed = np.einsum("ij,ij->i", _rows(mine, which[low:high] - i), part)
-            np.clip(mixed, -LIMIT, LIMIT, out=mixed)
+            mine, part, now, here = _rows(own, name[i:j]), x[low:high], y[low:high], which[low:high] - i
+            each = _rows(mine, here)
+            each *= part
+            # Sums of two floats at a time, as complex numbers.
+            pairs = each.view(np.complex64)
+            both = pairs[:, 0] + pairs[:, 1]
+            mixed = both.real + both.imag
+            np.maximum(mixed, np.float32(-LIMIT), out=mixed)
+            np.minimum(mixed, np.float32(LIMIT), out=mixed)
             p = np.exp(-mixed)
             p += 1
             np.reciprocal(p, out=p)
             mixed += np.float32(LIMIT)
             mixed *= np.float32((STEPS - 1) / (2 * LIMIT))
             mixed += np.float32(0.5)
-            cell = base[low:high] + mixed.astype(np.int32)
-            known = charts[cell]
-            refined[low:high] = p + known
-            # Sums of two floats at a time, as complex numbers.
-            own[name[i:j]] = mine + scale[i:j] * np.add.reduceat(((now - p)[:, None] * part).view(np.complex64), first[i:j] - low).view(np.float32)
-            np.add.at(charts, cell, pace[low:high] * (now - known))
+            cell = mixed.astype(np.int64)
+            cell += base[i:j].take(here)
+            known = charts.take(cell)
+            np.add(p, known, out=refined[low:high])
+            np.subtract(now, p, out=p)
+            for k in range(INPUTS):
+                np.multiply(p, part[:, k], out=each[:, k])
+            step = mine.view(np.complex64)
+            for k in range(INPUTS // 2):
+                step[:, k] += scale[i:j] * np.add.reduceat(pairs[:, k], first[i:j] - low)
+            own.view(np.complex128)[name[i:j]] = mine.view(np.complex128)
+            np.subtract(now, known, out=known)
+            known *= pace[i:j].take(here)
+            np.add.at(charts, cell, known)
         refined *= np.float32(0.5)
-        np.subtract(refined, 1, out=refined, where=y == 0)
+        y -= 1
+        refined += y  # less 1 where the bit is 0
         logs = np.log(np.abs(refined, out=refined), out=refined)
-        total += np.bincount(name // GATES, np.add.reduceat(logs, first, dtype=np.float64), rows)
+        total += np.bincount(name // GATES, np.add.reduceat(logs.astype(np.float64), first), rows)
     return total / math.log(10)
 
 

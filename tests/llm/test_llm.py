@@ -476,6 +476,54 @@ def test_language_model_scores_do_not_depend_on_neighbours(spark):
     assert scores(texts) == [scores([t])[0] for t in texts]
 
 
+def test_language_model_cells_and_steps():
+    """A context's nodes share no cells, and steps are the tree's paths."""
+    code = lm.Code([(h, 2) for h in range(50)], 1, [1] * (1 << 16), (1 << 22) - 1)
+    nodes = np.arange(1 << 16, dtype=np.int32)
+    for context in (0, 7, 131_073):
+        for table in ("word", "anchor", "bytes"):
+            cells = code.cells(table, np.full(len(nodes), context, np.uint64), nodes)
+            assert len(np.unique(cells)) == len(nodes)
+            assert cells.min() >= code.first[table] and cells.max() < code.first[table] + (1 << code.bits[table])
+    symbols = np.array([3, 51, 3, 0], np.int32)
+    got = [x.tolist() for x in code.words.steps(symbols)]
+    want = [(i, d, code.words.node[s, d], code.words.bit[s, d]) for i, s in enumerate(symbols) for d in range(code.words.length[s])]
+    assert list(zip(*got, strict=True)) == want
+
+
+def test_language_model_counts_a_pair_of_many_slices_once(monkeypatch):
+    """What recurs in a task's slices is followed through the tree once, and counted as often as it occurs."""
+    import pyarrow as pa
+
+    from foliospark.llm._common import Words
+
+    texts = [*(prose(s % 3, 40, 20) for s in range(30)), "", "uno dos uno"]
+    raw = "".join(texts).encode()
+    words = Words(np.frombuffer(raw, np.uint8), np.cumsum([0, *(len(t.encode()) for t in texts)]))
+    met = collections.Counter([*words.hashes(fold=True).tolist(), *[int(lm.END_WORD)] * len(texts)])
+    code = lm.Code([(h, n) for h, n in met.most_common() if n > 1], 1, [1] * (1 << 16), met.total())
+    pairs, bits, steps = collections.Counter(), 0, lm.Tree.steps
+    for t in texts:
+        for x in lm_decisions(t, code):
+            pairs[x["last"], x["id"]] += 1
+            bits += len(x["bits"])
+    asked = []
+    monkeypatch.setattr(lm.Tree, "steps", lambda tree, symbols: (asked.append(len(symbols)) if tree is code.words else None, steps(tree, symbols))[1])
+    monkeypatch.setattr(lm._slices, "__defaults__", (300,))
+
+    class Local:
+        def mapInArrow(self, run, _):
+            return list(run(iter([pa.record_batch([pa.array(texts)], names=["text"])])))
+
+    table = np.zeros(2 * code.first[""], np.int32)
+    for b in lm.count_tables(Local(), type("Shared", (), {"value": code})):
+        for kind, block, keys in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+            if kind == 0:
+                table[2 * lm.CELLS * block : 2 * lm.CELLS * (block + 1)] = lm._unpack(keys, np.int32)
+    assert table[: 2 * code.first["anchor"]].sum() == bits
+    assert len(pairs) <= sum(asked) <= 2 * len(pairs) < pairs.total()
+
+
 def test_stable_order_and_vocabulary_places():
     r = np.random.default_rng(2)
     wide = r.integers(0, 1 << 64, 50_000, np.uint64)
