@@ -386,6 +386,8 @@ def count_tables(texts: DataFrame, code) -> DataFrame:
         def add_words():
             """Each pair of context and word that was met, once."""
             for name, parts in pairs.items():
+                if not parts:  # they went in with the last slice
+                    continue
                 pair, n = np.unique(np.concatenate(parts), return_counts=True)
                 n = n.astype(np.int32)
                 parts.clear()
@@ -423,8 +425,8 @@ def count_tables(texts: DataFrame, code) -> DataFrame:
                 if held > FLUSH:
                     yield from out()
                     runs, held = [], 0
+        add_words()
         if runs:
-            add_words()
             yield from out()
         for block, part in enumerate(table.reshape(-1, 2 * CELLS)):
             if part.any():

@@ -524,6 +524,33 @@ def test_language_model_counts_a_pair_of_many_slices_once(monkeypatch):
     assert len(pairs) <= sum(asked) <= 2 * len(pairs) < pairs.total()
 
 
+@pytest.mark.parametrize("limits", [{"PAIRS": 1}, {"FLUSH": 0}])
+def test_language_model_counts_what_its_last_slice_sends(monkeypatch, limits):
+    """Pairs or run contexts that go out with a task's last slice leave the others to be counted, and none where none is left."""
+    import pyarrow as pa
+
+    texts = [prose(s % 3, 40, 20) for s in range(30)]
+    code = lm.Code([(h, 2) for h in range(50)], 1, [1] * (1 << 16), 1000)
+    monkeypatch.setattr(lm._slices, "__defaults__", (300,))
+
+    class Local:
+        def mapInArrow(self, run, _):
+            return list(run(iter([pa.record_batch([pa.array(texts)], names=["text"])])))
+
+    def counted():
+        table = np.zeros(2 * code.first[""], np.int32)
+        for b in lm.count_tables(Local(), type("Shared", (), {"value": code})):
+            for kind, block, keys in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                if kind == 0:
+                    table[2 * lm.CELLS * block : 2 * lm.CELLS * (block + 1)] = lm._unpack(keys, np.int32)
+        return table
+
+    whole = counted()
+    for name, value in limits.items():
+        monkeypatch.setattr(lm, name, value)
+    assert np.array_equal(counted(), whole)
+
+
 def test_stable_order_and_vocabulary_places():
     r = np.random.default_rng(2)
     wide = r.integers(0, 1 << 64, 50_000, np.uint64)
