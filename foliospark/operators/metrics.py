@@ -42,16 +42,22 @@ def hallucination_rate(answers: DataFrame, answer_col: str = "answer") -> DataFr
     return answers.agg(F.coalesce(F.avg((~admits(F.col(answer_col))).cast("double")), F.lit(0.0)).alias("tasa_alucinacion"))
 
 
-def gram_counts(pairs: DataFrame, n_max: int = N_MAX) -> DataFrame:
-    """(example_id, n, gram, p, r): how often each n-gram of 1 to n_max words stands in prediction and reference."""
+def _sided(words: DataFrame, sides: list[tuple[str, int, int]], n_max: int) -> DataFrame:
+    """(example_id, n, gram, p, r): how often each n-gram of 1 to n_max words stands in each side of an example.
+
+    words is dealt out by example, so a gram's counts meet where the example lies: grams, many times larger than
+    the texts, cross no shuffle.
+    """
+    grams = F.array(*(F.struct(F.lit(n).alias("n"), F.lit(p).alias("p"), F.lit(r).alias("r"), ngrams(F.col(c), n).alias("g")) for c, p, r in sides for n in range(1, n_max + 1)))
+    each = words.select("example_id", F.explode(grams).alias("x")).select("example_id", "x.n", "x.p", "x.r", F.explode("x.g").alias("gram"))
+    return each.groupBy("example_id", "n", "gram").agg(F.sum("p").alias("p"), F.sum("r").alias("r"))
 
-    def side(name: str, p: int, r: int) -> DataFrame:
-        words = pairs.select("example_id", tokens(F.coalesce(name, F.lit(""))).alias("w"))
-        grams = F.array(*(F.struct(F.lit(n).alias("n"), ngrams(F.col("w"), n).alias("g")) for n in range(1, n_max + 1)))
-        each = words.select("example_id", F.explode(grams).alias("x")).select("example_id", "x.n", F.explode("x.g").alias("gram"))
-        return each.select("example_id", "n", "gram", F.lit(p).alias("p"), F.lit(r).alias("r"))
 
-    return side("prediction", 1, 0).unionByName(side("reference", 0, 1)).groupBy("example_id", "n", "gram").agg(F.sum("p").alias("p"), F.sum("r").alias("r"))
+def gram_counts(pairs: DataFrame, n_max: int = N_MAX, sides: tuple[str, ...] = ("prediction", "reference")) -> DataFrame:
+    """(example_id, n, gram, p, r): how often each n-gram of 1 to n_max words stands in prediction and reference."""
+    dealt = pairs.select("example_id", "prediction", "reference").repartition("example_id")
+    words = dealt.select("example_id", *(tokens(F.coalesce(c, F.lit(""))).alias(c) for c in sides))
+    return _sided(words, [(c, int(c == "prediction"), int(c == "reference")) for c in sides], n_max)
 
 
 def cider(pairs: DataFrame, n_max: int = N_MAX) -> DataFrame:
@@ -62,7 +68,7 @@ def cider(pairs: DataFrame, n_max: int = N_MAX) -> DataFrame:
     """
     counts = gram_counts(pairs, n_max)
     total = pairs.agg(F.count("*").alias("total"))
-    df = counts.filter("r > 0").groupBy("n", "gram").agg(F.count("*").alias("df"))
+    df = gram_counts(pairs, n_max, ("reference",)).groupBy("n", "gram").agg(F.count("*").alias("df"))
     weighted = counts.join(df, ["n", "gram"], "left").join(F.broadcast(total)).withColumn("idf", F.ln((F.col("total") + 1) / (F.coalesce("df", F.lit(0)) + 1)) + 1)
     a, b = F.col("p") * F.col("idf"), F.col("r") * F.col("idf")
     cos = weighted.groupBy("example_id", "n").agg(F.sum(a * b).alias("ab"), F.sum(a * a).alias("aa"), F.sum(b * b).alias("bb"))
@@ -126,12 +132,9 @@ def bleu_tokens(text: Column) -> Column:
 
 def bleu(pairs: DataFrame) -> DataFrame:
     """(bleu): corpus BLEU, 0 to 100: clipped n-gram matches over all pairs, exponential smoothing of zero counts, brevity penalty."""
-    t = pairs.select("example_id", bleu_tokens(F.col("prediction")).alias("p"), bleu_tokens(F.col("reference")).alias("r"))
-    sides = []
-    for name, p, r in (("p", 1, 0), ("r", 0, 1)):
-        grams = F.array(*(F.struct(F.lit(n).alias("n"), ngrams(F.col(name), n).alias("g")) for n in range(1, N_MAX + 1)))
-        sides.append(t.select("example_id", F.explode(grams).alias("x")).select("example_id", "x.n", F.explode("x.g").alias("gram"), F.lit(p).alias("p"), F.lit(r).alias("r")))
-    counts = sides[0].unionByName(sides[1]).groupBy("example_id", "n", "gram").agg(F.sum("p").alias("p"), F.sum("r").alias("r"))
+    dealt = pairs.select("example_id", "prediction", "reference").repartition("example_id")
+    words = dealt.select("example_id", bleu_tokens(F.col("prediction")).alias("p"), bleu_tokens(F.col("reference")).alias("r"))
+    counts = _sided(words, [("p", 1, 0), ("r", 0, 1)], N_MAX)
     agg = counts.groupBy().agg(*(f(n) for n in range(1, N_MAX + 1) for f in (lambda n: F.sum(F.when(F.col("n") == n, F.least("p", "r")).otherwise(0)).alias(f"m{n}"), lambda n: F.sum(F.when(F.col("n") == n, F.col("p")).otherwise(0)).alias(f"t{n}"))), F.sum(F.when(F.col("n") == 1, F.col("r")).otherwise(0)).alias("ref"))
     logs, halvings = F.lit(0.0), F.lit(0)
     for n in range(1, N_MAX + 1):
