@@ -60,14 +60,16 @@ def split_hash(df: DataFrame, key: str, test: float = 0.30, seed: int = 42) -> D
     """df with split: int(n * test) rows, the least by seeded hash of key, are test.
 
     Only the hash ranges around the cut are told apart row by row: counts of hash buckets
-    give the bucket in which the cut falls, so no task ranks all rows.
+    give the bucket in which the cut falls, so no task ranks all rows. Null keys come last, as a
+    bucket of their own: a bucket that may be null would have the join filter one of df's two
+    readings, so that an exchange that both could share runs twice.
     """
     digest = F.md5(F.concat(F.lit(str(seed)), F.lit(":"), F.col(key)))
-    marked = df.withColumns({"_h": digest, "_b": F.conv(F.substring(digest, 1, 4), 16, 10).cast("int")})
+    marked = df.withColumns({"_h": digest, "_b": F.coalesce(F.conv(F.substring(digest, 1, 4), 16, 10).cast("int"), F.lit(1 << 16))})
     counts = marked.groupBy("_b").agg(F.count("*").alias("_n"))
     every = Window.partitionBy()
     upto = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    # 65,536 buckets at most.
+    # 65,537 buckets at most.
     before = counts.select("_b", F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_before"), F.floor(F.sum("_n").over(every) * F.lit(test)).alias("_test"))
     inner = Window.partitionBy("_b").orderBy("_h", key)
     placed = marked.join(F.broadcast(before), "_b").withColumn("_rank", F.row_number().over(inner) + F.col("_before"))
