@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vocab as v
-from ..functions.text import BLANK, either, let, lines, rstrip, rx, squeeze, strip
+from ..functions.text import BLANK, SPACES, either, either_of, let, lines, rstrip, rx, squeeze, strip
 
 REPEAT_LENGTH = 25
 #: Every heading begins with one of these, so one test spares most lines the four patterns.
@@ -14,36 +14,50 @@ HEADING_START = r"^(CONS|R\s*E\s*S|ACUE|DECR|DISP|ORDE|CERT|HACE|EN\s|CAP|T[IÍ]
 
 
 def is_table(line: Column) -> Column:
-    return line.rlike(rf"(?U)^{BLANK}*\|")
+    return F.ltrim(line, F.lit(SPACES)).startswith("|")
 
 
 def strip_decoration(line: Column) -> Column:
     """Plain text of a Markdown line."""
-    s = F.regexp_replace(strip(line), "<!--.*?-->", "")
-    s = F.regexp_replace(s, rf"(?U)^#{{1,6}}{BLANK}*", "")
-    s = F.regexp_replace(s, "</?[a-zA-Z][^>]*>", "")
-    s = F.regexp_replace(s, "[*`]+", "")
-    # Most lines hold no mark at all; one test spares them the rest.
-    return squeeze(F.when(line.rlike(r"[<#*`_\\]"), F.regexp_replace(s, r"_+|\\", " ")).otherwise(line))
+    return let(strip(line), _plain)
+
+
+def _plain(s: Column) -> Column:
+    """strip_decoration() of a line without blanks at its ends."""
+    has = lambda x, c: F.contains(x, F.lit(c))
+    # Most lines hold few marks or none; a test for a character spares them the patterns.
+    tagged = lambda x: F.when(has(x, "<"), F.regexp_replace(x, "</?[a-zA-Z][^>]*>", "")).otherwise(x)
+    headed = lambda x: F.when(x.startswith("#"), F.regexp_replace(x, rf"^#{{1,6}}{BLANK}*", "")).otherwise(x)
+    starred = lambda x: F.replace(F.replace(x, F.lit("*"), F.lit("")), F.lit("`"), F.lit(""))
+    ruled = lambda x: F.when(has(x, "_") | has(x, "\\"), F.regexp_replace(x, r"_+|\\", " ")).otherwise(x)
+    uncommented = F.when(has(s, "<"), F.regexp_replace(s, "<!--.*?-->", "")).otherwise(s)
+    out = let(let(uncommented, headed), tagged)
+    return squeeze(let(starred(out), ruled))
 
 
 def is_noise(s: Column) -> Column:
     """Page marks, lone dates, banners and footers."""
-    return either(s, [rx(v.PAGE_NOISE), rx(v.DATE_LINE, fold=False), rx(v.BANNER), rx(v.FOOTER)])
+    # What the patterns begin with, or hold, tells most lines apart; letters with other forms under case folding (i, k, s) aren't asked for.
+    first = F.substring(s, 1, 1)
+    begins = first.isin(list("PpUuRrAaDd(")) & either(s, [rx(v.PAGE_NOISE), rx(v.DATE_LINE, fold=False), rx(v.BANNER)])
+    hint = lambda low: either_of(low, ["@", "metro", "vereda", "conmutador"])
+    return begins | (let(F.lower(s), hint) & s.rlike(rx(v.FOOTER)))
 
 
 def classify(md: Column) -> Column:
     """array<struct<pos, out, key, s>>: the lines that stay; out is set for lines that pass as they are, key for
     those that stay only at their first place."""
-    blank = lambda raw: ~raw.rlike(rf"(?U)[^\s\x1c-\x1f]")
 
     def line(raw: Column, i: Column) -> Column:
-        table = is_table(raw)
-        s = F.when(table | blank(raw), F.lit("")).otherwise(strip_decoration(raw))
-        return F.struct(i.alias("pos"), raw.alias("raw"), table.alias("table"), s.alias("s"))
+        return let(strip(raw), lambda t: parts(raw, t, i))
+
+    def parts(raw: Column, t: Column, i: Column) -> Column:
+        table = t.startswith("|")
+        s = F.when(table, F.lit("")).otherwise(_plain(t))
+        return F.struct(i.alias("pos"), raw.alias("raw"), table.alias("table"), t.startswith("---").alias("ruled"), s.alias("s"))
 
     first = F.transform(lines(md), line)
-    kept = F.filter(first, lambda x: x["table"] | ~(strip(x["raw"]).rlike(v.RULE_LINE) | is_noise(x["s"])))
+    kept = F.filter(first, lambda x: x["table"] | ~((x["ruled"] & strip(x["raw"]).rlike(v.RULE_LINE)) | is_noise(x["s"])))
     key = lambda x: F.when(~x["table"] & (F.length(x["s"]) >= REPEAT_LENGTH), F.lower(x["s"]))
     out = lambda x: F.when(x["table"], rstrip(x["raw"])).when(x["s"] == "", F.lit(""))
     return F.transform(kept, lambda x: F.struct(x["pos"].alias("pos"), out(x).alias("out"), key(x).alias("key"), x["s"].alias("s")))
@@ -51,10 +65,10 @@ def classify(md: Column) -> Column:
 
 def first_of_repeats(kept: Column) -> Column:
     """Lines with a key only at its first place: after a sort by key and place, the first of each run."""
-    sorted_ = F.array_sort(F.transform(F.filter(kept, lambda x: x["key"].isNotNull()), lambda x: F.struct(x["key"].alias("key"), x["pos"].alias("pos"), x["out"].alias("out"), x["s"].alias("s"))))
+    sorted_ = F.sort_array(F.transform(F.filter(kept, lambda x: x["key"].isNotNull()), lambda x: F.struct(x["key"].alias("key"), x["pos"].alias("pos"), x["out"].alias("out"), x["s"].alias("s"))))
     firsts = let(sorted_, lambda keyed: F.filter(keyed, lambda x, i: (i == 0) | (x["key"] != F.get(keyed, i - 1)["key"])))
     by_pos = lambda a: F.transform(a, lambda x: F.struct(x["pos"].alias("pos"), x["out"].alias("out"), x["s"].alias("s")))
-    return F.array_sort(F.concat(by_pos(F.filter(kept, lambda x: x["key"].isNull())), by_pos(firsts)))
+    return F.sort_array(F.concat(by_pos(F.filter(kept, lambda x: x["key"].isNull())), by_pos(firsts)))
 
 
 def promote(s: Column) -> Column:
@@ -62,19 +76,19 @@ def promote(s: Column) -> Column:
     group = lambda p, i: F.regexp_extract(s, rx(p), i)
     rest = lambda p: strip(group(p, 3))
     headed = lambda label, p: F.filter(F.array(F.lit(""), label, rest(p)), lambda x, i: (i < 2) | (x != ""))
-    section = F.array(F.lit(""), F.concat(F.lit("## "), F.upper(F.regexp_replace(group(v.SECTION, 1), f"(?U){BLANK}+", ""))), F.lit(""))
+    section = F.array(F.lit(""), F.concat(F.lit("## "), F.upper(F.regexp_replace(group(v.SECTION, 1), f"{BLANK}+", ""))), F.lit(""))
     after = rest(v.CHAPTER)
     chapter = F.array(F.lit(""), F.concat(F.lit("## "), F.upper(group(v.CHAPTER, 1)), F.lit(" "), F.upper(group(v.CHAPTER, 2)), F.when(after != "", F.concat(F.lit(" — "), after)).otherwise("")))
     article = headed(F.concat(F.lit("### ARTÍCULO "), F.upper(group(v.ARTICLE, 2))), v.ARTICLE)
     ordinal = F.upper(strip(group(v.PARAGRAPH, 2)))
     paragraph = headed(F.concat(F.lit("#### PARÁGRAFO"), F.when(ordinal != "", F.concat(F.lit(" "), ordinal)).otherwise("")), v.PARAGRAPH)
-    plain = ~s.rlike(rx(HEADING_START))
+    plain = ~F.substring(s, 1, 1).isin(list("CcRrAaDdOoHhEeTtPp")) | ~s.rlike(rx(HEADING_START))
     return F.when(plain, F.array(s)).when(s.rlike(rx(v.SECTION)), section).when(s.rlike(rx(v.CHAPTER)), chapter).when(s.rlike(rx(v.ARTICLE)), article).when(s.rlike(rx(v.PARAGRAPH)), paragraph).otherwise(F.array(s))
 
 
 def assemble(kept: Column) -> Column:
     every = F.flatten(F.transform(kept, lambda x: F.when(x["out"].isNotNull(), F.array(x["out"])).otherwise(promote(x["s"]))))
-    return strip(F.regexp_replace(F.array_join(every, "\n"), "\n{3,}", "\n\n"))
+    return strip(let(F.array_join(every, "\n"), lambda x: F.when(F.contains(x, F.lit("\n\n\n")), F.regexp_replace(x, "\n{3,}", "\n\n")).otherwise(x)))
 
 
 def normalize(df: DataFrame, raw_col: str = "raw_md", out_col: str = "body") -> DataFrame:

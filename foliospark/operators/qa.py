@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vocab as v
-from ..functions.text import or_else, rx, strip
+from ..functions.text import let, or_else, rx, strip
 from .structure import meta_field
 
 MAX_PAIRS = 10
@@ -32,9 +32,8 @@ def references(df: DataFrame) -> DataFrame:
 
 def valid_number(raw: Column) -> Column:
     """An article number if it is one (digits, roman letters, an ordinal), else empty (Q8)."""
-    n = strip(raw)
-    roman = n.rlike(rx("^[IVXLCDM]+$")) & (F.length(n) <= 5)
-    return F.when(n.rlike(r"(?U)^\d{1,3}\z"), n).when(roman, F.upper(n)).when(F.lower(n).isin(v.ORDINAL_WORDS), F.lower(n)).otherwise("")
+    roman = lambda n: n.rlike(rx("^[IVXLCDM]+$")) & (F.length(n) <= 5)
+    return let(strip(raw), lambda n: F.when(n.rlike(r"(?U)^\d{1,3}\z"), n).when(roman(n), F.upper(n)).when(F.lower(n).isin(v.ORDINAL_WORDS), F.lower(n)).otherwise(""))
 
 
 def number_articles(articles: Column, room: Column) -> Column:
@@ -47,11 +46,13 @@ def number_articles(articles: Column, room: Column) -> Column:
 
     def step(acc: Column, a: Column) -> Column:
         seen = lambda n: F.exists(acc["out"], lambda x: x["num"] == n)
-        own, idx = valid_number(a["num"]), acc["idx"] + 1
+        idx = acc["idx"] + 1
         lead = F.regexp_extract(a["content"], r"(?U)^\s*(\d{1,3})[.\)]", 1)
-        num = F.when((own != "") & ~seen(own), own).when((lead != "") & ~seen(lead), lead).otherwise(idx.cast("string"))
-        grown = F.concat(acc["out"], F.array(F.struct(num.alias("num"), a["content"].alias("content"))))
-        return F.struct(idx.alias("idx"), F.when((F.size(acc["out"]) >= room) | seen(num), acc["out"]).otherwise(grown).alias("out"))
+        second = let(lead, lambda n: F.when((n != "") & ~seen(n), n).otherwise(idx.cast("string")))
+        num = let(valid_number(a["num"]), lambda n: F.when((n != "") & ~seen(n), n).otherwise(second))
+        grown = lambda n: F.concat(acc["out"], F.array(F.struct(n.alias("num"), a["content"].alias("content"))))
+        out = let(num, lambda n: F.when(seen(n), acc["out"]).otherwise(grown(n)))
+        return F.when(F.size(acc["out"]) >= room, acc).otherwise(F.struct(idx.alias("idx"), out.alias("out")))
 
     return F.aggregate(articles, start, step, lambda acc: acc["out"])
 
@@ -79,8 +80,8 @@ def heuristic_pairs(df: DataFrame, max_pairs: int = MAX_PAIRS) -> DataFrame:
     orders = F.when(~described, F.array(pair(cat("¿Qué dispone ", "$el", " ", "$cita", "$suffix", "?"), cat("$al", " ", "$cita", "$entity", " dispone: ", head(text))))).otherwise(none)
     grounds = F.when(F.col("considerando") != "", F.array(pair(cat("¿Cuál es el fundamento ", "$del_", " ", "$cita", "$suffix", "?"), cat("$al", " ", "$cita", "$entity", " considera: ", head(F.col("considerando")))))).otherwise(none)
     fallback = F.when(~any_article & (text != ""), F.concat(orders, grounds)).otherwise(none)
-    force = strip(F.regexp_extract("body", rx(v.IN_FORCE), 1))
-    in_force = F.when(F.col("body").rlike(rx(v.IN_FORCE)), F.array(pair(cat("¿Desde cuándo rige ", "$el", " ", "$cita", "$suffix", "?"), cat("$al", " ", "$cita", "$entity", " ", force, ".")))).otherwise(none)
+    since = lambda found: F.array(pair(cat("¿Desde cuándo rige ", "$el", " ", "$cita", "$suffix", "?"), cat("$al", " ", "$cita", "$entity", " ", strip(found), ".")))
+    in_force = let(F.regexp_extract("body", rx(v.IN_FORCE), 1), lambda found: F.when(found != "", since(found)).otherwise(none))
     # Effective dates come last, so the cut leaves them out where the pairs are full already.
     every = F.slice(F.concat(general, by_article, fallback, in_force), 1, max_pairs)
     return staged.withColumn("pairs", F.when(F.col("skipped"), none).otherwise(every)).drop("_numbered")
@@ -102,13 +103,27 @@ def explode_pairs(df: DataFrame, *keys: str) -> DataFrame:
     return df.select(*keys, F.posexplode_outer("pairs").alias("pair_idx", "p")).filter("pair_idx IS NOT NULL").select(*keys, "pair_idx", "p.question", "p.answer", F.col("p.source").alias("source"))
 
 
+def alpaca_columns() -> list[Column]:
+    return [F.col("question").alias("instruction"), F.lit("").alias("input"), F.col("answer").alias("output")]
+
+
+def conversations() -> Column:
+    turn = lambda who, c: F.struct(F.lit(who).alias("from"), F.col(c).alias("value"))
+    return F.array(turn("human", "question"), turn("gpt", "answer")).alias("conversations")
+
+
 def to_alpaca(qa: DataFrame) -> DataFrame:
-    return qa.select(F.col("question").alias("instruction"), F.lit("").alias("input"), F.col("answer").alias("output"))
+    return qa.select(*alpaca_columns())
 
 
 def to_sharegpt(qa: DataFrame) -> DataFrame:
-    turn = lambda who, c: F.struct(F.lit(who).alias("from"), F.col(c).alias("value"))
-    return qa.select(F.array(turn("human", "question"), turn("gpt", "answer")).alias("conversations"))
+    return qa.select(conversations())
+
+
+def records(qa: DataFrame) -> DataFrame:
+    """(format, record): each pair as JSON in both formats; pairs are made once for the two."""
+    one = lambda fmt, *c: F.struct(F.lit(fmt).alias("format"), F.to_json(F.struct(*c)).alias("record"))
+    return qa.select(F.explode(F.array(one("alpaca", *alpaca_columns()), one("sharegpt", conversations()))).alias("x")).select("x.format", "x.record")
 
 
 def formatted(qa: DataFrame, fmt: str = "alpaca") -> DataFrame:

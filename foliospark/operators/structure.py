@@ -38,15 +38,20 @@ def clean_number(raw: Column) -> Column:
 def classify_lines(body: Column) -> Column:
     """array<struct<kind, name, text>>: article, section or content; titles are left out, paragraph headings are content."""
 
-    def one(raw: Column) -> Column:
-        s = rstrip(raw)
-        number = strip(F.regexp_extract(s, rx(v.HEAD_PARAGRAPH), 1))
-        fold = s.rlike(rx(v.HEAD_PARAGRAPH))
-        kind = F.when(s.startswith("# "), "title").when(s.rlike(rx(v.HEAD_ARTICLE)), "article").when(fold, "content").when(s.rlike(rx(v.HEAD_SECTION, fold=False)), "section").otherwise("content")
-        name = F.when(kind == "article", clean_number(F.regexp_extract(s, rx(v.HEAD_ARTICLE), 1))).when(kind == "section", F.upper(strip(F.regexp_extract(s, rx(v.HEAD_SECTION, fold=False), 1))))
-        text = F.when(fold, F.concat(F.lit("Parágrafo"), F.when(number != "", F.concat(F.lit(" "), number)).otherwise(""), F.lit(":"))).otherwise(s)
-        return F.struct(kind.alias("kind"), name.alias("name"), text.alias("text"))
+    content = lambda text: F.struct(F.lit("content").alias("kind"), F.lit(None).cast("string").alias("name"), text.alias("text"))
+    named = lambda kind, name, s: F.struct(F.lit(kind).alias("kind"), name.alias("name"), s.alias("text"))
 
+    def heading(s: Column) -> Column:
+        number = let(strip(F.regexp_extract(s, rx(v.HEAD_PARAGRAPH), 1)), lambda n: F.when(n != "", F.concat(F.lit(" "), n)).otherwise(""))
+        fold = s.rlike(rx(v.HEAD_PARAGRAPH))
+        text = F.concat(F.lit("Parágrafo"), number, F.lit(":"))
+        article = named("article", clean_number(F.regexp_extract(s, rx(v.HEAD_ARTICLE), 1)), s)
+        section = named("section", F.upper(strip(F.regexp_extract(s, rx(v.HEAD_SECTION, fold=False), 1))), s)
+        title = named("title", F.lit(None).cast("string"), s)
+        return F.when(s.startswith("# "), title).when(s.rlike(rx(v.HEAD_ARTICLE)), article).when(fold, content(text)).when(s.rlike(rx(v.HEAD_SECTION, fold=False)), section).otherwise(content(s))
+
+    # Only what begins with a mark can be a heading; most lines don't.
+    one = lambda raw: let(rstrip(raw), lambda s: F.when(s.startswith("#"), heading(s)).otherwise(content(s)))
     return F.filter(F.transform(lines(body), one), lambda x: x["kind"] != "title")
 
 

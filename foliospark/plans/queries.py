@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import lines, ngrams, tokens
+from ..functions.text import let, lines, ngrams, tokens
 from ..operators import chat, dataset, metrics, normalize, paths, qa, routing, structure
 from ..sources import extraction
 from .adapters import DOC_TYPES, embedding_pairs, eval_pairs, legal_docs, scores, table
@@ -116,8 +116,10 @@ def line_frequency(s, d):
 
 
 def noise_drop(s, d):
-    each = legal_docs(s, d).select("doc_id", F.posexplode_outer(lines(F.col("raw_md"))).alias("pos", "raw")).select("doc_id", "pos", normalize.strip_decoration(F.col("raw")).alias("s"))
-    return each.filter(normalize.is_noise(F.col("s")))
+    # Told apart in the document's array: the optimizer would repeat a line's text in each pattern of a filter.
+    marked = lambda raw, i: let(normalize.strip_decoration(raw), lambda x: F.struct(i.alias("pos"), x.alias("s"), normalize.is_noise(x).alias("noise")))
+    noise = F.filter(F.transform(lines(F.col("raw_md")), marked), lambda x: x["noise"])
+    return legal_docs(s, d).select("doc_id", F.explode_outer(noise).alias("x")).filter("x IS NOT NULL").select("doc_id", "x.pos", "x.s")
 
 
 def normalized_md(s, d):
@@ -185,9 +187,11 @@ def pairs_by_type(s, d):
 
 def formatted(s, d):
     """Both formats of the pairs of two types, by the arguments' text."""
-    some = dataset.of_types(_qa(s, d), dataset.types_argument("LEY, Plan"))
-    one = qa.formatted(some, "alpaca").select(F.lit("alpaca").alias("format"), F.to_json(F.struct("instruction", "input", "output")).alias("record"))
-    return one.unionByName(qa.formatted(some, "sharegpt").select(F.lit("sharegpt").alias("format"), F.to_json(F.struct("conversations")).alias("record")))
+    types = dataset.types_argument("LEY, Plan")
+    # The type in the front matter is the path's: other documents needn't be parsed.
+    some = _meta(s, d).filter(F.col("doc_type").isin(types))
+    parsed = structure.parse_structure(structure.split_frontmatter(normalize.to_markdown(some).select("doc_id", "path", "md")))
+    return qa.records(qa.explode_pairs(qa.heuristic_pairs(qa.references(parsed)), "doc_id"))
 
 
 def split_hash(s, d):
